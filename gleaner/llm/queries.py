@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from gleaner.llm import exact_dedup, mixing
+from gleaner.llm import decontam, exact_dedup, minhash, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,78 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return decontam.contamination(docs, bench).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5_SQL = rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as ws from documents
+), sh as (
+  select distinct doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') as g
+  from (select doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) as i from w where len(ws) > 0)
+), n as (
+  select doc_id, count(*) as n from sh group by doc_id
+), pair as (
+  select a.doc_id as a, b.doc_id as b, count(*) as m from sh a join sh b on a.g = b.g and a.doc_id < b.doc_id
+  group by 1, 2
+), link as (
+  select a, b from pair join n x on x.doc_id = a join n y on y.doc_id = b where 100 * m >= 75 * (x.n + y.n - m)
+), two as (
+  select a, b from link union all select b, a from link
+), reach(a, b) as (
+  select a, a from two union select r.a, two.b from reach r join two on r.b = two.a
+), comp as (
+  select a as doc_id, min(b) as component_id from reach group by a
+)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.component_id, w.doc_id) as component_id,
+       coalesce(c.component_id, w.doc_id) is not distinct from w.doc_id as kept
+from w left join n on n.doc_id = w.doc_id left join comp c on c.doc_id = w.doc_id
+"""
+
+OP8_SQL = rf"""
+with d as (
+  select row_number() over () as rid, doc_id,
+         regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+), b as (
+  select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark
+), iw as (
+  select distinct item_id, list_slice(ws, i, i + 12) as win
+  from (select item_id, ws, unnest(generate_series(1, greatest(len(ws) - 12, 1))) as i from b where len(ws) > 0)
+), ln as (
+  select distinct len(win) as k from iw
+), dw as (
+  select rid, k, i, list_slice(ws, i, i + k - 1) as win
+  from (select rid, ws, k, unnest(generate_series(1, len(ws) - k + 1)) as i from d, ln where len(ws) >= k)
+), h as (
+  select dw.rid, dw.i, dw.k, iw.item_id from dw join iw on dw.win = iw.win
+), hw as (
+  select rid, count(distinct p) as n_hit from (select rid, unnest(generate_series(i, i + k - 1)) as p from h) group by rid
+), hi as (
+  select rid, count(*) as n_items, string_agg(item, ',' order by item) as names
+  from (select distinct rid, item_id::varchar as item from h where item_id is not null) group by rid
+)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(names, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join hw on hw.rid = d.rid left join hi on hi.rid = d.rid
+"""
+
 OP4_SQL = r"""
 with t as (
   select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents
@@ -72,9 +144,16 @@ from c
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op8_decontamination": op8_decontamination,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op10_mixing": OP10_SQL}
+    return {
+        "op4_exact_dedup": OP4_SQL,
+        "op5_minhash_near_dedup": OP5_SQL,
+        "op8_decontamination": OP8_SQL,
+        "op10_mixing": OP10_SQL,
+    }
