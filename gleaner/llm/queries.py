@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from gleaner.llm import decontam, exact_dedup, minhash, mixing
+from gleaner.llm import decontam, exact_dedup, line_dedup, minhash, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -105,6 +109,31 @@ select t.doc_id, g.keep_id, g.group_size, t.doc_id is not distinct from g.keep_i
 from t join g on t.norm = g.norm
 """
 
+OP9_SQL = r"""
+with d as (
+  select row_number() over () as rid, doc_id, text, string_split(text, chr(10)) as ls from documents
+), w as (
+  select rid, doc_id, i - 1 as pos, list_slice(ls, i, i + 2) as win
+  from (select rid, doc_id, ls, unnest(generate_series(1, len(ls) - 2)) as i from d
+        where doc_id is not null and len(ls) >= 3)
+), f as (
+  select win, min((doc_id, pos)) as first from w group by win having count(*) > 1
+), later as (
+  select rid, doc_id, pos, first from w join f on w.win = f.win where (doc_id, pos) > first
+), span as (
+  select rid, case when doc_id = first[1] and pos < first[2] + 3 then first[2] + 3 else pos end as s, pos + 2 as e from later
+), cut as (
+  select distinct rid, unnest(generate_series(s, e)) as line from span
+), n as (
+  select rid, count(*) as n, list(line) as lines from cut group by rid
+)
+select doc_id,
+       case when n.rid is null then text else coalesce(array_to_string(
+         [x for x, i in ls if not list_contains(n.lines, i - 1)], chr(10)), '') end as text,
+       coalesce(len(ls), 0)::bigint as n_lines, coalesce(n, 0)::bigint as n_removed
+from d left join n on n.rid = d.rid
+"""
+
 OP10_SQL = r"""
 with d as (
   select doc_id, source,
@@ -146,6 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op8_decontamination": op8_decontamination,
+        "op9_line_dedup": op9_line_dedup,
         "op10_mixing": op10_mixing,
     }
 
@@ -155,5 +185,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": OP4_SQL,
         "op5_minhash_near_dedup": OP5_SQL,
         "op8_decontamination": OP8_SQL,
+        "op9_line_dedup": OP9_SQL,
         "op10_mixing": OP10_SQL,
     }
