@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import cut
+
 #: A place in the table as one number: id times this, plus the line's position.
 _STEP = 10_000_000_000
 
@@ -45,7 +47,8 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, cut: sorted positions of the lines that later occurrences cover."""
     place = F.col("id").cast("decimal(20,0)") * F.lit(_STEP).cast("decimal(11,0)") + F.col("pos")
     every = windows(docs, id_col, text_col).withColumn("at", place.cast("decimal(38,0)"))
-    first = (
+    # materialised, so that a very frequent window is split in the join
+    first = cut(
         every.groupBy("w1", "w2")
         .agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
@@ -61,8 +64,8 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: doc_id, text (without the covered lines), n_lines,
     n_removed."""
-    cut = covered_lines(docs, id_col, text_col).withColumnRenamed("id", "_id")
-    rows = docs.select(id_col, text_col).join(cut, F.col(id_col).cast("long") == F.col("_id"), "left")
+    gone = covered_lines(docs, id_col, text_col).withColumnRenamed("id", "_id")
+    rows = docs.select(id_col, text_col).join(gone, F.col(id_col).cast("long") == F.col("_id"), "left")
     lines = F.split(text_col, "\n")
     # the gaps between covered lines, as (start, length), are what stays
     gaps = F.filter(
