@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm import chat, decontam, exact_dedup, line_dedup, minhash, mixing, pii, url_templates
+from gleaner.llm import chat, decontam, exact_dedup, langid, line_dedup, minhash, mixing, pii, quality, url_templates
+from gleaner.llm.common import crc_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +85,20 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.predict_language(docs, docs.where(crc_mod("doc_id", 4) != 2))
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
+    score = quality.scorer(docs, labels)
+    out = docs.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), score("text").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -247,6 +262,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_format": op3_chat_format,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op6_language_id": op6_language_id,
+        "op7_quality": op7_quality,
         "op8_decontamination": op8_decontamination,
         "op9_line_dedup": op9_line_dedup,
         "op10_mixing": op10_mixing,
