@@ -1,11 +1,20 @@
-"""Named queries of the passage engine and their SQL."""
+"""All named queries of the engine and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.plans import retrieval, text
 
-def oracle_sql():
-    return {}
+_PLANS = (retrieval, text)
+hybrid_search = retrieval.hybrid_search
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
