@@ -65,6 +65,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row for each row: doc_id, text (without the covered lines), n_lines,
     n_removed."""
     gone = covered_lines(docs, id_col, text_col).withColumnRenamed("id", "_id")
+    # hashing the few covered lines spares the sort of all texts
+    gone = gone.hint("shuffle_hash")
     rows = docs.select(id_col, text_col).join(gone, F.col(id_col).cast("long") == F.col("_id"), "left")
     lines = F.split(text_col, "\n")
     # the gaps between covered lines, as (start, length), are what stays
