@@ -146,9 +146,11 @@ def scan(column: pa.Array, found_by: list[Searcher]) -> pa.Array:
                     edge[first] += 1
                     edge[p + 1] -= 1
                     per_doc.setdefault(d, set()).update(s.items[t])
+        # over all texts at once: what ends with a text counts down in the next
+        covered = np.cumsum(edge) > 0 if per_doc else edge
         for d, got in per_doc.items():
             items[at + d] = sorted(got)
-            hit = np.cumsum(edge[begin[d] : begin[d + 1]]) > 0
+            hit = covered[begin[d] : begin[d + 1]]
             step = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
             both = np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1], axis=1)
             spans[at + d] = both.reshape(-1).tolist()
@@ -179,6 +181,17 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_chars: int
     return [b.where(part == i) for i in range(n)]
 
 
+def _positions(spans: Column) -> Column:
+    """The positions inside the spans."""
+    pairs = F.sequence(F.lit(0), F.floor(F.size(spans) / 2).cast("int"))
+
+    def inside(k: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.when(k * 2 + 1 < F.size(spans), F.sequence(F.get(spans, k * 2), F.get(spans, k * 2 + 1))).otherwise(none)
+
+    return F.flatten(F.transform(pairs, inside))
+
+
 def _n_hit(spans: Column) -> Column:
     """Words covered by merged spans."""
     starts = F.filter(spans, lambda _, i: i % 2 == 0)
@@ -188,43 +201,28 @@ def _n_hit(spans: Column) -> Column:
 
 
 def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, width: int, shard_chars: int) -> DataFrame:
-    """``docs`` with a struct column ``_c``: n_words, spans, items."""
+    """``docs`` with a struct column ``__gl_c``: n_words, spans, items."""
     spark = docs.sparkSession
     bound_batches(spark)
     shards = _shards(benchmark, item_col, item_text, shard_chars)
     rows = docs
     for i, shard in enumerate(shards):
         got = [(r["item"], r["text"]) for r in shard.toLocalIterator()]
-        rows = rows.withColumn(f"_c{i}", _scanner(spark, got, width)(F.col(text_col)))
+        rows = rows.withColumn(f"__gl_c{i}", _scanner(spark, got, width)(F.col(text_col)))
     if len(shards) == 1:
-        return rows.withColumnRenamed("_c0", "_c")
-    cols = [F.col(f"_c{i}") for i in range(len(shards))]
-    inside = F.flatten(
-        F.array(
-            *[
-                F.flatten(
-                    F.transform(
-                        F.sequence(F.lit(0), F.floor(F.size(c["spans"]) / 2).cast("int")),
-                        lambda k, c=c: F.when(
-                            k * 2 + 1 < F.size(c["spans"]),
-                            F.sequence(F.get(c["spans"], k * 2), F.get(c["spans"], k * 2 + 1)),
-                        ).otherwise(F.array().cast("array<int>")),
-                    )
-                )
-                for c in cols
-            ]
-        )
-    )
+        return rows.withColumnRenamed("__gl_c0", "__gl_c")
+    cols = [F.col(f"__gl_c{i}") for i in range(len(shards))]
+    inside = F.flatten(F.array(*[_positions(c["spans"]) for c in cols]))
     hit = F.array_sort(F.array_distinct(inside))
     # each hit word is a span of its own here; the counts are the same
     return rows.withColumn(
-        "_c",
+        "__gl_c",
         F.struct(
             cols[0]["n_words"].alias("n_words"),
             F.flatten(F.transform(hit, lambda w: F.array(w, w))).alias("spans"),
             F.array_distinct(F.flatten(F.array(*[c["items"] for c in cols]))).alias("items"),
         ),
-    ).drop(*[f"_c{i}" for i in range(len(shards))])
+    ).drop(*[f"__gl_c{i}" for i in range(len(shards))])
 
 
 def contamination(
@@ -242,14 +240,14 @@ def contamination(
     the hits, first and last in turn), items, contaminated (a hit, and at least
     one word in ``share`` is hit)."""
     rows = _marked(docs.select(id_col, text_col), benchmark, text_col, item_col, item_text, width, shard_chars)
-    n_hit = _n_hit(F.col("_c.spans"))
-    return rows.select(id_col, "_c").select(
+    n_hit = _n_hit(F.col("__gl_c.spans"))
+    return rows.select(id_col, "__gl_c").select(
         id_col,
-        F.col("_c.n_words").alias("n_words"),
+        F.col("__gl_c.n_words").alias("n_words"),
         n_hit.alias("n_hit"),
-        F.col("_c.spans").alias("spans"),
-        F.col("_c.items").alias("items"),
-        ((n_hit > 0) & (n_hit * share >= F.col("_c.n_words"))).alias("contaminated"),
+        F.col("__gl_c.spans").alias("spans"),
+        F.col("__gl_c.items").alias("items"),
+        ((n_hit > 0) & (n_hit * share >= F.col("__gl_c.n_words"))).alias("contaminated"),
     )
 
 
@@ -265,5 +263,5 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` without the contaminated rows, all columns."""
     rows = _marked(docs, benchmark, text_col, item_col, item_text, width, shard_chars)
-    n_hit = _n_hit(F.col("_c.spans"))
-    return rows.where((n_hit == 0) | (n_hit * share < F.col("_c.n_words"))).drop("_c")
+    n_hit = _n_hit(F.col("__gl_c.spans"))
+    return rows.where((n_hit == 0) | (n_hit * share < F.col("__gl_c.n_words"))).drop("__gl_c")
