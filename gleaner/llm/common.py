@@ -92,3 +92,18 @@ class Bloom:
                 ]
             )
         )
+
+
+def without_ids(docs: DataFrame, lost: DataFrame, id_col: str, lost_col: str) -> DataFrame:
+    """``docs`` without the rows whose id is in ``lost``, all columns.
+
+    A filter of fixed size lets most rows pass in place; only the rows it may
+    know are joined, so their texts alone are moved.
+    """
+    ids = lost.where(F.col(lost_col).isNotNull()).select(F.col(lost_col).alias("__gl_lost")).distinct()
+    known = Bloom(ids, "__gl_lost")
+    key = docs.withColumn("__gl_key", F.col(id_col).cast("long"))
+    seen = known.might_contain("__gl_key")
+    clear = key.where(~seen)
+    left = key.where(seen).join(ids, F.col("__gl_key") == F.col("__gl_lost"), "left_anti")
+    return clear.unionByName(left).drop("__gl_key")

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import Bloom, bound_batches, cut
@@ -70,44 +70,37 @@ def compact(runs: DataFrame) -> DataFrame:
     return runs.groupBy("digest").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, memtable_rows: int, filter_bits: int):
-    """(runs, verified hits): hits are id, digest, keep, n after verification."""
-    bound_batches(docs.sparkSession)
-    runs = cut(flush_runs(docs, id_col, text_col, memtable_rows))
-    repeated = cut(compact(runs).where("n > 1"))
-    known = Bloom(repeated, "digest", filter_bits)
-    norm = normalised(text_col)
-    maybe = (
-        docs.select(F.col(id_col).cast("long").alias("id"), norm.alias("norm"))
-        .withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
-        .where(known.might_contain("digest"))
-    )
-    hits = maybe.join(repeated, "digest")
-    kept = (
-        maybe.join(repeated, "digest")
-        .where(F.col("id").eqNullSafe(F.col("keep")))
-        .groupBy("digest")
-        .agg(F.first("norm").alias("kept_norm"))
-    )
-    verified = cut(
-        hits.join(kept, "digest").select(
-            "id",
-            "digest",
-            "keep",
-            "n",
-            F.when(F.col("norm") == F.col("kept_norm"), F.lit(None)).otherwise(F.col("norm")).alias("other"),
+class Index:
+    """The merged runs of a table: ``runs`` (digest, id), ``repeated`` (digest,
+    keep, n of the digests seen more than once) and ``kept`` (these with the
+    text that stays)."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, memtable_rows: int, filter_bits: int):
+        bound_batches(docs.sparkSession)
+        self.runs = cut(flush_runs(docs, id_col, text_col, memtable_rows))
+        self.repeated = cut(compact(self.runs).where("n > 1"))
+        self.filter = Bloom(self.repeated, "digest", filter_bits)
+        maybe = self.hashed(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col)
+        maybe = maybe.where(self.filter.might_contain(_D)).select(F.col(_I).alias("i"), F.col(_N).alias("t"), F.col(_D).alias("d"))
+        r = self.repeated
+        # found by digest and id, so that no group meets in one task;
+        # materialised, so that a very large group is split in later joins
+        self.kept = cut(
+            maybe.join(r, (maybe["d"] == r["digest"]) & maybe["i"].eqNullSafe(r["keep"]))
+            .groupBy("digest")
+            .agg(F.first("keep").alias("keep"), F.first("n").alias("n"), F.first("t").alias("text"))
+            .select(*[F.col(c).alias(f"__gl_kept_{c}") for c in ("digest", "keep", "n", "text")])
         )
-    )
-    if not verified.where("other is not null").isEmpty():
-        # two texts under one digest: group these again by their bytes
-        again = verified.groupBy("digest", "other").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
-        verified = cut(
-            verified.drop("keep", "n").alias("v").join(
-                again.alias("a"),
-                (F.col("v.digest") == F.col("a.digest")) & F.col("v.other").eqNullSafe(F.col("a.other")),
-            ).select("v.id", "v.digest", "a.keep", "a.n", "v.other")
-        )
-    return runs, repeated, verified
+
+    @staticmethod
+    def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """``docs`` with the id, the normalised text and its digest."""
+        rows = docs.withColumns({_I: F.col(id_col).cast("long"), _N: normalised(text_col)})
+        return rows.withColumn(_D, F.unhex(F.sha2(F.col(_N).cast("binary"), 256)))
+
+
+_I, _N, _D = "__gl_id", "__gl_norm", "__gl_digest"
+_KEPT = ("__gl_kept_digest", "__gl_kept_keep", "__gl_kept_n", "__gl_kept_text")
 
 
 def exact_copies(
@@ -119,10 +112,27 @@ def exact_copies(
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id (smallest id with an
     equal text), group_size, kept, text_sha256 (of the normalised text)."""
-    runs, repeated, verified = _groups(docs, id_col, text_col, memtable_rows, filter_bits)
-    single = runs.join(repeated, "digest", "left_anti").select(
+    index = Index(docs, id_col, text_col, memtable_rows, filter_bits)
+    single = index.runs.join(index.repeated, "digest", "left_anti").select(
         "id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"), "digest"
     )
+    rows = Index.hashed(docs.select(id_col, text_col), id_col, text_col).where(index.filter.might_contain(_D))
+    same = F.col(_N) == F.col("__gl_kept_text")
+    verified = cut(
+        rows.join(index.kept, F.col(_D) == F.col("__gl_kept_digest")).select(
+            F.col(_I).alias("id"),
+            F.col("__gl_kept_keep").alias("keep"),
+            F.col("__gl_kept_n").alias("n"),
+            F.col(_D).alias("digest"),
+            F.when(same, F.lit(None)).otherwise(F.col(_N)).alias("other"),
+        )
+    )
+    if not verified.where("other is not null").isEmpty():
+        # two texts under one digest: group these again by their bytes
+        again = verified.groupBy("digest", "other").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
+        v, g = verified.alias("v"), again.alias("g")
+        equal = (F.col("v.digest") == F.col("g.digest")) & F.col("v.other").eqNullSafe(F.col("g.other"))
+        verified = v.join(g, equal).select("v.id", "g.keep", "g.n", "v.digest")
     every = single.unionByName(verified.select("id", "keep", "n", "digest"))
     return every.select(
         F.col("id").alias(id_col),
@@ -142,23 +152,17 @@ def drop_copies(
 ) -> DataFrame:
     """``docs`` without the copies, all columns; of equal texts exactly one row
     stays, one with the smallest id."""
-    _, _, verified = _groups(docs, id_col, text_col, memtable_rows, filter_bits)
-    # ids that lose their row: few and without text, so the texts stay put if
-    # Spark may broadcast them, else they are shuffled once
-    lost = verified.where(~F.col("id").eqNullSafe(F.col("keep"))).select(F.col("id").alias("_lost"))
-    rest = docs.join(lost.where("_lost is not null").distinct(), F.col(id_col).cast("long") == F.col("_lost"), "left_anti")
-    again = verified.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or id is null")
-    if again.isEmpty():
-        return rest
-    twice = again.select(F.col("id").alias("_twice")).distinct()
-    hit = F.col(id_col).cast("long").eqNullSafe(F.col("_twice"))
-    once = rest.join(twice, hit, "left_semi").withColumn("_norm", normalised(text_col)).dropDuplicates(["_norm"]).drop("_norm")
-    if not again.where("id is null").isEmpty():
-        named = verified.where("keep is not null").select("digest").distinct()
-        once = (
-            once.withColumn("_d", F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)))
-            .join(named.withColumnRenamed("digest", "_d").withColumn("_has", F.lit(True)), "_d", "left")
-            .where(F.col(id_col).isNotNull() | F.col("_has").isNull())
-            .drop("_d", "_has")
-        )
-    return rest.join(twice, hit, "left_anti").unionByName(once)
+    index = Index(docs, id_col, text_col, memtable_rows, filter_bits)
+    rows = Index.hashed(docs, id_col, text_col)
+    known = index.filter.might_contain(_D)
+    clear = rows.where(~known)
+    met = rows.where(known).join(index.kept, F.col(_D) == F.col("__gl_kept_digest"), "left")
+    single = met.where("__gl_kept_digest is null").drop(*_KEPT)
+    copy = met.where(F.col(_N) == F.col("__gl_kept_text"))
+    first = copy.where(F.col(_I).eqNullSafe(F.col("__gl_kept_keep"))).drop(*_KEPT).dropDuplicates([_D])
+    # other texts under the same digest, which do not occur in practice
+    w = Window.partitionBy(_N).orderBy(F.col(_I).asc_nulls_last())
+    odd = met.where(F.col(_N) != F.col("__gl_kept_text")).drop(*_KEPT)
+    odd = odd.withColumn("__gl_rank", F.row_number().over(w)).where("__gl_rank = 1").drop("__gl_rank")
+    stays = clear.unionByName(single).unionByName(first).unionByName(odd)
+    return stays.drop(_I, _N, _D)
