@@ -8,11 +8,14 @@ estimate is within four standard errors of the threshold, or above, is then
 decided on the full sets.
 
 No bucket is expanded into all its pairs.  Texts with equal sets form a class
-of which one stands for all.  In each bucket every class is first compared
-with the smallest one; the links confirmed make components.  Only buckets in
-which several components still meet are then looked at again: blocks of
-bounded size compare signatures in place, and only pairs of different
-components that pass the estimate leave the task.
+of which one stands for all.  Each class is first compared with the likeliest
+of the smallest classes of its buckets; the links confirmed make components.
+Only buckets in which several components still meet are looked at again:
+blocks of bounded size compare signatures in place and tell which texts should
+visit which larger component.  That component's texts are dealt out in blocks,
+every visitor goes to each of them, and is compared on the full sets until a
+link is found.  No table of pairs arises, and no link between components is
+missed that the bands and the estimate let through.
 
 With 32 bands of 4, two texts at the very threshold of 0.75 share no band with
 probability (1 - 0.75^4)^32 = 5e-6, more similar ones less.
@@ -33,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Bloom, bound_batches, cut
+from gleaner.llm.common import Bloom, bound_batches, cut, without_ids
 from gleaner.llm.graph import components
 from gleaner.llm.textcols import NOT_SPACE, mix, shingles, slices, word_hashes, words
 
 HASHES, BANDS, BITS = 128, 32, 4
 ROWS = HASHES // BANDS
+#: Partners with which a text is compared before components are made.
+LIKELIEST = 2
 LONGS = HASHES * BITS // 64
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -132,63 +137,109 @@ def margin(threshold: float) -> float:
     return threshold - 4 * (p * (1 - p) / HASHES) ** 0.5 / (1 - chance)
 
 
-def _mixed_pairs(batches: Iterator[pa.RecordBatch], least: float, percent: int) -> Iterator[pa.RecordBatch]:
-    """Blocks sorted by bucket -> pairs of different components that pass."""
-    chance = 2.0**-BITS
-    most = HASHES * (1 - (least * (1 - chance) + chance))
-    nib = np.uint64(0x1111111111111111)
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows that are sorted by ``keys``."""
     held: list[pa.RecordBatch] = []
-
-    def pairs(t: pa.Table) -> pa.RecordBatch | None:
-        key = np.stack([t.column(c).to_numpy() for c in ("bh", "lo", "hi")])
-        mine, cls, comp, n = (t.column(c).to_numpy() for c in ("mine", "cls", "comp", "n"))
-        sig = t.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
-        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        left, right = [], []
-        for s, e in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [t.num_rows])), strict=True):
-            lo, hi = key[1, s], key[2, s]
-            m, c = mine[s:e], comp[s:e]
-            if lo == hi:
-                # nothing to compare inside the component that has the most
-                values, counts = np.unique(c, return_counts=True)
-                a, b = np.flatnonzero(c != values[counts.argmax()]) + s, np.arange(s, e)
-            else:
-                a, b = np.flatnonzero(m == lo) + s, np.flatnonzero(m == hi) + s
-            for i in range(0, len(a), 128):
-                p = a[i : i + 128]
-                ok = comp[p][:, None] != comp[b][None, :]
-                x, y = n[p][:, None], n[b][None, :]
-                ok &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
-                if not ok.any():
-                    continue
-                d = sig[p][:, None, :] ^ sig[b][None, :, :]
-                d |= d >> np.uint64(1)
-                d |= d >> np.uint64(2)
-                ok &= np.bitwise_count(d & nib).sum(axis=2) <= most
-                q, r = np.nonzero(ok)
-                u, v = cls[p[q]], cls[b[r]]
-                left.append(np.minimum(u, v))
-                right.append(np.maximum(u, v))
-        if not left:
-            return None
-        both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         t = pa.Table.from_batches(held).combine_chunks()
-        keys = [t.column(c).to_numpy() for c in ("bh", "lo", "hi")]
-        same = np.logical_and.reduce([k == k[-1] for k in keys])
-        done = t.num_rows - int(same[::-1].argmin() if not same.all() else t.num_rows)
+        cols = [t.column(c).to_numpy() for c in keys]
+        same = np.logical_and.reduce([k == k[-1] for k in cols])
+        done = 0 if same.all() else t.num_rows - int(same[::-1].argmin())
         if done:
-            if (out := pairs(t.slice(0, done))) is not None and out.num_rows:
-                yield out
+            yield t.slice(0, done)
         held = t.slice(done).to_batches()
     if held:
-        if (out := pairs(pa.Table.from_batches(held).combine_chunks())) is not None and out.num_rows:
-            yield out
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _bounds(t: pa.Table, keys: tuple[str, ...]) -> Iterator[tuple[int, int]]:
+    key = np.stack([t.column(c).to_numpy() for c in keys])
+    cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+    return zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [t.num_rows])), strict=True)
+
+
+def _packed(t: pa.Table) -> np.ndarray:
+    return t.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minima that differ in their low bits, for each row of a with each of b."""
+    d = a[:, None, :] ^ b[None, :, :]
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    return np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=2)
+
+
+def _most_differing(least: float) -> float:
+    chance = 2.0**-BITS
+    return HASHES * (1 - (least * (1 - chance) + chance))
+
+
+def _visits(batches: Iterator[pa.RecordBatch], least: float, percent: int, main_only: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks of buckets -> (visitor, component): texts that may be linked
+    with a text of another, larger component.  ``main_only``: only with the
+    component that has most members in the block."""
+    most = _most_differing(least)
+    keys = ("bh", "lo", "hi")
+    for t in _groups(batches, keys):
+        cls, comp, size, n = (t.column(c).to_numpy() for c in ("cls", "comp", "size", "n"))
+        sig, visitor, visited = _packed(t), [], []
+        for s, e in _bounds(t, keys):
+            values, counts = np.unique(comp[s:e], return_counts=True)
+            main = comp[s:e] == values[counts.argmax()]
+            a, b = np.flatnonzero(~main) + s, (np.flatnonzero(main) + s if main_only else np.arange(s, e))
+            for i in range(0, len(a), 128):
+                p = a[i : i + 128]
+                x, y = n[p][:, None], n[b][None, :]
+                ok = comp[p][:, None] != comp[b][None, :]
+                ok &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+                if not ok.any():
+                    continue
+                q, r = np.nonzero(ok & (_differ(sig[p], sig[b]) <= most))
+                u, v = p[q], b[r]
+                # the smaller component visits; of equal ones the later
+                swap = ~main_only & ((size[u] > size[v]) | ((size[u] == size[v]) & (comp[u] < comp[v])))
+                visitor.append(cls[np.where(swap, v, u)])
+                visited.append(comp[np.where(swap, u, v)])
+        if visitor:
+            both = np.unique(np.stack([np.concatenate(visitor), np.concatenate(visited)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["cls", "visited"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch], least: float, percent: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of a component's texts, each followed by its visitors -> links.
+    A visitor's partners are tried by likeliness; one link is enough."""
+    most = _most_differing(least)
+    keys = ("visited", "block")
+    for t in _groups(batches, keys):
+        cls, n, guest = (t.column(c).to_numpy() for c in ("cls", "n", "guest"))
+        sig, raw = _packed(t), t.column("set").combine_chunks()
+        left, right = [], []
+        for s, e in _bounds(t, keys):
+            host = np.flatnonzero(guest[s:e] == 0) + s
+            for x in np.flatnonzero(guest[s:e] == 1) + s:
+                ok = 100 * np.minimum(n[x], n[host]) >= percent * np.maximum(n[x], n[host])
+                differ = _differ(sig[x : x + 1], sig[host])[0]
+                some = host[ok & (differ <= most)]
+                order = np.argsort(differ[ok & (differ <= most)], kind="stable")
+                mine = np.frombuffer(raw[x].as_buffer(), dtype=np.uint64)
+                for y in some[order]:
+                    if _similar(mine, np.frombuffer(raw[y].as_buffer(), dtype=np.uint64), percent):
+                        left.append(min(cls[x], cls[y]))
+                        right.append(max(cls[x], cls[y]))
+                        break
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    if len(p) > len(q):
+        p, q = q, p
+    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -203,26 +254,26 @@ def _confirm_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         x, y = batch.column(2), batch.column(3)
         ok = np.zeros(batch.num_rows, dtype=bool)
         for i in range(batch.num_rows):
-            p = np.frombuffer(x[i].as_buffer(), dtype=np.uint64)
-            q = np.frombuffer(y[i].as_buffer(), dtype=np.uint64)
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-            ok[i] = 100 * both >= percent * (len(p) + len(q) - both)
+            p, q = (np.frombuffer(c[i].as_buffer(), dtype=np.uint64) for c in (x, y))
+            ok[i] = _similar(p, q, percent)
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["a", "b"])
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold.  Only
-    texts that occur in a pair are read past the filter and moved."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """id, set: the shingles of the texts whose id is in ``ids``, and of few
+    others.  The other texts are neither hashed nor moved."""
     known = Bloom(ids, "id")
-    sets = (
+    return (
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         .where(known.might_contain("id"))
         .mapInArrow(lambda it: _set_rows(it, width), "id long, set binary")
     )
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    sets = _sets_of(docs, ids, id_col, text_col, width)
     one = pairs.join(sets.withColumnRenamed("id", "a").withColumnRenamed("set", "x"), "a")
     two = one.join(sets.withColumnRenamed("id", "b").withColumnRenamed("set", "y"), "b")
     return two.select("a", "b", "x", "y").mapInArrow(
@@ -230,6 +281,72 @@ def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width
     )
 
 
+def _across(
+    docs: DataFrame,
+    shared: DataFrame,
+    comps: DataFrame,
+    bits: DataFrame,
+    block: int,
+    percent: int,
+    main_only: bool,
+    id_col: str,
+    text_col: str,
+    width: int,
+) -> DataFrame:
+    """Links between different components that meet in a bucket."""
+    least = margin(percent / 100)
+    nodes = bits.join(comps.withColumnRenamed("node", "cls"), "cls", "left")
+    nodes = nodes.withColumn("comp", F.coalesce("comp", "cls"))
+    labelled = shared.join(nodes.select("cls", "comp"), "cls")
+    mixed = cut(
+        labelled.groupBy("bh").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bh")
+    )
+    if mixed.isEmpty():
+        return nodes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).where("false")
+    nodes = cut(nodes.join(shared.join(mixed, "bh").select("cls").distinct(), "cls", "left").select(nodes["*"]))
+    sizes = cut(nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size")))
+    sized = nodes.join(sizes, "comp")
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    rows = (
+        shared.join(mixed, "bh")
+        .join(sized, "cls")
+        .withColumn("mine", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select(
+            "bh", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"),
+            "cls", "comp", "size", "n", "sig",
+        )
+        .repartition("bh", "lo", "hi")
+        .sortWithinPartitions("bh", "lo", "hi")
+    )
+    visits = cut(
+        rows.mapInArrow(lambda it: _visits(it, least, percent, main_only), "cls long, visited long").distinct()
+    )
+    if visits.isEmpty():
+        return visits.select(F.col("cls").alias("a"), F.col("visited").alias("b"))
+    # the components visited, in blocks, and each visitor with every block
+    deal = F.ceil(F.col("size") / (block // 4)).cast("int")
+    goal = sizes.join(visits.select(F.col("visited").alias("comp")).distinct(), "comp")
+    hosts = nodes.join(goal, "comp").select(
+        F.col("comp").alias("visited"),
+        F.pmod(F.xxhash64("cls"), deal).cast("int").alias("block"),
+        F.lit(0).alias("guest"), "cls", "n", "sig",
+    )
+    guests = (
+        visits.join(goal.withColumnRenamed("comp", "visited"), "visited")
+        .join(bits, "cls")
+        .select("visited", F.explode(F.sequence(F.lit(0), deal - 1)).alias("block"), F.lit(1).alias("guest"), "cls", "n", "sig")
+    )
+    both = cut(hosts.unionByName(guests))
+    sets = _sets_of(docs, both.select(F.col("cls").alias("id")), id_col, text_col, width)
+    ready = (
+        both.join(sets.withColumnRenamed("id", "cls"), "cls")
+        .repartition("visited", "block")
+        .sortWithinPartitions("visited", "block", "guest", "cls")
+    )
+    return ready.mapInArrow(lambda it: _linked(it, least, percent), "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -246,7 +363,8 @@ def near_duplicates(
     """
     sigs = cut(signatures(docs, id_col, text_col, width))
     some = sigs.where("n > 0")
-    classes = some.groupBy("s1", "s2", "n").agg(F.min("id").alias("cls"))
+    # materialised, so that a very large class is split in the join
+    classes = cut(some.groupBy("s1", "s2", "n").agg(F.min("id").alias("cls")))
     members = cut(some.select("id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"]).select("id", "n", "cls"))
     reps = (
         some.join(classes.select("cls").distinct(), F.col("id") == F.col("cls"))
@@ -255,51 +373,33 @@ def near_duplicates(
     )
     reps = cut(reps)
     ex = reps.select(F.explode("bands").alias("bh"), "cls")
-    hubs = ex.groupBy("bh").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    hubs = cut(ex.groupBy("bh").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"))
     shared = cut(ex.join(hubs, "bh"))
     bits = reps.select("cls", "n", "sig")
 
-    def plausible(pairs: DataFrame) -> DataFrame:
-        a = bits.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-        b = bits.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        return (
-            pairs.join(a, "a").join(b, "b").where(near & (estimate(F.col("sa"), F.col("sb")) >= margin(percent / 100)))
-        ).select("a", "b")
-
+    # each text with the likeliest of the first texts of its buckets
     star = shared.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    tested = cut(plausible(star).distinct())
-    links = cut(confirm(docs, tested, id_col, text_col, width, percent))
-    comps = cut(components(links))
-
-    labelled = shared.where("m > 2").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-    labelled = labelled.withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = labelled.groupBy("bh").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    rows = (
-        labelled.join(mixed.select("bh"), "bh")
-        .join(bits, "cls")
-        .withColumn("mine", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(
-            "bh",
-            F.least("mine", "other").alias("lo"),
-            F.greatest("mine", "other").alias("hi"),
-            "mine",
-            "cls",
-            "comp",
-            "n",
-            "sig",
-        )
-        .repartition("bh", "lo", "hi")
-        .sortWithinPartitions("bh", "lo", "hi")
+    left = bits.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    right = bits.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    likely = (
+        star.join(left, "a")
+        .join(right, "b")
+        .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        .select("a", "b", estimate(F.col("sa"), F.col("sb")).alias("e"))
+        .where(F.col("e") >= margin(percent / 100))
+        .groupBy("b")
+        .agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("e", "a")))), 1, LIKELIEST).alias("best"))
+        .select(F.explode("best.a").alias("a"), "b")
     )
-    more = rows.mapInArrow(lambda it: _mixed_pairs(it, margin(percent / 100), percent), "a long, b long").distinct()
-    more = cut(more.join(tested, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = cut(confirm(docs, more, id_col, text_col, width, percent))
+    links = cut(confirm(docs, cut(likely), id_col, text_col, width, percent))
+    comps = cut(components(links))
+    # then what still meets in a bucket: first with the largest component
+    # there, then each component with each other
+    for main_only in (True, False):
+        found = cut(_across(docs, shared, comps, bits, block, percent, main_only, id_col, text_col, width))
         if not found.isEmpty():
-            comps = components(links.unionByName(found))
+            links = cut(links.unionByName(found))
+            comps = cut(components(links))
     named = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select(
         "id", "n", F.coalesce("comp", "cls").alias("component")
     )
@@ -310,3 +410,13 @@ def near_duplicates(
         F.col("component").alias("component_id"),
         F.col("id").eqNullSafe(F.col("component")).alias("kept"),
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75
+) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, the one with the
+    smallest id; all columns.  Rows with a null id stay unless they are copies
+    of a row that has one; rows that share an id stay together."""
+    found = cut(near_duplicates(docs, id_col, text_col, width, percent))
+    return without_ids(docs, found.where(~F.col("kept")), id_col, id_col)
