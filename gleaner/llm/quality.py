@@ -197,4 +197,4 @@ def scorer(
 
 def keep_good(docs: DataFrame, score: Column, least: float = 0.3) -> DataFrame:
     """``docs`` whose score reaches ``least``, all columns."""
-    return docs.withColumn("_score", score).where(F.col("_score") >= least).drop("_score")
+    return docs.withColumn("__gl_score", score).where(F.col("__gl_score") >= least).drop("__gl_score")

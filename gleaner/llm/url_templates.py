@@ -9,14 +9,14 @@ literal branches, and branches are compared with their node, never with each
 other.
 
 Every leaf is a template.  Its purity is the share of bad among its labelled
-urls, smoothed towards the rates of its host and of the same template on all
-hosts, and these towards the overall rate.  Templates at or above ``reject``
-are blocked.  Labels come from a column, or else from the rules' own verdicts.
+urls, smoothed towards the rates of its host and, with half the weight, of the
+same template on all hosts, and these towards ``prior``.  Templates at or above
+``reject`` are blocked.  Labels come from a column, or else from the rules' own
+verdicts; as the rules aren't a sample of the urls, ``prior`` is a parameter.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path;
 repeated rows get equal results; segments beyond ``depth`` are cut into one
-wildcard; without labels every purity is one half's prior and nothing is
-blocked below ``reject``; an empty table gives an empty result.  Other columns
+wildcard; without labels every purity is ``prior``; an empty table gives an empty result.  Other columns
 are ignored.
 """
 
@@ -72,17 +72,30 @@ def _g_test(parts: list[tuple[str, str]], n: str, total: str) -> Column:
     return out
 
 
+def _critical(shapes: list[str], labels: list[str], normal: float) -> Column:
+    """Quantile of the chi-squared distribution (Wilson and Hilferty's
+    formula), by the number of classes that the node has at all."""
+
+    def classes(names: list[str]) -> Column:
+        return sum((F.col(f"all_{p}") > 0).cast("int") for p in names)
+
+    free = F.greatest(classes(shapes) + classes(labels) - 2, F.lit(1)).cast("double")
+    spread = 2 / (9 * free)
+    return free * F.pow(1 - spread + normal * F.sqrt(spread), F.lit(3.0))
+
+
 def templates(
-    rows: DataFrame, depth: int = 8, least_share: float = 0.05, least_urls: int = 5, critical: float = 20.09
+    rows: DataFrame, depth: int = 8, least_share: float = 0.05, least_urls: int = 3, normal: float = 1.645
 ) -> DataFrame:
     """``rows`` (host, segs, bad, ...) with a column ``template``.
 
-    ``critical``: bound of the test statistic, by default the 1 % point of the
-    chi-squared distribution with 8 degrees of freedom.
+    ``normal``: quantile of the normal distribution at which branches count as
+    unlike, by default the 5 % level.
     """
     now = rows.withColumn("template", F.lit(""))
     keys = ["host", "template"]
-    parts = [*(f"k_{s}" for s in SHAPES), "bad_n", "good_n"]
+    shapes, labels = [f"k_{s}" for s in SHAPES], ["bad_n", "good_n", "none_n"]
+    parts = shapes + labels
     for d in range(depth):
         live = now.where(F.size("segs") > d)
         if live.isEmpty():
@@ -94,13 +107,14 @@ def templates(
             *[F.count_if(follow == s).alias(f"k_{s}") for s in SHAPES],
             F.count_if(F.col("bad") == 1).alias("bad_n"),
             F.count_if(F.col("bad") == 0).alias("good_n"),
+            F.count_if(F.col("bad").isNull()).alias("none_n"),
         )
         pool = stats.groupBy(*keys).agg(
             F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("branches"), *[F.sum(p).alias(f"all_{p}") for p in parts]
         )
         literal = shape(F.col("seg")).isin("word", "file", "other")
         fair = (F.col("n") >= least_urls) & (F.col("n") >= F.col("all_n") * least_share)
-        unlike = _g_test([(p, f"all_{p}") for p in parts], "n", "all_n") >= critical
+        unlike = _g_test([(p, f"all_{p}") for p in parts], "n", "all_n") >= _critical(shapes, labels, normal)
         kept = (
             stats.join(pool, keys)
             .where(literal & fair & (unlike | (F.col("branches") == 1)))
@@ -120,6 +134,7 @@ def judge_urls(
     bad_col: str | None = None,
     reject: float = 0.5,
     weight: float = 10.0,
+    prior: float = 0.2,
     depth: int = 8,
 ) -> DataFrame:
     """One row for each row: page_id, host, path, rule, verdict, template,
@@ -147,14 +162,12 @@ def judge_urls(
             F.count("bad").alias(f"n_{tag}"), F.coalesce(F.sum("bad"), F.lit(0)).alias(f"bad_{tag}")
         )
 
-    total = rates(tag="all").first()
-    base_rate = (total["bad_all"] + 1) / (total["n_all"] + 2)
-    prior, strength = F.lit(weight * base_rate), F.lit(weight)
-    for t in ("h", "t"):
-        own = F.least(F.col(f"n_{t}").cast("double"), F.lit(weight))
-        prior = prior + F.when(F.col(f"n_{t}") > 0, own * F.col(f"bad_{t}") / F.col(f"n_{t}")).otherwise(0.0)
+    bad, strength = F.lit(weight * prior), F.lit(weight)
+    for t, most in (("h", weight), ("t", weight / 2)):
+        own = F.least(F.col(f"n_{t}").cast("double"), F.lit(most))
+        bad = bad + F.when(F.col(f"n_{t}") > 0, own * F.col(f"bad_{t}") / F.col(f"n_{t}")).otherwise(0.0)
         strength = strength + own
-    purity = (F.col("bad_l") + weight * (prior / strength)) / (F.col("n_l") + weight)
+    purity = (F.col("bad_l") + weight * (bad / strength)) / (F.col("n_l") + weight)
     table = (
         rates("host", "template", tag="l")
         .join(rates("host", tag="h"), "host")
