@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import evaluation, logs, relational, retrieval, streams, text
+from gleaner.plans import evaluation, ingest, logs, relational, retrieval, streams, text
 
-_PLANS = (retrieval, text, evaluation, logs, relational, streams)
+_PLANS = (retrieval, text, ingest, evaluation, logs, relational, streams)
 hybrid_search = retrieval.hybrid_search
 
 

@@ -177,3 +177,30 @@ def test_embed_items(spark):
     assert [x["kind"] for x in got] == ["title", "default", "default"]
     got = one(spark, C.embed_items(F.col("h"), F.col("t"), F.col("a"), none), h="", t="one sentence", a=None)
     assert [(x["kind"], x["text"]) for x in got] == [("default", "one sentence")]
+
+
+def test_replies():
+    from gleaner.functions import replies as P
+
+    assert P.salvage('<think>[1]</think>```json\n[{"a": 1}, {"b": 2}, {"c"') == [{"a": 1}, {"b": 2}]
+    assert P.salvage("no json") is None and P.salvage(None) is None and P.salvage('x {"a": [1]} y') == {"a": [1]}
+    assert P.pairs('{"items": [{"Q": "q", "A": "a"}, ["x", "y"], {"q": "only"}]}') == [{"q": "q", "a": "a"}, {"q": "x", "a": "y"}]
+    assert P.strings('["a", {"content": "b"}, 3, " "]') == ["a", "b"]
+
+
+def test_stored_vectors_and_process(spark):
+    from gleaner.operators import index as I
+    from gleaner.operators import process as X
+
+    rows = spark.createDataFrame([(1, "hello world " * 40), (2, ""), (3, None)], "doc_id int, text string")
+    units = X.units(rows, C.Config(mode="custom", split="size", size=200, child=True, child_size=64, trigger="force"))
+    items = X.embedded(X.items(units))
+    assert {len(r.vec) for r in items.collect()} == {64} and {r.source_id for r in units.collect()} == {1}
+    with pytest.raises(Exception, match="as many vectors"):
+        X.embedded(X.items(units), lambda texts: []).collect()
+    a = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "point_id int, vec array<double>")
+    b = spark.createDataFrame([(2, [5.0, 6.0]), (3, [7.0, 8.0])], "point_id int, vec array<double>")
+    assert {r.point_id: r.vec[0] for r in I.upsert_vectors(a, b).collect()} == {1: 1.0, 2: 5.0, 3: 7.0}
+    wider = b.withColumn("vec", F.concat("vec", F.array(F.lit(0.0))))
+    assert I.upsert_vectors(a, wider).count() == 2
+    assert I.delete_points(a, point_id=[1]).count() == 1
