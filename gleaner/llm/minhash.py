@@ -8,8 +8,8 @@ estimate is within four standard errors of the threshold, or above, is then
 decided on the full sets.
 
 No bucket is expanded into all its pairs.  Texts with equal sets form a class
-of which one stands for all.  Each class is first compared with the likeliest
-of the smallest classes of its buckets; the links confirmed make components.
+of which one stands for all.  Each class is first compared with one other, the
+first class of most of its buckets; the links confirmed make components.
 Only buckets in which several components still meet are looked at again:
 blocks of bounded size compare signatures in place and tell which texts should
 visit which larger component.  That component's texts are dealt out in blocks,
@@ -42,8 +42,6 @@ from gleaner.llm.textcols import NOT_SPACE, mix, shingles, slices, word_hashes,
 
 HASHES, BANDS, BITS = 128, 32, 4
 ROWS = HASHES // BANDS
-#: Partners with which a text is compared before components are made.
-LIKELIEST = 2
 LONGS = HASHES * BITS // 64
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -281,6 +279,17 @@ def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width
     )
 
 
+def _mixed(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """bh, cls, m: the buckets in which several components meet.  They only
+    become fewer as components are joined."""
+    shared = shared.select("bh", "cls")
+    labelled = shared.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = labelled.groupBy("bh").agg(
+        F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m")
+    )
+    return cut(shared.join(cut(mixed.where("c1 <> c2").select("bh", "m")), "bh"))
+
+
 def _across(
     docs: DataFrame,
     shared: DataFrame,
@@ -295,21 +304,15 @@ def _across(
 ) -> DataFrame:
     """Links between different components that meet in a bucket."""
     least = margin(percent / 100)
-    nodes = bits.join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-    nodes = nodes.withColumn("comp", F.coalesce("comp", "cls"))
-    labelled = shared.join(nodes.select("cls", "comp"), "cls")
-    mixed = cut(
-        labelled.groupBy("bh").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bh")
-    )
-    if mixed.isEmpty():
-        return nodes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).where("false")
-    nodes = cut(nodes.join(shared.join(mixed, "bh").select("cls").distinct(), "cls", "left").select(nodes["*"]))
+    if shared.isEmpty():
+        return shared.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    nodes = bits.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    nodes = cut(nodes.join(shared.select("cls").distinct(), "cls", "left_semi"))
     sizes = cut(nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size")))
     sized = nodes.join(sizes, "comp")
     blocks = F.ceil(F.col("m") / block).cast("int")
     rows = (
-        shared.join(mixed, "bh")
-        .join(sized, "cls")
+        shared.join(sized, "cls")
         .withColumn("mine", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select(
@@ -374,28 +377,36 @@ def near_duplicates(
     reps = cut(reps)
     ex = reps.select(F.explode("bands").alias("bh"), "cls")
     hubs = cut(ex.groupBy("bh").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"))
-    shared = cut(ex.join(hubs, "bh"))
+    shared = cut(ex.join(hubs.drop("m"), "bh"))
     bits = reps.select("cls", "n", "sig")
 
-    # each text with the likeliest of the first texts of its buckets
-    star = shared.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+    # each text with that first text of its buckets with which it shares most
+    often = F.transform(
+        F.array_distinct("hubs"),
+        lambda h: F.struct(F.size(F.filter("hubs", lambda x: x == h)).alias("c"), (-h).alias("h")),
+    )
+    star = (
+        shared.where("cls <> hub")
+        .groupBy("cls")
+        .agg(F.collect_list("hub").alias("hubs"))
+        .select((-F.array_max(often)["h"]).alias("a"), F.col("cls").alias("b"))
+    )
     left = bits.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     right = bits.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     likely = (
         star.join(left, "a")
         .join(right, "b")
         .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        .select("a", "b", estimate(F.col("sa"), F.col("sb")).alias("e"))
-        .where(F.col("e") >= margin(percent / 100))
-        .groupBy("b")
-        .agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("e", "a")))), 1, LIKELIEST).alias("best"))
-        .select(F.explode("best.a").alias("a"), "b")
+        .where(estimate(F.col("sa"), F.col("sb")) >= margin(percent / 100))
+        .select("a", "b")
     )
     links = cut(confirm(docs, cut(likely), id_col, text_col, width, percent))
     comps = cut(components(links))
     # then what still meets in a bucket: first with the largest component
     # there, then each component with each other
+    shared = shared.drop("hub")
     for main_only in (True, False):
+        shared = _mixed(shared, comps)
         found = cut(_across(docs, shared, comps, bits, block, percent, main_only, id_col, text_col, width))
         if not found.isEmpty():
             links = cut(links.unionByName(found))
@@ -416,7 +427,8 @@ def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75
 ) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, the one with the
-    smallest id; all columns.  Rows with a null id stay unless they are copies
-    of a row that has one; rows that share an id stay together."""
-    found = cut(near_duplicates(docs, id_col, text_col, width, percent))
-    return without_ids(docs, found.where(~F.col("kept")), id_col, id_col)
+    smallest id; all columns.  Rows with a null id stay, and rows that share an
+    id stay or go together."""
+    found = near_duplicates(docs, id_col, text_col, width, percent)
+    lost = cut(found.groupBy(id_col).agg(F.bool_or("kept").alias("any")).where("not any"))
+    return without_ids(docs, lost, id_col, id_col)
