@@ -65,7 +65,7 @@ _GENDER = {n: (s, g) for (s, g), names in GIVEN.items() for n in names}
 _TITLE = {t.lower(): g for g, ts in TITLES.items() for t in ts}
 _NAME = r"[^\W\d_][^\W\d_]*(?:['’-][^\W\d_]+)*"
 _RE = {
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    "email": re.compile(r"[^\W_][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "secret": re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|key)\s*[=:]\s*[\"']?([A-Za-z0-9_\-]{16,})"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ip": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"),
