@@ -59,11 +59,8 @@ class Bloom:
     def __init__(self, keys: DataFrame, column: str, bits: int = 1 << 23):
         self.bits = bits
         spark = keys.sparkSession
-        hashed = [
-            F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(bits)) for i in range(self.HASHES)
-        ]
         words = (
-            keys.select(F.explode(F.array(*hashed)).alias("b"))
+            keys.select(F.explode(F.array(*self.places(column))).alias("b"))
             .groupBy(F.shiftright("b", 6).cast("int").alias("w"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m"))
         )
@@ -72,26 +69,32 @@ class Bloom:
         table[got.column("w").to_numpy()] = got.column("m").to_numpy()
         self._bits = spark.sparkContext.broadcast(table)
 
+    def places(self, column: str) -> list[Column]:
+        """Where the filter's bits for a value are."""
+        return [F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(self.bits)) for i in range(self.HASHES)]
+
+    def tester(self):
+        """A function, for use in tasks, of the arrays of ``places``: true for
+        every key of the filter and for few other values."""
+        shared = self._bits
+
+        def test(places: list[np.ndarray]) -> np.ndarray:
+            ok = np.ones(len(places[0]), dtype=bool)
+            for b in places:
+                ok &= (shared.value[b >> 6] >> (b & 63)) & 1 == 1
+            return ok
+
+        return test
+
     def might_contain(self, column: str) -> Column:
-        """True for every key of the filter and for few other values."""
-        shared, bits, n = self._bits, self.bits, self.HASHES
+        """``tester`` as a column."""
+        test, names = self.tester(), [f"h{i}" for i in range(self.HASHES)]
 
         @F.pandas_udf("boolean")
         def probe(h: pd.DataFrame) -> pd.Series:
-            table, ok = shared.value, np.ones(len(h), dtype=bool)
-            for i in range(n):
-                b = h[f"h{i}"].to_numpy()
-                ok &= (table[b >> 6] >> (b & 63)) & 1 == 1
-            return pd.Series(ok)
-
-        return probe(
-            F.struct(
-                *[
-                    F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(bits)).alias(f"h{i}")
-                    for i in range(n)
-                ]
-            )
-        )
+            return pd.Series(test([h[n].to_numpy() for n in names]))
+
+        return probe(F.struct(*[p.alias(n) for n, p in zip(names, self.places(column), strict=True)]))
 
 
 def without_ids(docs: DataFrame, lost: DataFrame, id_col: str, lost_col: str) -> DataFrame:

@@ -209,27 +209,40 @@ def _visits(batches: Iterator[pa.RecordBatch], least: float, percent: int, main_
 
 def _linked(batches: Iterator[pa.RecordBatch], least: float, percent: int) -> Iterator[pa.RecordBatch]:
     """Blocks of a component's texts, each followed by its visitors -> links.
-    A visitor's partners are tried by likeliness; one link is enough."""
-    most = _most_differing(least)
-    keys = ("visited", "block")
-    for t in _groups(batches, keys):
-        cls, n, guest = (t.column(c).to_numpy() for c in ("cls", "n", "guest"))
-        sig, raw = _packed(t), t.column("set").combine_chunks()
-        left, right = [], []
-        for s, e in _bounds(t, keys):
-            host = np.flatnonzero(guest[s:e] == 0) + s
-            for x in np.flatnonzero(guest[s:e] == 1) + s:
-                ok = 100 * np.minimum(n[x], n[host]) >= percent * np.maximum(n[x], n[host])
-                differ = _differ(sig[x : x + 1], sig[host])[0]
-                some = host[ok & (differ <= most)]
-                order = np.argsort(differ[ok & (differ <= most)], kind="stable")
-                mine = np.frombuffer(raw[x].as_buffer(), dtype=np.uint64)
-                for y in some[order]:
-                    if _similar(mine, np.frombuffer(raw[y].as_buffer(), dtype=np.uint64), percent):
-                        left.append(min(cls[x], cls[y]))
-                        right.append(max(cls[x], cls[y]))
-                        break
-        if left:
+    The texts of one block are held, its visitors pass by.  A visitor's
+    partners are tried by likeliness; one link is enough."""
+    most, key, held = _most_differing(least), None, []
+
+    def met(host: list[pa.RecordBatch], guests: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        h = pa.Table.from_batches(host).combine_chunks()
+        cls, n, sig, raw = h.column("cls").to_numpy(), h.column("n").to_numpy(), _packed(h), h.column("set").combine_chunks()
+        g = pa.Table.from_batches([guests])
+        own_sig, own_set = _packed(g), guests.column("set")
+        for i, (c, m) in enumerate(zip(g.column("cls").to_pylist(), g.column("n").to_pylist(), strict=True)):
+            differ = _differ(own_sig[i : i + 1], sig)[0]
+            some = np.flatnonzero((100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (differ <= most))
+            mine = np.frombuffer(own_set[i].as_buffer(), dtype=np.uint64)
+            for y in some[np.argsort(differ[some], kind="stable")]:
+                if _similar(mine, np.frombuffer(raw[int(y)].as_buffer(), dtype=np.uint64), percent):
+                    yield min(c, int(cls[y])), max(c, int(cls[y]))
+                    break
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = ("visited", "block", "guest")
+        links = []
+        for s, e in _bounds(pa.Table.from_batches([b]), keys):
+            part = b.slice(s, e - s)
+            visited, block, guest = (part.column(c)[0].as_py() for c in keys)
+            if key != (visited, block):
+                key, held = (visited, block), []
+            if not guest:
+                held.append(part)
+            elif held:
+                links += met(held, part)
+        if links:
+            left, right = zip(*links, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
@@ -240,8 +253,11 @@ def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(p) + len(q) - both)
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _set_rows(batches: Iterator[pa.RecordBatch], width: int, test) -> Iterator[pa.RecordBatch]:
+    """id, set of the rows that pass the filter, whose places follow id and
+    text."""
     for b in batches:
+        b = b.filter(pa.array(test([c.to_numpy() for c in b.columns[2:]])))
         if b.num_rows:
             sets = [s.tobytes() for s in _sets(b.column(1), width)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "set"])
@@ -261,11 +277,11 @@ def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width:
     """id, set: the shingles of the texts whose id is in ``ids``, and of few
     others.  The other texts are neither hashed nor moved."""
     known = Bloom(ids, "id")
-    return (
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .where(known.might_contain("id"))
-        .mapInArrow(lambda it: _set_rows(it, width), "id long, set binary")
-    )
+    test = known.tester()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # the filter and the sets in one worker
+    rows = rows.select("id", "text", *[p.alias(f"h{i}") for i, p in enumerate(known.places("id"))])
+    return rows.mapInArrow(lambda it: _set_rows(it, width, test), "id long, set binary")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:

@@ -46,7 +46,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["up"], _POW["down"]
 
 
-def slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, offsets) of parts of about ``most`` bytes.
 
     One text is never split.  Nulls are empty.
@@ -91,13 +91,26 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, blind to the case of A-Z."""
-    up, down = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """64-bit hash of each word, blind to the case of A-Z.
+
+    Words are taken in blocks of about ``block`` bytes, so that the tables and
+    sums stay small however long a text is.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + block)))
+        low = int(starts[at])
+        first, size = starts[at:to] - low, (ends[at:to] - starts[at:to]).astype(np.uint64)
+        part = data[low : ends[to - 1]]
+        up, down = _powers(len(part) + 1)
+        sums = np.empty(len(part) + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+        out[at:to] = mix((sums[ends[at:to] - low] - sums[first]) * down[first] + size)
+        at = to
+    return out
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
