@@ -156,7 +156,8 @@ def drop_copies(
     rows = Index.hashed(docs, id_col, text_col)
     known = index.filter.might_contain(_D)
     clear = rows.where(~known)
-    met = rows.where(known).join(index.kept, F.col(_D) == F.col("__gl_kept_digest"), "left")
+    # materialised, as it is read for each of the three cases
+    met = cut(rows.where(known).join(index.kept, F.col(_D) == F.col("__gl_kept_digest"), "left"))
     single = met.where("__gl_kept_digest is null").drop(*_KEPT)
     copy = met.where(F.col(_N) == F.col("__gl_kept_text"))
     first = copy.where(F.col(_I).eqNullSafe(F.col("__gl_kept_keep"))).drop(*_KEPT).dropDuplicates([_D])
