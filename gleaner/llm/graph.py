@@ -8,26 +8,28 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import cut
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     """One contraction: neighbours of ``u`` are linked with the smallest one."""
     both = edges if not large else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    out = both.join(low, "u")
+    out = both.join(low, "u").coalesce(parts)
     if large:
         moved = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))
         )
-    return moved.where("u <> v").distinct()
+    return moved.where("u <> v").distinct().coalesce(parts)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, part_rows: int = 50_000) -> DataFrame:
     """(a, b) links -> (node, comp), comp the smallest node reachable.
 
     Alternates large-star and small-star steps until the links no longer
     change; they then join each node with its component's smallest.  The
-    number of rounds grows with the logarithm of the longest path.
+    number of rounds grows with the logarithm of the longest path.  A table of
+    links is held in one partition for each ``part_rows`` of them, so that few
+    links don't make many small files round after round.
     """
     now = cut(
         edges.where("a <> b")
@@ -40,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
         if mark["n"] == 0 or mark == before:
             break
         before = mark
-        now = cut(_star(_star(now, True), False))
+        parts = 1 + mark["n"] // part_rows
+        now = cut(_star(_star(now.coalesce(parts), True, parts), False, parts))
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     )

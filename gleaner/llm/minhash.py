@@ -425,7 +425,8 @@ def near_duplicates(
         shared = _mixed(shared, comps)
         found = cut(_across(docs, shared, comps, bits, block, percent, main_only, id_col, text_col, width))
         if not found.isEmpty():
-            links = cut(links.unionByName(found))
+            # what is joined so far is a star for each component
+            links = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)
             comps = cut(components(links))
     named = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select(
         "id", "n", F.coalesce("comp", "cls").alias("component")
