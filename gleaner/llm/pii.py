@@ -3,7 +3,8 @@
 Entities are detected in every text; each distinct one gets a keyed surrogate
 of its own type and layout: digits stay digits, separators and case stay, card
 numbers keep whether their check digit is right, private addresses stay
-private, names keep gender and script.  One entity has one surrogate in the
+private, names keep gender and script.  A name is taken to its last word,
+particles between its words stay.  One entity has one surrogate in the
 whole table, however it is written (``coreference``), and no two entities share
 one (``distinctness``): candidates that collide with each other, or with an
 entity that really occurs, are drawn again, round by round, as joins.
@@ -50,6 +51,12 @@ TITLES = {
     "f": "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Señorita Sra Doña Госпожа Κυρία".split(),
     "": "Dr Prof Professor Dra".split(),
 }
+# What stands in lower case within a name; ``JOINING`` may also join two people.
+PARTICLES = (
+    "van von vom zu zum zur der den dem de di da do dos das du des del dela della delle dei degli la le las los lo el al "
+    "ul bin ibn ben bint abu ter ten te tot op af av ’t 't y e i"
+).split()
+JOINING = {"y", "e", "i"}
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve vo".split(),
     "cyrillic": "ба бе бо ва ве во да де до за зе ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са се та те то".split(),
@@ -78,6 +85,10 @@ _RE = {
 }
 _WORD = re.compile(_NAME)
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(_TITLE, key=len, reverse=True))})(\.?[ ]+)(?=\w)", re.IGNORECASE)
+# particles, which stay, and the word of a name behind them
+_STEP = re.compile(
+    rf"((?:(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))}) |(?:d|l|dell|dall|nell|al|el|ul|ter)['’-])*)({_NAME})"
+)
 _LUHN = str.maketrans("0123456789", "0246813579")
 
 
@@ -113,18 +124,33 @@ def _people(text: str) -> Iterator[tuple[str, int, int]]:
     at = 0
 
     def taken(start: int, gender: str, titled: bool) -> tuple[list[tuple[str, int, int]], int]:
-        found, end = [], start
-        while len(found) < 3 and (m := _WORD.match(text, end + (1 if found else 0))) and _capital(m[0]):
-            if found and text[end] != " ":
+        """All words of the name: capitalised, with particles between them, and
+        initials with their stop."""
+        found, behind, end, at = [], [], start, start
+        while (m := _STEP.match(text, at)) and _capital(m[2]):
+            if JOINING.intersection(m[1].split()) and (m[2].lower() in _TITLE or m[2].lower() in _GENDER):
+                break
+            found.append((m[2], *m.span(2)))
+            behind.append(bool(m[1]))
+            at = end = m.end()
+            if text.startswith(" ", end):
+                at = end + 1
+            elif len(m[2]) == 1 and text.startswith(".", end):
+                at = end + 1 + text.startswith(" ", end + 1)
+            else:
                 break
-            found.append((m[0], m.start(), m.end()))
-            end = m.end()
         if not found or not titled and len(found) < 2:
             return [], start
-        known = _GENDER.get(found[0][0].lower())
+        known, n = _GENDER.get(found[0][0].lower()), len(found)
+        # surnames: what follows a particle, or the last word, of four and more the last two
+        last = n - 2 if n > 3 else n - 1
+        for i in range(n):
+            if behind[i] and (i == n - 1 or found[i][0].lower() not in _GENDER):
+                last = i
+                break
         out = []
         for i, (w, s, e) in enumerate(found):
-            if i < len(found) - 1 or known and len(found) == 1:
+            if i < last or known and n == 1 and not behind[0]:
                 g = gender or (known or _GENDER.get(w.lower()) or ("", "m"))[1]
                 out.append((f"given_{g}_{script_of(w)}", s, e))
             else:

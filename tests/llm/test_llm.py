@@ -93,6 +93,24 @@ def test_surrogate_of_a_name_elsewhere_in_the_text(spark):
     assert name and name[2] == name[3] != "Smith" and name[1].lower() in pii.GIVEN["latin", "f"]
 
 
+def test_surrogates_of_whole_names(spark):
+    kept = {
+        "Dr María Guadalupe Hernández Ramírez": "Dr",
+        "Dr Ludwig van Beethoven": "Dr van",
+        "Señora Ana María de la Cruz Gómez y Ortega": "Señora de la y",
+        "Mr van der Berg": "Mr van der",
+        "Prof Jean d'Alembert": "Prof d",
+        "Dr John F. Kennedy": "Dr",
+        "Anna von Stein Adler Weiss": "von",
+    }
+    rows = [(i, f"Then {x} came; later {x.split()[-1]} left the hall.") for i, x in enumerate(kept)]
+    got = {r.doc_id: r.text for r in pii.replace_entities(docs(spark, rows)).collect()}
+    for i, name in enumerate(kept):
+        assert set(re.findall(r"\w+", got[i])) & set(re.findall(r"\w+", name)) == set(kept[name].split())
+        kinds = [k.split("_")[0] for k, _, _ in pii.detect(name)]
+        assert kinds == sorted(kinds) and kinds[-1] == "surname"
+
+
 # 2: url templates
 
 
