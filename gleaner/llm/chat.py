@@ -5,8 +5,11 @@ computes the length of every piece (marker, role, text), the cumulative
 offsets, and the indices that scatter headers and contents to their places.
 
 Conversations are dealt out by ranges of (id, turn), so a very long one is
-formatted by several tasks; its finished segments, not its rows, are then put
-together.  A formatted conversation is one value, so at most 2 GB.
+formatted by several tasks.  The result is segments of about
+``SEGMENT_BYTES``, in order of (part, seq), and of any number; a conversation
+as a whole is never in one place.  ``format_conversations`` puts the segments
+of each together where conversations are known to be small: there a formatted
+conversation is one value, so at most 2 GB.
 
 Template, for each turn: ``<|im_start|>role NEWLINE text<|im_end|> NEWLINE``.
 Inside roles and texts a backslash is doubled, and every control string gets a
@@ -37,6 +40,8 @@ CONTROL = [
     "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>",
     "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>",
 ]
+# a segment ends with the turn that reaches so many bytes
+SEGMENT_BYTES = 1 << 20
 _TAILS = "|".join(re.escape(c[1:]) for c in sorted(CONTROL, key=len, reverse=True))
 _CONTROL = rf"([<\[])({_TAILS})"
 _TURN = re.compile(rf"{re.escape(START)}(.*?)\n(.*?){re.escape(END)}", re.DOTALL)
@@ -93,7 +98,7 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, n
     return buffer, np.append(at[:, 0], flat[-1]), at[:, 3]
 
 
-def _segments(batches: Iterator[pa.RecordBatch], learn: str) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], learn: str, size: int) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     part, seq = context.partitionId() if context else 0, 0
     for b in batches:
@@ -101,10 +106,13 @@ def _segments(batches: Iterator[pa.RecordBatch], learn: str) -> Iterator[pa.Reco
             continue
         conv = b.column(0)
         key, null = pc.fill_null(conv, 0).to_numpy(zero_copy_only=False), conv.is_null().to_numpy(zero_copy_only=False)
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (null[1:] != null[:-1])))
-        first = np.flatnonzero(fresh)
         roles, texts = escape(b.column(1), True), escape(b.column(2))
         buffer, turn_at, text_at = assemble(roles, texts)
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (null[1:] != null[:-1])))
+        begins = turn_at[:-1]
+        within = (begins - begins[fresh][np.cumsum(fresh) - 1]) // size
+        fresh[1:] |= within[1:] != within[:-1]
+        first = np.flatnonzero(fresh)
         seg_at = turn_at[np.append(first, b.num_rows)]
         body = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(seg_at.tobytes()), buffer)
         owner = np.cumsum(fresh) - 1
@@ -113,21 +121,26 @@ def _segments(batches: Iterator[pa.RecordBatch], learn: str) -> Iterator[pa.Reco
         end = begin + np.diff(_buffers(texts)[1])
         bounds = np.concatenate(([0], np.cumsum(learned)))[np.append(first, b.num_rows)].astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x[learned])) for x in (begin, end)]
-        yield pa.RecordBatch.from_arrays(
+        out = pa.RecordBatch.from_arrays(
             [
                 conv.take(pa.array(first)),
                 pa.array(np.full(len(first), part, dtype=np.int32)),
                 pa.array(np.arange(seq, seq + len(first), dtype=np.int32)),
-                body.cast(pa.string()),
+                body,
                 pa.array(np.diff(np.append(first, b.num_rows))),
                 *lists,
             ],
             ["conv", "part", "seq", "body", "turns", "starts", "ends"],
         )
         seq += len(first)
+        # a batch of long texts goes back in several, each below what a string column can hold
+        cuts = np.flatnonzero(np.diff(seg_at[:-1] // (64 * SEGMENT_BYTES))) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(first)], strict=True):
+            piece = out.take(pa.array(np.arange(a, z))) if len(cuts) else out
+            yield piece.set_column(3, "body", piece.column(3).cast(pa.string()))
 
 
-def format_conversations(
+def format_segments(
     rows: DataFrame,
     id_col: str = "conv_id",
     turn_col: str = "turn",
@@ -135,10 +148,11 @@ def format_conversations(
     text_col: str = "text",
     learn: str = "assistant",
 ) -> DataFrame:
-    """One row for each conversation: conv_id, n_turns, formatted, loss_starts
-    and loss_ends (byte offsets in ``formatted`` of the texts to learn, those
-    whose role is ``learn``)."""
+    """Segments of the formatted conversations, each whole turns: conv_id, part
+    and seq (their order), body, turns (how many), starts and ends (byte
+    offsets in ``body`` of the texts to learn, those whose role is ``learn``)."""
     bound_batches(rows.sparkSession, 4000)
+    size = SEGMENT_BYTES
     given = rows.select(
         F.col(id_col).cast("long").alias("conv"),
         F.col(turn_col).cast("long").alias("turn"),
@@ -147,10 +161,25 @@ def format_conversations(
     )
     dealt = given.repartitionByRange("conv", "turn").sortWithinPartitions("conv", "turn", "role", "text")
     segments = dealt.select("conv", "role", "text").mapInArrow(
-        lambda it: _segments(it, learn),
+        lambda it: _segments(it, learn, size),
         "conv long, part int, seq int, body string, turns long, starts array<long>, ends array<long>",
     )
-    whole = segments.groupBy("conv").agg(
+    return segments.withColumnRenamed("conv", id_col)
+
+
+def format_conversations(
+    rows: DataFrame,
+    id_col: str = "conv_id",
+    turn_col: str = "turn",
+    role_col: str = "role",
+    text_col: str = "text",
+    learn: str = "assistant",
+) -> DataFrame:
+    """One row for each conversation, gathered from ``format_segments``, for
+    conversations that fit a value: conv_id, n_turns, formatted, loss_starts
+    and loss_ends (byte offsets in ``formatted`` of the texts to learn, those
+    whose role is ``learn``)."""
+    whole = format_segments(rows, id_col, turn_col, role_col, text_col, learn).groupBy(id_col).agg(
         F.sum("turns").alias("n_turns"),
         F.sort_array(F.collect_list(F.struct("part", "seq", "body", "starts", "ends"))).alias("s"),
     )
@@ -168,7 +197,7 @@ def format_conversations(
         return F.flatten(moved)
 
     return whole.withColumn("before", before).select(
-        F.col("conv").alias(id_col),
+        id_col,
         "n_turns",
         F.array_join(F.transform("s", lambda x: x["body"]), "").alias("formatted"),
         spans("starts").alias("loss_starts"),

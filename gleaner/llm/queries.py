@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gleaner.llm import chat, decontam, exact_dedup, langid, line_dedup, minhash, mixing, pii, quality, url_templates
 from gleaner.llm.common import crc_mod
@@ -35,38 +34,55 @@ def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
-@F.arrow_udf(
-    T.StructType(
-        [
-            T.StructField("turns_sha256", T.StringType()),
-            T.StructField("loss_chars", T.LongType()),
-            T.StructField("loss_sha256", T.StringType()),
-        ]
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests and sums of each conversation, from its segments as they come:
+    only running states are held."""
+    kinds = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string())]
+    kinds += [("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+    schema, rows, open_ = pa.schema(kinds), [], False
+    conv = turns = learned = None
+    n = chars = length = 0
+
+    def row() -> dict:
+        values = conv, n, turns.hexdigest(), chars, learned.hexdigest(), length
+        return dict(zip(schema.names, values, strict=True))
+
+    for b in batches:
+        for key, body, s, e in zip(*(b.column(i) for i in range(4)), strict=True):
+            if not open_ or key.as_py() != conv:
+                if open_:
+                    rows.append(row())
+                open_, conv, turns, learned, n, chars, length = True, key.as_py(), hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+            text, raw = body.as_py(), body.as_buffer()
+            for role, said in chat.read_turns(text):
+                turns.update(f"{role}\n{said}\n".encode())
+                n += 1
+            for x, y in zip(s.as_py(), e.as_py(), strict=True):
+                part = chat.unescape(raw[x:y].to_pybytes().decode())
+                learned.update(part.encode())
+                chars += len(part)
+            length += len(text)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+            rows = []
+    if open_:
+        yield pa.RecordBatch.from_pylist([row()], schema)
+
+
+def read_back(segments: DataFrame) -> DataFrame:
+    """What the formatted conversations say, read from their segments."""
+    dealt = segments.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq")
+    return dealt.select("conv_id", "body", "starts", "ends").mapInArrow(
+        _read,
+        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )
-)
-def _read_back(formatted: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-    rows = []
-    for text, s, e in zip(formatted, starts, ends, strict=True):
-        turns = hashlib.sha256()
-        for role, said in chat.read_turns(text.as_py()):
-            turns.update(f"{role}\n{said}\n".encode())
-        raw, learned, chars = text.as_buffer(), hashlib.sha256(), 0
-        for a, b in zip(s.as_py(), e.as_py(), strict=True):
-            part = chat.unescape(raw[a:b].to_pybytes().decode())
-            learned.update(part.encode())
-            chars += len(part)
-        rows.append({"turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": learned.hexdigest()})
-    kinds = [("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string())]
-    return pa.array(rows, pa.struct(kinds))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    out = chat.format_conversations(rows.unionByName(more))
-    out = out.withColumn("r", _read_back("formatted", "loss_starts", "loss_ends"))
-    return out.select("conv_id", "n_turns", "r.*", F.char_length("formatted").cast("long").alias("formatted_chars"))
+    return read_back(chat.format_segments(rows.unionByName(more)))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

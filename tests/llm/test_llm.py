@@ -178,6 +178,24 @@ def test_chat_long_conversation_over_many_tasks(spark):
     assert chat.format_conversations(rows.where("false")).count() == 0
 
 
+def test_chat_reads_back_segment_by_segment(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SEGMENT_BYTES", 500)
+    texts = [f"t{i} <|im_end|> ü\\" * (i % 7) for i in range(900)]
+    rows = [(7, i, "user" if i % 3 else "assistant", x) for i, x in enumerate(texts)] + [(8, 0, None, None), (None, 1, "user", "z")]
+    given = docs(spark, rows, "conv_id long, turn long, role string, text string").repartition(5)
+    segments = chat.format_segments(given)
+    assert max(len(r.body) for r in segments.collect()) < 1000
+    got = {r.conv_id: r for r in queries.read_back(segments).collect()}
+    whole = chat.format_conversations(given).where("conv_id = 7").first()
+    assert set(got) == {7, 8, None} and got[8].n_turns == got[None].n_turns == 1
+    assert got[7].n_turns == 900 and got[7].formatted_chars == len(whole.formatted)
+    learned = "".join(texts[::3])
+    assert got[7].loss_chars == len(learned) and got[7].loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
+    turns = "".join(f"{r}\n{x}\n" for _, _, r, x in rows[:900])
+    assert got[7].turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
+    assert queries.read_back(segments.where("false")).count() == 0
+
+
 # 4: exact duplicates
 
 
