@@ -1,12 +1,14 @@
 """URL filtering with host rules and a path-template tree.
 
 Level by level, the segments below each node of a host's tree are counted.  A
-segment stays literal only if it carries a fair share of the node's urls and
-its branch differs, by a likelihood-ratio test over the shapes of what follows
-and over the labels, from all branches of the node taken together; all others
-are merged into one wildcard branch.  A node so has at most ``1 / least_share``
-literal branches, and branches are compared with their node, never with each
-other.
+segment stays literal only if its branch differs, by a likelihood-ratio test
+over the shapes of what follows and over the labels, from all branches of the
+node taken together; all others are merged into one wildcard branch.  The share
+that a branch has of its node doesn't matter, only that it has ``least_urls``.
+Branches are compared with their node, never with each other.
+
+This goes on while a node has ``least_urls`` urls with a further segment.
+Below any other node no branch can be literal, so its urls are done at once.
 
 Every leaf is a template.  Its purity is the share of bad among its labelled
 urls, smoothed towards the rates of its host and, with half the weight, of the
@@ -15,14 +17,14 @@ same template on all hosts, and these towards ``prior``.  Templates at or above
 verdicts; as the rules aren't a sample of the urls, ``prior`` is a parameter.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path;
-repeated rows get equal results; segments beyond ``depth`` are cut into one
-wildcard; without labels every purity is ``prior``; an empty table gives an empty result.  Other columns
-are ignored.
+repeated rows get equal results; without labels every purity is ``prior``; an
+empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,9 +86,7 @@ def _critical(shapes: list[str], labels: list[str], normal: float) -> Column:
     return free * F.pow(1 - spread + normal * F.sqrt(spread), F.lit(3.0))
 
 
-def templates(
-    rows: DataFrame, depth: int = 8, least_share: float = 0.05, least_urls: int = 3, normal: float = 1.645
-) -> DataFrame:
+def templates(rows: DataFrame, least_urls: int = 3, normal: float = 1.645) -> DataFrame:
     """``rows`` (host, segs, bad, ...) with a column ``template``.
 
     ``normal``: quantile of the normal distribution at which branches count as
@@ -96,10 +96,9 @@ def templates(
     keys = ["host", "template"]
     shapes, labels = [f"k_{s}" for s in SHAPES], ["bad_n", "good_n", "none_n"]
     parts = shapes + labels
-    for d in range(depth):
-        live = now.where(F.size("segs") > d)
-        if live.isEmpty():
-            return now
+    done = [now.where(F.size("segs") == 0)]
+    live, d = now.where(F.size("segs") > 0), 0
+    while not live.isEmpty():
         seg = F.get("segs", F.lit(d))
         follow = shape(F.get("segs", F.lit(d + 1)))
         stats = live.groupBy(*keys, seg.alias("seg")).agg(
@@ -112,18 +111,32 @@ def templates(
         pool = stats.groupBy(*keys).agg(
             F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("branches"), *[F.sum(p).alias(f"all_{p}") for p in parts]
         )
-        literal = shape(F.col("seg")).isin("word", "file", "other")
-        fair = (F.col("n") >= least_urls) & (F.col("n") >= F.col("all_n") * least_share)
         unlike = _g_test([(p, f"all_{p}") for p in parts], "n", "all_n") >= _critical(shapes, labels, normal)
-        kept = (
-            stats.join(pool, keys)
-            .where(literal & fair & (unlike | (F.col("branches") == 1)))
-            .select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("seg").alias("_s"))
+        literal = shape(F.col("seg")).isin("word", "file", "other") & (F.col("n") >= least_urls)
+        branches = cut(
+            stats.join(pool.where(F.col("all_n") >= least_urls), keys).select(
+                F.col("host").alias("_h"),
+                F.col("template").alias("_t"),
+                F.col("seg").alias("_s"),
+                (literal & (unlike | (F.col("branches") == 1))).alias("_kept"),
+                (F.col("n") - F.col("k_end")).alias("_more"),
+            )
         )
-        fits = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (seg == F.col("_s"))
-        step = F.when(F.size("segs") > d, F.concat(F.lit("/"), F.coalesce("_s", F.lit("*")))).otherwise("")
-        now = cut(now.join(kept, fits, "left").withColumn("template", F.concat("template", step)).drop("_h", "_t", "_s"))
-    return now.withColumn("template", F.when(F.size("segs") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        kept = branches.where("_kept").select("_h", "_t", "_s", (F.col("_more") >= least_urls).alias("_on"))
+        # materialised, so that adaptive execution can split a hot node in the join
+        merged = cut(branches.where("not _kept").groupBy("_h", "_t").agg((F.sum("_more") >= least_urls).alias("_all_on")))
+        node = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))
+        now = live.join(kept, node & (seg == F.col("_s")), "left").drop("_h", "_t").join(merged, node, "left")
+        # below a node of too few urls there are only wildcards
+        on = F.coalesce("_on", "_all_on", F.lit(False))
+        rest = F.when(on, "").otherwise(F.repeat(F.lit("/*"), F.size("segs") - (d + 1)))
+        now = now.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("_s", F.lit("*")), rest))
+        now = cut(now.withColumn("_on", on & (F.size("segs") > d + 1)).drop("_h", "_t", "_s", "_all_on"))
+        done.append(now.where("not _on").drop("_on"))
+        live, d = now.where("_on").drop("_on"), d + 1
+        if len(done) > 32:
+            done = [cut(reduce(DataFrame.unionByName, done))]
+    return reduce(DataFrame.unionByName, done)
 
 
 def judge_urls(
@@ -135,7 +148,6 @@ def judge_urls(
     reject: float = 0.5,
     weight: float = 10.0,
     prior: float = 0.2,
-    depth: int = 8,
 ) -> DataFrame:
     """One row for each row: page_id, host, path, rule, verdict, template,
     purity (smoothed share of bad), n_labelled (of the template).
@@ -155,7 +167,7 @@ def judge_urls(
     if not bad_col:
         base = base.withColumn("bad", F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0))
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    leaves = templates(cut(base.withColumn("segs", segs)), depth=depth)
+    leaves = templates(cut(base.withColumn("segs", segs)))
 
     def rates(*by: str, tag: str) -> DataFrame:
         return leaves.groupBy(*by).agg(

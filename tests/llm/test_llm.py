@@ -151,6 +151,27 @@ def test_url_templates_merge_like_branches(spark):
     assert {r.template for r in got.select("template").distinct().collect()} == {"/*/*"}
 
 
+def test_url_templates_keep_a_small_bad_branch(spark):
+    rows = [(i, f"http://h.org/{'abcdefghij'[i % 10]}{'klmno'[i // 10 % 5]}/{i}", 0) for i in range(1960)]
+    rows += [(5000 + i, f"http://h.org/spam/{i}", 1) for i in range(40)]
+    pages = docs(spark, rows, "page_id long, url string, bad int")
+    got = {r.page_id: r for r in url_templates.judge_urls(pages, [], bad_col="bad").collect()}
+    assert {r.template for i, r in got.items() if i >= 5000} == {"/spam/*"}
+    assert all(r.verdict == ("block" if i >= 5000 else "allow") for i, r in got.items())
+
+
+def test_url_templates_go_to_the_last_segment(spark):
+    stem = "/".join("abcdefghijkl")
+    rows = [(100 * k + i, f"http://h.org/{stem}/{s}/{i}", k) for k, s in enumerate(("good", "bad")) for i in range(40)]
+    rows += [(900, "http://g.org/" + "/".join("x" * 200), 0), (901, "http://h.org", None)]
+    pages = docs(spark, rows, "page_id long, url string, bad int")
+    got = {r.page_id: r for r in url_templates.judge_urls(pages, [], bad_col="bad").collect()}
+    assert len(got) == len(rows)
+    for k, s in enumerate(("good", "bad")):
+        assert {got[100 * k + i].template for i in range(40)} == {f"/{stem}/{s}/*"}
+    assert got[900].template == "/*" * 200 and got[901].template == ""
+
+
 # 3: chat
 
 
