@@ -1,5 +1,5 @@
 """Shared helpers: cluster-safe materialisation, bounded Arrow batches, a
-fixed-size Bloom filter built with built-in aggregates."""
+Bloom filter of bounded size built with built-in aggregates."""
 
 from __future__ import annotations
 
@@ -18,22 +18,30 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
     The folder is the one named by ``spark.checkpoint.dir``.  A temporary one
-    is chosen only where that setting is absent (tests on one machine).
+    is chosen only where that setting is absent and all runs on one machine;
+    on a cluster it would be lost with an executor, so that is an error.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        conf = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="gleaner-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gleaner-ckpt-"))
     return df.checkpoint(eager=True)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Limit Arrow batches to ``rows`` rows, so that long texts fit a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Limit Arrow batches to ``rows`` rows and about ``size`` bytes, so that
+    long texts fit a worker.
+
+    The settings are of the session and only ever made tighter.  They hold
+    when a plan runs, not when it is built, and so are not set back.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def documents_only(df: DataFrame, *cols: str) -> DataFrame:
@@ -47,24 +55,26 @@ def crc_mod(column: str, n: int) -> Column:
 
 
 class Bloom:
-    """Bloom filter of one fixed size, whatever the number of keys.
+    """Bloom filter with ``per_key`` bits a key, of ``most`` bits (32 MB) at
+    most.
 
     The bits are gathered by ``bit_or`` per 64-bit word, so the driver gets at
-    most ``bits / 64`` rows (1 MB for the default).  With more keys the filter
-    lets more rows through; it never drops one that is in the key set.
+    most ``most / 64`` rows.  With more keys than that holds the filter lets
+    more rows through; it never drops one that is in the key set.
     """
 
     HASHES = 4
 
-    def __init__(self, keys: DataFrame, column: str, bits: int = 1 << 23):
-        self.bits = bits
+    def __init__(self, keys: DataFrame, column: str, per_key: int = 12, most: int = 1 << 28):
+        n = max(1, keys.count())
+        self.bits = min(most, max(1 << 10, 1 << (n * per_key - 1).bit_length()))
         spark = keys.sparkSession
         words = (
             keys.select(F.explode(F.array(*self.places(column))).alias("b"))
             .groupBy(F.shiftright("b", 6).cast("int").alias("w"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m"))
         )
-        table = np.zeros(bits >> 6, dtype=np.int64)
+        table = np.zeros(max(1, self.bits >> 6), dtype=np.int64)
         got = words.toArrow()
         table[got.column("w").to_numpy()] = got.column("m").to_numpy()
         self._bits = spark.sparkContext.broadcast(table)
@@ -100,7 +110,7 @@ class Bloom:
 def without_ids(docs: DataFrame, lost: DataFrame, id_col: str, lost_col: str) -> DataFrame:
     """``docs`` without the rows whose id is in ``lost``, all columns.
 
-    A filter of fixed size lets most rows pass in place; only the rows it may
+    A filter of bounded size lets most rows pass in place; only the rows it may
     know are joined, so their texts alone are moved.
     """
     ids = lost.where(F.col(lost_col).isNotNull()).select(F.col(lost_col).alias("__gl_lost")).distinct()
