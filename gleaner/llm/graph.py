@@ -12,6 +12,9 @@ def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     """One contraction: neighbours of ``u`` are linked with the smallest one."""
     both = edges if not large else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if parts > 1:
+        # materialised, so that a node with very many links is split in the join
+        low = cut(low)
     out = both.join(low, "u").coalesce(parts)
     if large:
         moved = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -4,21 +4,29 @@ Each text is a set of hashed word shingles.  128 minima are taken; bands of
 four minima give candidates, and of each minimum four low bits are kept,
 packed into eight longs.  A candidate's similarity is estimated from these
 bits by counting equal ones and correcting for chance collisions; a pair whose
-estimate is within four standard errors of the threshold, or above, is then
+estimate is within five standard errors of the threshold, or above, is then
 decided on the full sets.
 
 No bucket is expanded into all its pairs.  Texts with equal sets form a class
 of which one stands for all.  Each class is first compared with one other, the
 first class of most of its buckets; the links confirmed make components.
-Only buckets in which several components still meet are looked at again:
-blocks of bounded size compare signatures in place and tell which texts should
-visit which larger component.  That component's texts are dealt out in blocks,
-every visitor goes to each of them, and is compared on the full sets until a
-link is found.  No table of pairs arises, and no link between components is
+Only buckets in which several components still meet are looked at again, in
+two passes.  In the first, the largest component of a bucket is dealt out in
+blocks, once, and the bucket's other texts go to each block.  In the second,
+these others meet each other, in pairs of blocks.  Both compare signatures in
+place and tell which texts should visit which component.  That component's
+texts are dealt out in blocks, every visitor goes to each of them, and is
+compared on the full sets until a link is found.  No link between components is
 missed that the bands and the estimate let through.
 
+What is moved grows with the size of a bucket times the number of its texts
+outside the largest component, over the size of a block.  It is quadratic only
+for texts that share buckets and estimates but never link, such as very many
+texts that are all 0.6 to 0.74 alike.
+
 With 32 bands of 4, two texts at the very threshold of 0.75 share no band with
-probability (1 - 0.75^4)^32 = 5e-6, more similar ones less.
+probability (1 - 0.75^4)^32 = 5e-6, and the estimate of such a pair lies five
+standard errors low with less than 2e-6; both become less with similarity.
 
 Edge cases: null and empty texts have an empty set and are linked with
 nothing, not even each other; a text of fewer words than a shingle is one
@@ -46,6 +54,7 @@ LONGS = HASHES * BITS // 64
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+_C = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _BAND = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,7 +99,9 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         h = np.zeros(v.shape[:2], dtype=np.uint64) + _BAND
         for k in range(0, ROWS, 2):
             h = mix(h ^ ((v[:, :, k] << np.uint64(32)) | v[:, :, k + 1]))
-        bits = (low & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(-1, LONGS, 64 // BITS)
+        # the low bits of A * x + B only depend on those of x, so the minima are mixed
+        last = ((low ^ _C) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        bits = last.astype(np.uint64).reshape(-1, LONGS, 64 // BITS)
         packed = (bits << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
         yield pa.RecordBatch.from_arrays(
             [
@@ -129,10 +140,11 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def margin(threshold: float) -> float:
-    """The estimate below which a pair at the threshold lies once in 30,000."""
+    """The estimate below which a pair at the threshold lies less than once in
+    500,000."""
     chance = 2.0**-BITS
     p = threshold + (1 - threshold) * chance
-    return threshold - 4 * (p * (1 - p) / HASHES) ** 0.5 / (1 - chance)
+    return threshold - 5 * (p * (1 - p) / HASHES) ** 0.5 / (1 - chance)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -176,19 +188,18 @@ def _most_differing(least: float) -> float:
     return HASHES * (1 - (least * (1 - chance) + chance))
 
 
-def _visits(batches: Iterator[pa.RecordBatch], least: float, percent: int, main_only: bool) -> Iterator[pa.RecordBatch]:
+def _visits(batches: Iterator[pa.RecordBatch], least: float, percent: int) -> Iterator[pa.RecordBatch]:
     """Blocks of buckets -> (visitor, component): texts that may be linked
-    with a text of another, larger component.  ``main_only``: only with the
-    component that has most members in the block."""
+    with a text of another component.  Guests only meet hosts; in blocks
+    without hosts all meet each other, and the smaller component visits."""
     most = _most_differing(least)
     keys = ("bh", "lo", "hi")
     for t in _groups(batches, keys):
-        cls, comp, size, n = (t.column(c).to_numpy() for c in ("cls", "comp", "size", "n"))
+        cls, comp, size, n, host = (t.column(c).to_numpy() for c in ("cls", "comp", "size", "n", "host"))
         sig, visitor, visited = _packed(t), [], []
         for s, e in _bounds(t, keys):
-            values, counts = np.unique(comp[s:e], return_counts=True)
-            main = comp[s:e] == values[counts.argmax()]
-            a, b = np.flatnonzero(~main) + s, (np.flatnonzero(main) + s if main_only else np.arange(s, e))
+            hosts = np.flatnonzero(host[s:e] == 1) + s
+            a, b = np.flatnonzero(host[s:e] == 0) + s, (hosts if len(hosts) else np.arange(s, e))
             for i in range(0, len(a), 128):
                 p = a[i : i + 128]
                 x, y = n[p][:, None], n[b][None, :]
@@ -199,7 +210,7 @@ def _visits(batches: Iterator[pa.RecordBatch], least: float, percent: int, main_
                 q, r = np.nonzero(ok & (_differ(sig[p], sig[b]) <= most))
                 u, v = p[q], b[r]
                 # the smaller component visits; of equal ones the later
-                swap = ~main_only & ((size[u] > size[v]) | ((size[u] == size[v]) & (comp[u] < comp[v])))
+                swap = (host[v] == 0) & ((size[u] > size[v]) | ((size[u] == size[v]) & (comp[u] < comp[v])))
                 visitor.append(cls[np.where(swap, v, u)])
                 visited.append(comp[np.where(swap, u, v)])
         if visitor:
@@ -296,51 +307,54 @@ def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width
 
 
 def _mixed(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """bh, cls, m: the buckets in which several components meet.  They only
-    become fewer as components are joined."""
+    """bh, cls, main, m: the buckets in which several components meet, with the
+    one that has most texts there and how many it has."""
     shared = shared.select("bh", "cls")
     labelled = shared.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = labelled.groupBy("bh").agg(
-        F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m")
+    counted = labelled.groupBy("bh", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = counted.groupBy("bh").agg(
+        F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("m").alias("all")
     )
-    return cut(shared.join(cut(mixed.where("c1 <> c2").select("bh", "m")), "bh"))
+    mixed = cut(mixed.where("comps > 1").select("bh", "top.m", "all", F.col("top.comp").alias("main")))
+    return cut(shared.join(mixed, "bh"))
 
 
 def _across(
     docs: DataFrame,
     shared: DataFrame,
-    comps: DataFrame,
+    nodes: DataFrame,
     bits: DataFrame,
     block: int,
     percent: int,
-    main_only: bool,
+    with_main: bool,
     id_col: str,
     text_col: str,
     width: int,
 ) -> DataFrame:
-    """Links between different components that meet in a bucket."""
+    """Links between different components that meet in a bucket: with its main
+    one, or of the others with each other."""
     least = margin(percent / 100)
-    if shared.isEmpty():
-        return shared.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    nodes = bits.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    nodes = cut(nodes.join(shared.select("cls").distinct(), "cls", "left_semi"))
     sizes = cut(nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size")))
-    sized = nodes.join(sizes, "comp")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    rows = (
-        shared.join(sized, "cls")
-        .withColumn("mine", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(
-            "bh", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"),
-            "cls", "comp", "size", "n", "sig",
+    rows = shared.join(nodes.join(sizes, "comp"), "cls")
+    own = ["bh", "lo", "hi", "host", "cls", "comp", "size", "n", "sig"]
+    if with_main:
+        # its texts once, each of the others with every block of them
+        blocks = F.ceil(F.col("m") / block).cast("int")
+        main = F.col("comp") == F.col("main")
+        mine = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+        rows = rows.withColumn("host", main.cast("int")).withColumn(
+            "lo", F.explode(F.when(main, F.array(mine)).otherwise(F.sequence(F.lit(0), blocks - 1)))
+        ).withColumn("hi", F.lit(0))
+    else:
+        blocks = F.ceil(F.col("m") / block).cast("int")
+        rows = (
+            rows.withColumn("host", F.lit(0))
+            .withColumn("mine", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
         )
-        .repartition("bh", "lo", "hi")
-        .sortWithinPartitions("bh", "lo", "hi")
-    )
-    visits = cut(
-        rows.mapInArrow(lambda it: _visits(it, least, percent, main_only), "cls long, visited long").distinct()
-    )
+    rows = rows.select(*own).repartition("bh", "lo", "hi").sortWithinPartitions("bh", "lo", "hi")
+    visits = cut(rows.mapInArrow(lambda it: _visits(it, least, percent), "cls long, visited long").distinct())
     if visits.isEmpty():
         return visits.select(F.col("cls").alias("a"), F.col("visited").alias("b"))
     # the components visited, in blocks, and each visitor with every block
@@ -419,15 +433,24 @@ def near_duplicates(
     links = cut(confirm(docs, cut(likely), id_col, text_col, width, percent))
     comps = cut(components(links))
     # then what still meets in a bucket: first with the largest component
-    # there, then each component with each other
-    shared = shared.drop("hub")
-    for main_only in (True, False):
-        shared = _mixed(shared, comps)
-        found = cut(_across(docs, shared, comps, bits, block, percent, main_only, id_col, text_col, width))
+    # there, then the others with each other
+    shared = _mixed(shared, comps)
+    for with_main in (True, False):
+        if shared.isEmpty():
+            break
+        nodes = bits.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        nodes = cut(nodes.join(shared.select("cls").distinct(), "cls", "left_semi"))
+        found = cut(_across(docs, shared, nodes, bits, block, percent, with_main, id_col, text_col, width))
+        if with_main:
+            # all that a bucket's main component has there is done
+            rest = shared.join(nodes.select("cls", "comp"), "cls").where("comp <> main").select("bh", "cls")
         if not found.isEmpty():
             # what is joined so far is a star for each component
             links = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)
             comps = cut(components(links))
+        if with_main:
+            others = _mixed(rest, comps)
+            shared = others.withColumn("m", F.col("all"))
     named = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select(
         "id", "n", F.coalesce("comp", "cls").alias("component")
     )
