@@ -1,13 +1,22 @@
 """Corpus pipeline: from documents to a mix, each stage on what the one before
 kept.  Every stage takes (spark, docs, sf_dir); its result is written as
-Parquet and read again as the next stage's docs."""
+Parquet and read again as the next stage's docs.
+
+Edge cases, for every stage: null and empty texts are documents without words.
+They are scored by the labels' share, count as copies of each other, have no
+near duplicates, are never contaminated and add no words.  Rows with a null id
+stay unless they are copies.  Further columns pass through all stages whatever
+their names; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import decontam, exact_dedup, minhash, mixing, quality
-from gleaner.llm.common import cut
+from gleaner.llm.common import shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +42,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: how many words of each document the mix takes."""
-    return mixing.mix_sources(docs)
+    """Operator 10: the documents that the mix takes, and how often
+    (``copies``); the others go."""
+    return mixing.mix(docs)
 
 
 STAGES = [
@@ -51,7 +61,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

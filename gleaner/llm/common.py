@@ -14,19 +14,25 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder for intermediate data, which all executors share.
 
-    The folder is the one named by ``spark.checkpoint.dir``.  A temporary one
-    is chosen only where that setting is absent and all runs on one machine;
-    on a cluster it would be lost with an executor, so that is an error.
+    It is the one named by ``spark.checkpoint.dir``.  A temporary one is chosen
+    only where that setting is absent and all runs on one machine; on a cluster
+    it would be lost with an executor, so that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir", None)
         if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gleaner-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,7 +8,10 @@ threshold are taken once more than the others: a plain filter, no sort.
 Edge cases: a null text has size 0; a null source is a source of its own, the
 last; a null id hashes as the empty text; rows with one id share one hash and
 are taken alike; sources without words get target 0; an empty table gives an
-empty result.  Other columns are ignored by ``mix_sources``.
+empty result.  Other columns are ignored by ``mix_sources`` and kept by ``mix``.
+
+The targets are computed over a table with one row for each source, sorted by
+one task: good for some ten million sources.
 """
 
 from __future__ import annotations
@@ -99,6 +102,55 @@ def _thresholds(sizes: DataFrame, plan: DataFrame, few) -> DataFrame:
     return done
 
 
+class Plan:
+    """How often the rows of each source are taken: ``table`` has the columns
+    s (source), source_size, target, copies and bar; rows whose hash is below
+    ``bar`` are taken once more.  It is broadcast up to ``broadcast_sources``
+    rows, and joined by a shuffle beyond that."""
+
+    def __init__(self, sizes: DataFrame, cycle: int, most: int, broadcast_sources: int):
+        totals = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+        self.small = totals.count() <= broadcast_sources
+        plan = cut(
+            targets(totals, cycle, most)
+            .withColumn(
+                "copies",
+                F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most)))
+                .otherwise(F.lit(0))
+                .cast("long"),
+            )
+            .withColumn("rem", F.col("target") - F.col("copies") * F.col("source_size"))
+        )
+        bars = _thresholds(sizes, plan.where("rem > 0"), self._few)
+        t = plan.alias("p").join(bars.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")), "left")
+        self.table = cut(
+            t.select(F.col("p.source").alias("s"), "source_size", "target", "copies", F.coalesce("bar", F.lit(-1)).alias("bar"))
+        )
+
+    def _few(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.small else df
+
+    def of(self, rows: DataFrame, source: Column, h: Column) -> DataFrame:
+        """``rows`` with a struct ``__gl_mix`` of source_size, target, copies."""
+        names = [f"__gl_{c}" for c in ("s", "size", "target", "copies", "bar")]
+        t = self.table.toDF(*names)
+        copies = (F.col("__gl_copies") + (h < F.col("__gl_bar")).cast("long")).alias("copies")
+        met = rows.join(self._few(t), source.eqNullSafe(F.col("__gl_s")))
+        got = F.struct(F.col("__gl_size").alias("source_size"), F.col("__gl_target").alias("target"), copies)
+        return met.withColumn("__gl_mix", got).drop(*names)
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return cut(
+        docs.select(
+            F.col(id_col).cast("long").alias("id"),
+            F.col(source_col).cast("string").alias("source"),
+            word_count(text_col).alias("size"),
+            id_hash(id_col).alias("h"),
+        )
+    )
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -108,43 +160,32 @@ def mix_sources(
     most: int = 3,
     broadcast_sources: int = 100_000,
 ) -> DataFrame:
-    """One row for each row: doc_id, size, source_size, target, taken.
-
-    ``taken`` is the row's words times the number of its copies in the mix (0
-    to ``most``).  The table of sources is broadcast up to
-    ``broadcast_sources`` rows; beyond that it is joined by a shuffle.
-    """
-    sizes = cut(
-        docs.select(
-            F.col(id_col).cast("long").alias("id"),
-            F.col(source_col).cast("string").alias("source"),
-            word_count(text_col).alias("size"),
-            id_hash(id_col).alias("h"),
-        )
-    )
-    totals = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
-    n = totals.count()
-
-    def few(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if n <= broadcast_sources else df
-
-    plan = cut(
-        targets(totals, cycle, most)
-        .withColumn(
-            "copies",
-            F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most)))
-            .otherwise(F.lit(0))
-            .cast("long"),
-        )
-        .withColumn("rem", F.col("target") - F.col("copies") * F.col("source_size"))
-    )
-    bars = _thresholds(sizes, plan.where("rem > 0"), few)
-    t = plan.alias("p").join(bars.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")), "left")
-    t = t.select(F.col("p.source").alias("s"), "source_size", "target", "copies", F.coalesce("bar", F.lit(-1)).alias("bar"))
-    return sizes.join(few(t), F.col("source").eqNullSafe(F.col("s"))).select(
+    """The ledger, one row for each row: doc_id, size, source_size, target,
+    taken: the row's words times its copies in the mix (0 to ``most``)."""
+    sizes = _sizes(docs, id_col, text_col, source_col)
+    plan = Plan(sizes, cycle, most, broadcast_sources)
+    return plan.of(sizes, F.col("source"), F.col("h")).select(
         F.col("id").alias(id_col),
         "size",
-        "source_size",
-        "target",
-        (F.col("size") * (F.col("copies") + (F.col("h") < F.col("bar")).cast("long"))).alias("taken"),
+        F.col("__gl_mix.source_size").alias("source_size"),
+        F.col("__gl_mix.target").alias("target"),
+        (F.col("size") * F.col("__gl_mix.copies")).alias("taken"),
     )
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    cycle: int = 3,
+    most: int = 3,
+    broadcast_sources: int = 100_000,
+    copies_col: str = "copies",
+) -> DataFrame:
+    """The mix itself: the rows of ``docs`` that it takes, all columns, and how
+    often each is taken.  A column named ``copies_col`` is replaced.  The texts
+    stay where they are."""
+    plan = Plan(_sizes(docs, id_col, text_col, source_col), cycle, most, broadcast_sources)
+    met = plan.of(docs, F.col(source_col).cast("string"), id_hash(id_col)).where("__gl_mix.copies > 0")
+    return met.withColumn(copies_col, F.col("__gl_mix.copies")).drop("__gl_mix")
