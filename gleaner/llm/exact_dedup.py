@@ -195,11 +195,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def compact(runs: DataFrame, ranges: int) -> DataFrame:
     """Merge of runs: digest, keep (smallest id), n, of the digests with more
-    than one row.  Digests are uniform, so equal ranges of them are alike in
-    size, and a frequent one has one entry for each run."""
-    lead = F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long")
-    dealt = runs.withColumn("range", F.shiftright(lead * F.lit(ranges), 32).cast("int"))
-    dealt = dealt.repartition(ranges, "range").sortWithinPartitions("digest").drop("range")
+    than one row.  Each task gets ranges of digests with the same lead; as
+    digests are uniform, tasks are alike in size, and a frequent digest has one
+    entry for each run."""
+    dealt = runs.repartition(ranges, F.substring("digest", 1, 3)).sortWithinPartitions("digest")
     return dealt.mapInArrow(_merge, _ENTRY).withColumnRenamed("low", "keep")
 
 

@@ -1,6 +1,7 @@
 """Removal of repeated passages by overlapping three-line windows.
 
-Every run of three consecutive lines is hashed to 128 bits.  A window that
+Every run of three consecutive lines is hashed to 128 bits, two halves that are
+each taken from the lines themselves.  A window that
 occurs more than once in the table keeps its first occurrence (smallest id,
 then smallest position); the lines covered by the later ones are removed, after
 merging overlapping windows.  A later occurrence that overlaps the first one
@@ -32,13 +33,17 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("id"), F.split(text_col, "\n").alias("lines"))
         .where("size(lines) >= 3")
-        .select("id", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
+        .select(
+            "id",
+            F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
+            F.transform("lines", lambda x: F.xxhash64(F.lit(7), x)).alias("g"),
+        )
     )
     return hashed.select(
         "id",
         F.expr(
             "posexplode(transform(sequence(1, size(h) - 2), i -> struct("
-            "xxhash64(h[i - 1], h[i], h[i + 1]) as w1, xxhash64(7L, h[i + 1], h[i - 1], h[i]) as w2)))"
+            "xxhash64(h[i - 1], h[i], h[i + 1]) as w1, xxhash64(g[i + 1], g[i - 1], g[i]) as w2)))"
         ).alias("pos", "w"),
     ).select("id", "pos", "w.w1", "w.w2")
 
@@ -67,7 +72,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = covered_lines(docs, id_col, text_col).withColumnRenamed("id", "_id")
     # hashing the few covered lines spares the sort of all texts
     gone = gone.hint("shuffle_hash")
-    rows = docs.select(id_col, text_col).join(gone, F.col(id_col).cast("long") == F.col("_id"), "left")
+    # rows with a null id are dealt out by their text and meet nothing
+    key, known = F.col(id_col).cast("long"), F.col(id_col).isNotNull()
+    gone = gone.withColumn("_known", F.lit(True))
+    same = (F.coalesce(key, F.xxhash64(text_col)) == F.col("_id")) & (known == F.col("_known"))
+    rows = docs.select(id_col, text_col).join(gone, same, "left")
     lines = F.split(text_col, "\n")
     # the gaps between covered lines, as (start, length), are what stays
     gaps = F.filter(

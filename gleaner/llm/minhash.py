@@ -51,6 +51,7 @@ from gleaner.llm.textcols import NOT_SPACE, mix, shingles, slices, word_hashes,
 HASHES, BANDS, BITS = 128, 32, 4
 ROWS = HASHES // BANDS
 LONGS = HASHES * BITS // 64
+SALTS = 32
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -451,9 +452,10 @@ def near_duplicates(
         if with_main:
             others = _mixed(rest, comps)
             shared = others.withColumn("m", F.col("all"))
-    named = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "id", "n", F.coalesce("comp", "cls").alias("component")
-    )
+    # the members of one class are dealt out over several tasks
+    salted = comps.select(F.col("node").alias("cls"), "comp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    named = dealt.join(salted, ["cls", "salt"], "left").select("id", "n", F.coalesce("comp", "cls").alias("component"))
     alone = sigs.where("n = 0").select("id", "n", F.col("id").alias("component"))
     return named.unionByName(alone).select(
         F.col("id").alias(id_col),
