@@ -1,14 +1,20 @@
 """URL filtering with host rules and a path-template tree.
 
-Level by level, the segments below each node of a host's tree are counted.  A
-segment stays literal only if its branch differs, by a likelihood-ratio test
-over the shapes of what follows and over the labels, from all branches of the
-node taken together; all others are merged into one wildcard branch.  The share
-that a branch has of its node doesn't matter, only that it has ``least_urls``.
-Branches are compared with their node, never with each other.
+Level by level, the segments below each node of a host's tree are counted.
+Branches of a node whose urls go on alike (by the commonest shape of what
+follows) and have like labels (by share of bad) are pooled.  Neighbouring pools
+are merged while a likelihood-ratio test over shapes and labels finds no
+difference between them.  A pool stays in the tree if it differs, by the same
+test, from all urls of the node taken together; all others are merged into one
+wildcard branch.  A pool of several branches is named by the first of them and
+the number of others, ``{first+others}``.  The share that a branch has of its
+node doesn't matter, only that it has ``least_urls``.  A node has some dozens of
+pools at most, however many branches it has.
 
 This goes on while a node has ``least_urls`` urls with a further segment.
-Below any other node no branch can be literal, so its urls are done at once.
+Below any other node no branch can stay, so its urls are done at once.  The
+tree is made from the distinct (host, path) and their counts; the rows are not
+moved before the end.
 
 Every leaf is a template.  Its purity is the share of bad among its labelled
 urls, smoothed towards the rates of its host and, with half the weight, of the
@@ -26,7 +32,7 @@ from __future__ import annotations
 import string
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import cut
@@ -86,57 +92,93 @@ def _critical(shapes: list[str], labels: list[str], normal: float) -> Column:
     return free * F.pow(1 - spread + normal * F.sqrt(spread), F.lit(3.0))
 
 
-def templates(rows: DataFrame, least_urls: int = 3, normal: float = 1.645) -> DataFrame:
-    """``rows`` (host, segs, bad, ...) with a column ``template``.
+def _pooled(stats: DataFrame, parts: list[str], least_urls: int, critical: Column) -> tuple[DataFrame, DataFrame]:
+    """The branches that may stay, each with its cell (``follow``, ``rate``);
+    and the cells (host, template, follow, rate) with the number of their pool."""
+    keys = ["host", "template"]
+    most = F.greatest(*[F.col(f"k_{s}") for s in SHAPES])
+    follow = F.coalesce(*[F.when(F.col(f"k_{s}") == most, F.lit(i)) for i, s in enumerate(SHAPES)])
+    labelled = F.col("bad_n") + F.col("good_n")
+    rate = F.when(labelled == 0, 0).otherwise(1 + F.floor(4 * F.col("bad_n") / labelled)).cast("int")
+    fit = shape(F.col("seg")).isin("word", "file", "other") & (F.col("n") >= least_urls)
+    some = stats.where(fit).withColumns({"follow": follow, "rate": rate})
+    cells = some.groupBy(*keys, "follow", "rate").agg(F.sum("n").alias("n"), *[F.sum(p).alias(p) for p in parts])
+    order = Window.partitionBy(*keys).orderBy("follow", "rate")
+    for p in ["n", "follow", *parts]:
+        cells = cells.withColumn(f"was_{p}", F.lag(p).over(order))
+    for p in ["n", *parts]:
+        cells = cells.withColumn(f"all_{p}", F.col(p) + F.coalesce(f"was_{p}", F.lit(0)))
+    two = _g_test([(p, f"all_{p}") for p in parts], "n", "all_n")
+    two = two + _g_test([(f"was_{p}", f"all_{p}") for p in parts], "was_n", "all_n")
+    apart = F.col("was_n").isNull() | (F.col("follow") != F.col("was_follow")) | (two >= critical)
+    pool = F.sum(apart.cast("int")).over(order).alias("pool")
+    return some, cells.select(*keys, "follow", "rate", pool)
+
+
+def templates(paths: DataFrame, least_urls: int = 3, normal: float = 1.645, salts: int = 16) -> DataFrame:
+    """``paths`` (host, segs, bad_n, good_n, none_n, ...) with a column
+    ``template``.
 
     ``normal``: quantile of the normal distribution at which branches count as
-    unlike, by default the 5 % level.
+    unlike, by default the 5 % level.  ``salts``: tasks that the urls of one
+    node are dealt out to.
     """
-    now = rows.withColumn("template", F.lit(""))
+    now = paths.withColumns({"template": F.lit(""), "salt": F.pmod(F.xxhash64("segs"), F.lit(salts)).cast("int")})
     keys = ["host", "template"]
     shapes, labels = [f"k_{s}" for s in SHAPES], ["bad_n", "good_n", "none_n"]
     parts = shapes + labels
+    critical = _critical(shapes, labels, normal)
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     done = [now.where(F.size("segs") == 0)]
     live, d = now.where(F.size("segs") > 0), 0
     while not live.isEmpty():
         seg = F.get("segs", F.lit(d))
         follow = shape(F.get("segs", F.lit(d + 1)))
+        n = F.col("bad_n") + F.col("good_n") + F.col("none_n")
         stats = live.groupBy(*keys, seg.alias("seg")).agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.count_if(follow == s).alias(f"k_{s}") for s in SHAPES],
-            F.count_if(F.col("bad") == 1).alias("bad_n"),
-            F.count_if(F.col("bad") == 0).alias("good_n"),
-            F.count_if(F.col("bad").isNull()).alias("none_n"),
+            F.sum(n).alias("n"),
+            *[F.sum(F.when(follow == s, n).otherwise(0)).alias(f"k_{s}") for s in SHAPES],
+            *[F.sum(c).alias(c) for c in labels],
         )
         pool = stats.groupBy(*keys).agg(
             F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("branches"), *[F.sum(p).alias(f"all_{p}") for p in parts]
         )
-        unlike = _g_test([(p, f"all_{p}") for p in parts], "n", "all_n") >= _critical(shapes, labels, normal)
-        literal = shape(F.col("seg")).isin("word", "file", "other") & (F.col("n") >= least_urls)
-        branches = cut(
-            stats.join(pool.where(F.col("all_n") >= least_urls), keys).select(
-                F.col("host").alias("_h"),
-                F.col("template").alias("_t"),
-                F.col("seg").alias("_s"),
-                (literal & (unlike | (F.col("branches") == 1))).alias("_kept"),
-                (F.col("n") - F.col("k_end")).alias("_more"),
+        pool = pool.where(F.col("all_n") >= least_urls)
+        stats = cut(stats.join(pool.select(*keys), keys, "left_semi"))
+        some, cells = _pooled(stats, parts, least_urls, critical)
+        some = some.join(cut(cells), [*keys, "follow", "rate"])
+        pools = some.groupBy(*keys, "pool").agg(
+            F.count(F.lit(1)).alias("members"), F.min("seg").alias("first"), *[F.sum(p).alias(p) for p in ["n", *parts]]
+        )
+        unlike = _g_test([(p, f"all_{p}") for p in parts], "n", "all_n") >= critical
+        kept = (
+            pools.join(pool, keys)
+            .where(unlike | (F.col("branches") == 1))
+            .select(
+                *keys,
+                "pool",
+                F.when(F.col("members") == 1, F.col("first"))
+                .otherwise(F.format_string("{%s+%d}", "first", F.col("members") - 1))
+                .alias("_name"),
+                ((F.col("n") - F.col("k_end")) >= least_urls).alias("_on"),
             )
         )
-        kept = branches.where("_kept").select("_h", "_t", "_s", (F.col("_more") >= least_urls).alias("_on"))
-        # materialised, so that adaptive execution can split a hot node in the join
-        merged = cut(branches.where("not _kept").groupBy("_h", "_t").agg((F.sum("_more") >= least_urls).alias("_all_on")))
-        node = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))
-        now = live.join(kept, node & (seg == F.col("_s")), "left").drop("_h", "_t").join(merged, node, "left")
+        named = cut(some.select(*keys, "pool", "seg").join(kept, [*keys, "pool"]).drop("pool").select("*", every_salt))
+        rest = stats.join(named.where("salt = 0").select(*keys, "seg"), [*keys, "seg"], "left_anti")
+        merged = rest.groupBy(*keys).agg((F.sum(F.col("n") - F.col("k_end")) >= least_urls).alias("_all_on"))
+        # the urls of one node or branch are dealt out, with the few decisions on them
+        now = live.withColumn("seg", seg).join(named, [*keys, "seg", "salt"], "left")
+        now = now.join(cut(merged.select("*", every_salt)), [*keys, "salt"], "left")
         # below a node of too few urls there are only wildcards
         on = F.coalesce("_on", "_all_on", F.lit(False))
-        rest = F.when(on, "").otherwise(F.repeat(F.lit("/*"), F.size("segs") - (d + 1)))
-        now = now.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("_s", F.lit("*")), rest))
-        now = cut(now.withColumn("_on", on & (F.size("segs") > d + 1)).drop("_h", "_t", "_s", "_all_on"))
-        done.append(now.where("not _on").drop("_on"))
-        live, d = now.where("_on").drop("_on"), d + 1
+        tail = F.when(on, "").otherwise(F.repeat(F.lit("/*"), F.size("segs") - (d + 1)))
+        now = now.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("_name", F.lit("*")), tail))
+        now = cut(now.withColumn("_live", on & (F.size("segs") > d + 1)).drop("seg", "_name", "_on", "_all_on"))
+        done.append(now.where("not _live").drop("_live"))
+        live, d = now.where("_live").drop("_live"), d + 1
         if len(done) > 32:
             done = [cut(reduce(DataFrame.unionByName, done))]
-    return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, done).drop("salt")
 
 
 def judge_urls(
@@ -167,11 +209,17 @@ def judge_urls(
     if not bad_col:
         base = base.withColumn("bad", F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0))
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    leaves = templates(cut(base.withColumn("segs", segs)))
+    base = cut(base)
+    paths = base.groupBy("host", "path").agg(
+        F.count_if(F.col("bad") == 1).alias("bad_n"),
+        F.count_if(F.col("bad") == 0).alias("good_n"),
+        F.count_if(F.col("bad").isNull() | ~F.col("bad").isin(0, 1)).alias("none_n"),
+    )
+    leaves = cut(templates(cut(paths.withColumn("segs", segs))).drop("segs"))
 
     def rates(*by: str, tag: str) -> DataFrame:
         return leaves.groupBy(*by).agg(
-            F.count("bad").alias(f"n_{tag}"), F.coalesce(F.sum("bad"), F.lit(0)).alias(f"bad_{tag}")
+            F.sum(F.col("bad_n") + F.col("good_n")).alias(f"n_{tag}"), F.sum("bad_n").alias(f"bad_{tag}")
         )
 
     bad, strength = F.lit(weight * prior), F.lit(weight)
@@ -186,7 +234,8 @@ def judge_urls(
         .join(rates("template", tag="t"), "template")
         .select("host", "template", F.round(purity, 9).alias("purity"), F.col("n_l").alias("n_labelled"))
     )
-    return leaves.join(table, ["host", "template"]).select(
+    judged = cut(leaves.select("host", "path", "template").join(table, ["host", "template"]))
+    return base.join(judged, ["host", "path"]).select(
         F.col("id").alias(id_col),
         "host",
         "path",

@@ -151,6 +151,128 @@ def test_url_templates_merge_like_branches(spark):
     assert {r.template for r in got.select("template").distinct().collect()} == {"/*/*"}
 
 
+def test_url_templates_merge_two_of_three_branches(spark):
+    """Each of the like ones alone, and both together, beside an unlike one."""
+    rows = [(1000 * k + i, f"http://h.org/{s}/{i}", 1) for k, s in enumerate("pq") for i in range(30)]
+    rows += [(9000 + i, f"http://h.org/r/{'abcd'[i % 4] * 3}/{'wxyz'[i // 4 % 4] * 4}", 0) for i in range(300)]
+    pages = docs(spark, rows, "page_id long, url string, bad int")
+    got = {r.page_id: r for r in url_templates.judge_urls(pages, [], bad_col="bad").collect()}
+    assert {r.template for i, r in got.items() if i < 9000} == {"/{p+1}/*"}
+    assert all(r.template.startswith("/r/") for i, r in got.items() if i >= 9000)
+    assert all(r.verdict == ("block" if i < 9000 else "allow") for i, r in got.items())
+
+
+def _plain_templates(rows, least=3, normal=1.645):
+    """The tree in plain Python: rows (host, segs, bad) -> template of each."""
+    import math
+
+    def shape(x):
+        if x is None:
+            return "end"
+        if re.fullmatch(r"[0-9]+", x):
+            return "number"
+        if re.fullmatch(r"(?i)(?=.*[0-9])[0-9a-f-]{8,}", x):
+            return "hex"
+        if re.search(r"\.[A-Za-z0-9]{1,5}$", x):
+            return "file"
+        return "word" if re.fullmatch(r"[^\W\d]+|[\w-]*", x) and not re.search(r"\d", x) else "other"
+
+    names = [*url_templates.SHAPES, 1, 0, None]
+
+    def table(group, d):
+        t = dict.fromkeys(names, 0)
+        for _, segs, bad in group:
+            t[shape(segs[d + 1] if len(segs) > d + 1 else None)] += 1
+            t[bad] += 1
+        return t
+
+    def g(own, every, n, total):
+        return sum(2 * own[k] * math.log(own[k] * total / (every[k] * n)) for k in names if own[k])
+
+    def bar(t):
+        free = max(1, sum(v > 0 for v in t.values()) - 2)
+        return free * (1 - 2 / (9 * free) + normal * math.sqrt(2 / (9 * free))) ** 3
+
+    out = {}
+
+    def grow(group, d, name):
+        ends = [r for r in group if len(r[1]) == d]
+        out.update({id(r): name for r in ends})
+        group = [r for r in group if len(r[1]) > d]
+        if not group:
+            return
+        if len(group) < least:
+            out.update({id(r): name + "/*" * (len(r[1]) - d) for r in group})
+            return
+        by, cells = {}, {}
+        for r in group:
+            by.setdefault(r[1][d], []).append(r)
+        for seg, rs in by.items():
+            t = table(rs, d)
+            if shape(seg) in ("word", "file", "other") and len(rs) >= least:
+                top = max(t[s] for s in url_templates.SHAPES)
+                follow = next(i for i, s in enumerate(url_templates.SHAPES) if t[s] == top)
+                rate = 1 + 4 * t[1] // (t[1] + t[0]) if t[1] + t[0] else 0
+                cells.setdefault((follow, rate), []).append(seg)
+        pools, was = [], None
+        for (follow, _), segs in sorted(cells.items()):
+            rs = [r for s in segs for r in by[s]]
+            t = table(rs, d)
+            if was and was[0] == follow:
+                both = {k: t[k] + was[1][k] for k in names}
+                n, m = len(rs), was[2]
+                if g(t, both, n, n + m) + g(was[1], both, m, n + m) < bar(both):
+                    pools[-1] += segs
+                    was = (follow, t, len(rs))
+                    continue
+            pools.append(list(segs))
+            was = (follow, t, len(rs))
+        every, rest = table(group, d), set(by)
+        for segs in pools:
+            rs = [r for s in segs for r in by[s]]
+            if len(by) == 1 or g(table(rs, d), every, len(rs), len(group)) >= bar(every):
+                rest -= set(segs)
+                first = min(segs, key=lambda s: s.encode())
+                step = f"{name}/{first if len(segs) == 1 else '{%s+%d}' % (first, len(segs) - 1)}"
+                go(rs, d, step)
+        go([r for s in rest for r in by[s]], d, name + "/*")
+
+    def go(rs, d, step):
+        if sum(len(r[1]) > d + 1 for r in rs) >= least:
+            grow(rs, d + 1, step)
+        else:
+            out.update({id(r): step + "/*" * (len(r[1]) - d - 1) for r in rs})
+
+    hosts = {}
+    for r in rows:
+        hosts.setdefault(r[0], []).append(r)
+    for rs in hosts.values():
+        grow(rs, 0, "")
+    return [out[id(r)] for r in rows]
+
+
+def test_url_templates_brute_force(spark):
+    rows = []
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        host, path, _, verdict = _rules(r.url)
+        bad = {"block": 1, "allow": 0}.get(verdict)
+        rows.append((host, [x for x in path.split("/") if x], bad))
+    rng = random.Random(4)
+    for i in range(1500):
+        segs = [rng.choice(["p", "q", "news", "spam", "x.html"]), str(rng.randrange(50)), rng.choice(["edit", "view"])][: rng.randrange(4)]
+        rows.append(("h.org", segs, rng.choice([None, 0, 1]) if "spam" not in segs else 1))
+    want = _plain_templates(rows)
+    d = docs(spark, [(i, f"http://{h}/" + "/".join(s), b) for i, (h, s, b) in enumerate(rows)], "page_id long, url string, bad int")
+    got = {r.page_id: r.template for r in url_templates.judge_urls(d, [], bad_col="bad").collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
+def test_url_templates_repeated_and_long(spark):
+    long = "http://h.org/" + "ab/cd/" + "c" * 100_000
+    got = url_templates.judge_urls(docs(spark, [(1, long), (1, long), (2, long)], "page_id long, url string"), []).collect()
+    assert len(got) == 3 and len({r[1:] for r in got}) == 1
+
+
 def test_url_templates_keep_a_small_bad_branch(spark):
     rows = [(i, f"http://h.org/{'abcdefghij'[i % 10]}{'klmno'[i // 10 % 5]}/{i}", 0) for i in range(1960)]
     rows += [(5000 + i, f"http://h.org/spam/{i}", 1) for i in range(40)]
