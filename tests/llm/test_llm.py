@@ -88,7 +88,7 @@ def test_surrogates_are_one_to_one_and_coreferent(spark):
 
 
 def test_surrogate_of_a_name_elsewhere_in_the_text(spark):
-    got = pii.replace_entities(docs(spark, [(1, "Mrs Anna Smith came. Later Smith left; the smith stayed.")])).first().text
+    got = pii.replace_entities(docs(spark, [(1, "Mrs Anna Smith came. Later Smith left; the smith stayed.")]), b"k").first().text
     name = re.match(r"Mrs (\w+) (\w+) came. Later (\w+) left; the smith stayed.", got)
     assert name and name[2] == name[3] != "Smith" and name[1].lower() in pii.GIVEN["latin", "f"]
 
@@ -104,13 +104,86 @@ def test_surrogates_of_whole_names(spark):
         "Anna von Stein Adler Weiss": "von",
     }
     rows = [(i, f"Then {x} came; later {x.split()[-1]} left the hall.") for i, x in enumerate(kept)]
-    got = {r.doc_id: r.text for r in pii.replace_entities(docs(spark, rows)).collect()}
+    got = {r.doc_id: r.text for r in pii.replace_entities(docs(spark, rows), b"k").collect()}
     for i, name in enumerate(kept):
         assert set(re.findall(r"\w+", got[i])) & set(re.findall(r"\w+", name)) == set(kept[name].split())
         kinds = [k.split("_")[0] for k, _, _ in pii.detect(name)]
         assert kinds == sorted(kinds) and kinds[-1] == "surname"
 
 
+def _replaced(spark, *texts):
+    rows = pii.replace_entities(docs(spark, list(enumerate(texts))), b"k").collect()
+    return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_surrogates_one_word_one_surrogate(spark):
+    a, b, c = _replaced(spark, "Mr. James met Mr. Henry James.", "Dr. James Stone", "Dr. Robin Meyer")
+    x = re.match(r"Mr. (\w+) met Mr. (\w+) (\w+).", a)
+    assert x[1] == x[3] != x[2] and b.split()[1] == x[1]
+    assert c.split()[1].lower() in pii.GIVEN["latin", "n"]
+
+
+def test_surrogates_of_other_scripts(spark):
+    texts = ["昨天王小明先生来了", "السيد محمد حسن،", "श्री राम शर्मा।", "Պարոն Արամ Պետրոսյան", "카드 김철수 씨", "رقم ٤١١١١١١١١١١١١١١١"]
+    kept = ["昨天 先生来了", "السيد ،", "श्री ।", "Պարոն", "카드 씨", "رقم"]
+    for text, new, stays in zip(texts, _replaced(spark, *texts), kept, strict=True):
+        assert new != text and len(new) >= len(text) - 1
+        for part in stays.split():
+            assert part in new
+        assert {pii._script(c) for c in new if c.isalpha()} == {pii._script(c) for c in text if c.isalpha()}
+    assert re.search(r"[\u0660-\u0669]{16}$", _replaced(spark, texts[-1])[0])
+
+
+def test_surrogates_keep_issuer_and_country():
+    for n in ("4111111111111111", "5500005555555559", "340000000000009"):
+        new = pii.surrogate(b"k", "card", n)
+        assert new[:2] == n[:2] and len(new) == len(n) and pii.luhn(new)
+    for n, code in (("4915123456789", "49"), ("3725551234567", "372"), ("79261234567", "7")):
+        assert pii.surrogate(b"k", "phone", n).startswith(code)
+    assert [k for k, _, _ in pii.detect("from 2001:db8::8a2e:370:7334 at 12:30:45")] == ["ip6"]
+
+
+def test_surrogates_of_a_full_class(spark):
+    """Nearly every number of a class is real: these are permuted."""
+    real = [f"127.0.{i}.{j}" for i in (1, 2) for j in range(1, 255)]
+    rows = [("ip", f"127.{a}.{b}.{c}", "ip") for a in (1, 2, 3) for b in (1, 2, 3) for c in (1, 2, 3)]
+    rows += [("ip", x, "ip") for x in real]
+    got = pii.assign(spark.createDataFrame(rows, "kind string, canon string, part string"), b"k", rounds=1).collect()
+    assert len(got) == len(rows) == len({r.new for r in got}) and all(r.new != r.canon and r.new.startswith("127.") for r in got)
+    few = spark.createDataFrame([("ip", f"10.0.0.{i}", "ip") for i in range(1, 30)], "kind string, canon string, part string")
+    given = few.where("canon <= '10.0.0.15'").withColumn("new", F.concat(F.lit("10.9.9."), F.substring("canon", 8, 3)))
+    full = pii._permuted(few.where("canon > '10.0.0.15'"), given.select("kind", "canon", "new"), b"k").collect()
+    assert len(full) == 29 == len({r.new for r in full}) and all(r.new != r.canon for r in full)
+
+
+def test_surrogates_brute_force(spark):
+    """The whole table against a plain loop: what is replaced, and one value
+    for one value."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in pii.replace_entities(docs(spark, [tuple(r) for r in table]), b"k").collect()}
+    map_, back = {}, {}
+    for r in table:
+        at, parts = 0, []
+        spans = pii.detect(r.text)
+        for _, s, e in spans:
+            parts.append(re.escape(r.text[at:s]))
+            at = e
+        m = re.fullmatch("(.+)".join([*parts, re.escape((r.text or "")[at:])]), got[r.doc_id].text or "", re.DOTALL)
+        assert m and got[r.doc_id].n_entities == len(spans)
+        for (k, s, e), new in zip(spans, m.groups(), strict=True):
+            own = (pii.entity_kind(k), pii.canonical(k, r.text[s:e]))
+            new = pii.canonical(k, new)
+            assert map_.setdefault(own, new) == new != own[1] and back.setdefault((own[0], new), own) == own
+    assert len(map_) == len(back) > 10
+
+
+def test_surrogates_hard(spark):
+    d = hard(spark).unionByName(docs(spark, [(8, "Mr. John Smith " * 20_000, None, None, 1), (9, "a@b.example.org", None, None, 1), (9, "a@b.example.org", None, None, 1)], DOCS), allowMissingColumns=True)
+    got = pii.replace_entities(d, b"k").collect()
+    assert len(got) == 12 and pii.replace_entities(empty(spark), b"k").count() == 0
+    assert [r.n_entities for r in got if r.doc_id == 8] == [40_000] and len({r.text for r in got if r.doc_id == 9}) == 1
+
+
 # 2: url templates
 
 
