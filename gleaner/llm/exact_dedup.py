@@ -246,8 +246,10 @@ _KEPT = ("__gl_kept_digest", "__gl_kept_keep", "__gl_kept_n", "__gl_kept_text")
 
 
 def _hashed(rows: DataFrame, text_col: str) -> DataFrame:
+    # never null, or a join's test for null would be pushed below the filter
+    # of rows, and every text be hashed for it
     rows = rows.withColumn(_N, normalised(text_col))
-    return rows.withColumn(_D, F.unhex(F.sha2(F.col(_N).cast("binary"), 256)))
+    return rows.withColumn(_D, F.coalesce(F.unhex(F.sha2(F.col(_N).cast("binary"), 256)), F.lit(b"")))
 
 
 def exact_copies(

@@ -173,7 +173,8 @@ def _people(text: str) -> Iterator[tuple[str, int, int]]:
         initials with their stop."""
         found, behind, end, at = [], [], start, start
         while (m := _STEP.match(text, at)) and _capital(m[2]):
-            if JOINING.intersection(m[1].split()) and (m[2].lower() in _TITLE or m[2].lower() in _GENDER):
+            joined = JOINING.intersection(m[1].split()) and m[2].lower() in _GENDER
+            if joined or (found or m[1]) and m[2].lower() in _TITLE:
                 break
             found.append((m[2], *m.span(2)))
             behind.append(bool(m[1]))

@@ -92,9 +92,14 @@ def _critical(shapes: list[str], labels: list[str], normal: float) -> Column:
     return free * F.pow(1 - spread + normal * F.sqrt(spread), F.lit(3.0))
 
 
-def _pooled(stats: DataFrame, parts: list[str], least_urls: int, critical: Column) -> tuple[DataFrame, DataFrame]:
+def _pools(stats: DataFrame, node: DataFrame, parts: list[str], least_urls: int, critical: Column) -> tuple[DataFrame, DataFrame]:
     """The branches that may stay, each with its cell (``follow``, ``rate``);
-    and the cells (host, template, follow, rate) with the number of their pool."""
+    and the cells that do stay (host, template, follow, rate), with the name of
+    their pool and whether its urls go on.
+
+    A node has some dozens of cells at most, so what is ordered and compared
+    here is small.
+    """
     keys = ["host", "template"]
     most = F.greatest(*[F.col(f"k_{s}") for s in SHAPES])
     follow = F.coalesce(*[F.when(F.col(f"k_{s}") == most, F.lit(i)) for i, s in enumerate(SHAPES)])
@@ -102,17 +107,22 @@ def _pooled(stats: DataFrame, parts: list[str], least_urls: int, critical: Colum
     rate = F.when(labelled == 0, 0).otherwise(1 + F.floor(4 * F.col("bad_n") / labelled)).cast("int")
     fit = shape(F.col("seg")).isin("word", "file", "other") & (F.col("n") >= least_urls)
     some = stats.where(fit).withColumns({"follow": follow, "rate": rate})
-    cells = some.groupBy(*keys, "follow", "rate").agg(F.sum("n").alias("n"), *[F.sum(p).alias(p) for p in parts])
+    sums = [F.sum(p).alias(p) for p in ["n", *parts]]
+    cells = some.groupBy(*keys, "follow", "rate").agg(F.count(F.lit(1)).alias("members"), F.min("seg").alias("first"), *sums)
     order = Window.partitionBy(*keys).orderBy("follow", "rate")
-    for p in ["n", "follow", *parts]:
-        cells = cells.withColumn(f"was_{p}", F.lag(p).over(order))
-    for p in ["n", *parts]:
-        cells = cells.withColumn(f"all_{p}", F.col(p) + F.coalesce(f"was_{p}", F.lit(0)))
+    cells = cells.withColumns({f"was_{p}": F.lag(p).over(order) for p in ["n", "follow", *parts]})
+    cells = cells.withColumns({f"all_{p}": F.col(p) + F.coalesce(f"was_{p}", F.lit(0)) for p in ["n", *parts]})
     two = _g_test([(p, f"all_{p}") for p in parts], "n", "all_n")
     two = two + _g_test([(f"was_{p}", f"all_{p}") for p in parts], "was_n", "all_n")
     apart = F.col("was_n").isNull() | (F.col("follow") != F.col("was_follow")) | (two >= critical)
-    pool = F.sum(apart.cast("int")).over(order).alias("pool")
-    return some, cells.select(*keys, "follow", "rate", pool)
+    cells = cells.withColumn("pool", F.sum(apart.cast("int")).over(order))
+    cells = cut(cells.select(*keys, "follow", "rate", "pool", "members", "first", "n", *parts))
+    pools = cells.groupBy(*keys, "pool").agg(F.sum("members").alias("members"), F.min("first").alias("first"), *sums)
+    unlike = _g_test([(p, f"all_{p}") for p in parts], "n", "all_n") >= critical
+    name = F.when(F.col("members") == 1, F.col("first")).otherwise(F.format_string("{%s+%d}", "first", F.col("members") - 1))
+    on = (F.col("n") - F.col("k_end")) >= least_urls
+    kept = pools.join(node, keys).where(unlike | (F.col("branches") == 1)).select(*keys, "pool", name.alias("_name"), on.alias("_on"))
+    return some, cells.select(*keys, "follow", "rate", "pool").join(kept, [*keys, "pool"]).drop("pool")
 
 
 def templates(paths: DataFrame, least_urls: int = 3, normal: float = 1.645, salts: int = 16) -> DataFrame:
@@ -140,33 +150,17 @@ def templates(paths: DataFrame, least_urls: int = 3, normal: float = 1.645, salt
             *[F.sum(F.when(follow == s, n).otherwise(0)).alias(f"k_{s}") for s in SHAPES],
             *[F.sum(c).alias(c) for c in labels],
         )
+        stats = cut(stats)
         pool = stats.groupBy(*keys).agg(
             F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("branches"), *[F.sum(p).alias(f"all_{p}") for p in parts]
         )
-        pool = pool.where(F.col("all_n") >= least_urls)
-        stats = cut(stats.join(pool.select(*keys), keys, "left_semi"))
-        some, cells = _pooled(stats, parts, least_urls, critical)
-        some = some.join(cut(cells), [*keys, "follow", "rate"])
-        pools = some.groupBy(*keys, "pool").agg(
-            F.count(F.lit(1)).alias("members"), F.min("seg").alias("first"), *[F.sum(p).alias(p) for p in ["n", *parts]]
-        )
-        unlike = _g_test([(p, f"all_{p}") for p in parts], "n", "all_n") >= critical
-        kept = (
-            pools.join(pool, keys)
-            .where(unlike | (F.col("branches") == 1))
-            .select(
-                *keys,
-                "pool",
-                F.when(F.col("members") == 1, F.col("first"))
-                .otherwise(F.format_string("{%s+%d}", "first", F.col("members") - 1))
-                .alias("_name"),
-                ((F.col("n") - F.col("k_end")) >= least_urls).alias("_on"),
-            )
-        )
-        named = cut(some.select(*keys, "pool", "seg").join(kept, [*keys, "pool"]).drop("pool").select("*", every_salt))
+        some, kept = _pools(stats, pool.where(F.col("all_n") >= least_urls), parts, least_urls, critical)
+        # the branches and urls of one node are dealt out, with the few decisions on them
+        some = some.select(*keys, "seg", "follow", "rate", F.pmod(F.xxhash64("seg"), F.lit(salts)).cast("int").alias("salt"))
+        named = some.join(cut(kept.select("*", every_salt)), [*keys, "follow", "rate", "salt"])
+        named = cut(named.select(*keys, "seg", "_name", "_on").select("*", every_salt))
         rest = stats.join(named.where("salt = 0").select(*keys, "seg"), [*keys, "seg"], "left_anti")
         merged = rest.groupBy(*keys).agg((F.sum(F.col("n") - F.col("k_end")) >= least_urls).alias("_all_on"))
-        # the urls of one node or branch are dealt out, with the few decisions on them
         now = live.withColumn("seg", seg).join(named, [*keys, "seg", "salt"], "left")
         now = now.join(cut(merged.select("*", every_salt)), [*keys, "salt"], "left")
         # below a node of too few urls there are only wildcards

@@ -356,7 +356,7 @@ def test_url_templates_keep_a_small_bad_branch(spark):
 
 
 def test_url_templates_go_to_the_last_segment(spark):
-    stem = "/".join("abcdefghijkl")
+    stem = "/".join("abcdefghi")
     rows = [(100 * k + i, f"http://h.org/{stem}/{s}/{i}", k) for k, s in enumerate(("good", "bad")) for i in range(40)]
     rows += [(900, "http://g.org/" + "/".join("x" * 200), 0), (901, "http://h.org", None)]
     pages = docs(spark, rows, "page_id long, url string, bad int")
