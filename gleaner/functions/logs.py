@@ -36,12 +36,12 @@ def http_ok(status: Column, error: Column) -> Column:
 
 
 def purpose(kind: Column) -> Column:
+    """What a model was called for, by the kind of the call."""
     return (
         F.when(kind == "models", "discover")
-        .when(kind.isin("embed", "embeddings"), "index")
-        .when(kind == "rerank", "retrieve")
-        .when(kind == "chat", "answer")
-        .otherwise("other")
+        .when(kind.startswith("embedding"), "embed")
+        .when(kind.isin("rerank", "chat"), kind)
+        .otherwise("call")
     )
 
 

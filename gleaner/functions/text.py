@@ -7,7 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BARE = r"https?://\S+|www\.\S+"
-_ENDS = "。！？；!?;.…"
+# Fixed value: what ends a sentence, so that the line is no heading.
+_ENDS = "。；;！？!?：:"
 ZERO_WIDTH = r"[​-‍⁠﻿]"
 
 
@@ -37,22 +38,23 @@ def index_label(text: Column) -> Column:
 
 def heading_level(line: Column) -> Column:
     """1 to 6 for a heading line, else null.  Order of the rules: hash marks,
-    chapter and article numbers, dotted numbers, list numbers."""
+    chapter, section and article numbers, dotted numbers, list numbers.  A
+    chapter's number stands by itself; a list number's line is short."""
     t = strip(line)
-    number = "[一二三四五六七八九十百千零〇两0-9]+"
-    dots = F.length(F.regexp_extract(t, r"^(\d+(?:\.\d+)*)", 1)) - F.length(
-        F.regexp_replace(F.regexp_extract(t, r"^(\d+(?:\.\d+)*)", 1), r"\.", "")
-    )
-    ended = t.rlike(f"[{_ENDS}]$")
+    number, alone = "[一二三四五六七八九十百千零〇两0-9]+", r"(?![\p{L}\p{N}_])"
+    dotted = F.regexp_extract(t, r"^((?U)\d+(?:\.\d+){1,5})\s+\S", 1)
+    dots = F.length(dotted) - F.length(F.replace(dotted, F.lit("."), F.lit("")))
+    open_ = ~t.rlike(f"[{_ENDS}]$")
+    short = open_ & (F.length(t) <= 30)
     return (
         F.when(t.rlike(r"^#{1,6}(?U)\s+\S"), F.length(F.regexp_extract(t, "^(#{1,6})", 1)))
-        .when(t.rlike(f"^第{number}[章编篇]") | t.rlike(f"^第{number}部分"), 1)
-        .when(t.rlike(f"^第{number}节"), 2)
-        .when(t.rlike(f"^第{number}条"), 3)
-        .when(t.rlike(r"^\d+(?:\.\d+)+(?U)\.?\s+\S") & (F.length(t) <= 80) & ~ended, F.least(dots + 1, F.lit(6)))
-        .when(t.rlike(r"^\d+、\S") & (F.length(t) <= 30), 4)
-        .when(t.rlike(f"^{number}、\\S") & (F.length(t) <= 30), 4)
-        .when(t.rlike(f"^（{number}）\\S") & (F.length(t) <= 30), 2)
+        .when(t.rlike(f"^第{number}(?:章|编|部分){alone}"), 1)
+        .when(t.rlike(f"^第{number}节{alone}"), 2)
+        .when(t.rlike(f"^第{number}条{alone}"), 3)
+        .when((dotted != "") & (F.length(t) <= 80) & open_, F.least(dots + 1, F.lit(6)))
+        .when(short & t.rlike(r"^(?U)\d+[、.．]\s*\S"), 4)
+        .when(short & t.rlike(f"^{number}、\\S"), 4)
+        .when(short & t.rlike(f"^[（(]{number}[）)]"), 2)
     )
 
 

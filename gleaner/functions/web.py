@@ -9,8 +9,8 @@ from gleaner.functions.text import ZERO_WIDTH, strip
 
 # File endings that are not pages, and the named entities used.
 ASSETS = (
-    "png jpg jpeg gif svg webp ico bmp css js mjs map json xml rss atom pdf zip gz tar rar 7z mp3 mp4 avi mov wmv "
-    "woff woff2 ttf eot exe dmg"
+    "7z avi bmp css csv doc docx gif gz ico jpeg jpg js json mp3 mp4 pdf png ppt pptx rss svg tar tgz ttf webp woff "
+    "woff2 xls xlsx xml zip"
 ).split()
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "nbsp": " ", "amp": "&"}
 SLIM_CHARS = 1_200_000
@@ -58,6 +58,21 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def _undotted(path: Column) -> Column:
+    """A path without the segments ``.`` and ``..``."""
+    none = F.array().cast("array<string>")
+
+    def step(got: Column, seg: Column) -> Column:
+        return (
+            F.when(seg == ".", got)
+            .when(seg == "..", F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(0))))
+            .otherwise(F.concat(got, F.array(seg)))
+        )
+
+    segs = F.split(F.regexp_replace(path, "^/", ""), "/")
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(segs, none, step), "/"))
+
+
 def resolved(link: Column, base: Column) -> Column:
     """An address as seen from a page: absolute, from the host, or from the
     page's folder."""
@@ -70,13 +85,13 @@ def resolved(link: Column, base: Column) -> Column:
         .when(link.startswith("//"), F.concat(scheme, link))
         .when(link.startswith("/"), F.concat(origin, link))
         .when(link.startswith("?"), F.concat(origin, F.regexp_extract(base, r"^[a-z]+://[^/?#]*([^?#]*)", 1), link))
-        .otherwise(F.concat(origin, folder, F.regexp_replace(link, r"^\./", "")))
+        .otherwise(F.concat(origin, _undotted(F.concat(folder, F.regexp_extract(link, r"^([^?#]*)", 1))), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)))
     )
 
 
 def normal_url(link: Column, base: Column) -> Column:
-    """Absolute http address with a lower-case host, without fragment or final
-    slash; null for anything that is not a page."""
+    """Absolute http address with a lower-case host, without fragment; no final
+    slash but for the root, which has one; null for anything that is not a page."""
     t = F.trim(F.coalesce(link, F.lit("")))
     u = F.regexp_replace(resolved(t, base), r"#.*$", "")
     host = F.lower(F.regexp_extract(u, r"^(?i)https?://([^/?#]+)", 1))
@@ -85,7 +100,7 @@ def normal_url(link: Column, base: Column) -> Column:
     asset = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)).isin(ASSETS)
     refused = (t == "") | t.rlike(r"(?i)^(#|mailto:|javascript:|tel:|data:)") | (host == "") | asset
     scheme = F.lower(F.regexp_extract(u, r"^(?i)(https?)://", 1))
-    return F.when(~refused, F.concat(scheme, F.lit("://"), host, path, query))
+    return F.when(~refused, F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), query))
 
 
 def links(html: Column, base: Column) -> Column:
@@ -96,11 +111,12 @@ def links(html: Column, base: Column) -> Column:
 
 def scope_prefix(root: Column) -> Column:
     """The directory that a site's entry page stands for: its parent folder,
-    or itself where it has but one segment."""
-    path = F.regexp_replace(F.regexp_extract(root, r"^[a-z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
+    or itself where it has but one segment or ends with a slash."""
+    whole = F.regexp_extract(root, r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    path = F.regexp_replace(whole, "/+$", "")
     depth = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
     parent = F.regexp_replace(path, r"/[^/]*$", "")
-    return F.when(depth <= 1, path).otherwise(parent)
+    return F.when((depth <= 1) | whole.endswith("/"), path).otherwise(parent)
 
 
 def in_scope(root: Column, url: Column) -> Column:

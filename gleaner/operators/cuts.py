@@ -12,7 +12,10 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder under the session's checkpoint folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gleaner-"))
     return f"{sc.getCheckpointDir()}/job-{uuid.uuid4().hex}"
 
 

@@ -78,10 +78,10 @@ def log_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select event_id, case event_type when 'view' then 'discover' when 'click' then 'index' when 'purchase' then 'answer' else 'other' end as purpose from events"""
+    """select event_id, case event_type when 'view' then 'discover' when 'click' then 'embed' when 'purchase' then 'chat' else 'call' end as purpose from events"""
 )
 def log_purpose(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "view", "models").when(F.col("event_type") == "click", "embed").when(
+    kind = F.when(F.col("event_type") == "view", "models").when(F.col("event_type") == "click", "embeddings").when(
         F.col("event_type") == "purchase", "chat"
     )
     return _events(spark, d).select("event_id", L.purpose(F.coalesce(kind, F.lit(""))).alias("purpose"))

@@ -33,11 +33,11 @@ def stream_log_ingest(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{out}/log").select("event_id", F.col("at").cast("timestamp_ntz").alias("at"), "event_type", "tokens")
 
 
-@query()
+@query("select date_trunc('day', ts)::timestamp as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     out = shared_folder(spark)
     jobs.count_by_day(_stream(spark, d, "events"), f"{out}/days", f"{out}/progress").awaitTermination()
-    return spark.read.parquet(f"{out}/days").withColumn("day", F.col("day").cast("timestamp_ntz"))
+    return jobs.daily_counts(spark, f"{out}/days").withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query("select '#' || page_id as locator, sha256(html) as hash, 'synced' as status from pages where not starts_with(url, 'http:')")

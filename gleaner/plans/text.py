@@ -66,8 +66,10 @@ _SQL_LINES = r"""l as (select doc_id, i - 1 as pos, case when (i - 1) % 3 = 0 th
  from (select doc_id, ls, unnest(generate_series(1, len(ls))) as i from (select doc_id, string_split(text, chr(10)) as ls from documents))),
 t as (select doc_id, pos, regexp_replace(line, '^\s+|\s+$', '', 'g') as t from l),
 h as (select doc_id, pos, (case when regexp_matches(t, '^#{1,6}\s+\S') then length(regexp_extract(t, '^(#{1,6})', 1))
- when regexp_matches(t, '^\d+(?:\.\d+)+\.?\s+\S') and length(t) <= 80 and not regexp_matches(t, '[!?;.…]$')
- then least(length(regexp_extract(t, '^(\d+(?:\.\d+)*)', 1)) - length(replace(regexp_extract(t, '^(\d+(?:\.\d+)*)', 1), '.', '')) + 1, 6) end)::int as level from t)"""
+ when regexp_matches(t, '^\d+(?:\.\d+){1,5}\s+\S') and length(t) <= 80 and not regexp_matches(t, '[。；;！？!?：:]$')
+ then least(length(regexp_extract(t, '^(\d+(?:\.\d+)*)', 1)) - length(replace(regexp_extract(t, '^(\d+(?:\.\d+)*)', 1), '.', '')) + 1, 6)
+ when regexp_matches(t, '^\d+[、.．]\s*\S') and length(t) <= 30 and not regexp_matches(t, '[。；;！？!?：:]$') then 4
+ when regexp_matches(t, '^[（(][一二三四五六七八九十百千零〇两0-9]+[）)]') and length(t) <= 30 and not regexp_matches(t, '[。；;！？!?：:]$') then 2 end)::int as level from t)"""
 
 
 @query(f"with {_SQL_LINES} select doc_id, pos::int as pos, level from h")
@@ -193,7 +195,7 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     r"""select page_id, lower(regexp_extract(url, '^(https?)://', 1)) || '://' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1))
- || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') || regexp_extract(url, '(\?[^#]+)', 1) as normal from pages"""
+ || coalesce(nullif(regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', ''), ''), '/') || regexp_extract(url, '(\?[^#]+)', 1) as normal from pages"""
 )
 def url_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", W.normal_url(F.col("url"), F.col("url")).alias("normal"))

@@ -33,7 +33,10 @@ def ingest_log(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 
 def count_by_day(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Events by day and type; a day is written once it is past by an hour."""
+    """Events by day and type, so far: each batch writes the groups that it
+    changed, in a folder of its own, and a batch that is run again writes the
+    same folder again.  ``daily_counts`` reads them.  A day may still change
+    until an hour after it; then its state goes."""
     rows = (
         stream.withColumn("at", F.col("ts").cast("timestamp"))
         .withWatermark("at", "1 hour")
@@ -41,8 +44,19 @@ def count_by_day(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery
         .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
         .select(F.col("w.start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
     )
-    writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    return writer.outputMode("append").trigger(availableNow=True).start()
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return writer.outputMode("update").trigger(availableNow=True).start()
+
+
+def daily_counts(spark: SparkSession, out: str) -> DataFrame:
+    """day, event_type, n, total: of each group what the last batch said."""
+    rows = spark.read.option("basePath", out).parquet(out)
+    last = rows.groupBy("day", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("r"))
+    return last.select("day", "event_type", "r.n", "r.total")
 
 
 def sync_pages(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

@@ -74,34 +74,44 @@ def merged_tools(events: DataFrame, key: str = "stream_id", order: str = "seq")
 
 
 def merge_stream(events: DataFrame, idle: str = "10 minutes") -> DataFrame:
-    """Streaming: a row for each reply once its ``done`` event has come.
+    """Streaming: a row for each reply once its ``done`` event has come, and
+    all events before it, of any kind; ``seq`` of the done event is their
+    number.  A reply that hears nothing for ``idle`` is given as it is.
 
     ``events``: stream_id, seq, kind, text.  The state of a stream is its
     pieces so far by sequence number, so late or repeated pieces do no harm;
     it ends with the reply.
     """
 
+    def reply(key: tuple, pieces: dict[int, str]) -> pd.DataFrame:
+        answer = "".join(pieces[s] for s in sorted(pieces))
+        return pd.DataFrame({"stream_id": [key[0]], "answer": [answer], "n_events": [len(pieces)]})
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seqs, texts, last = state.get if state.exists else ([], [], None)
-        seqs, texts = list(seqs), list(texts)
+        pieces = dict(zip(seqs, texts, strict=True))
+        if state.hasTimedOut:
+            state.remove()
+            yield reply(key, pieces)
+            return
         for b in batches:
             for s, k, t in zip(b["seq"], b["kind"], b["text"], strict=True):
                 if k == "done":
                     last = int(s)
-                elif k == "token" and int(s) not in seqs:
-                    seqs.append(int(s))
-                    texts.append(t)
-        if last is not None and len(seqs) >= last:
-            answer = "".join(t for _, t in sorted(zip(seqs, texts, strict=True)))
+                else:
+                    pieces.setdefault(int(s), t if k == "token" and t is not None else "")
+        if last is not None and len(pieces) >= last:
             state.remove()
-            yield pd.DataFrame({"stream_id": [key[0]], "answer": [answer], "n_events": [len(seqs)]})
+            yield reply(key, pieces)
         else:
-            state.update((seqs, texts, last))
+            state.update((list(pieces), list(pieces.values()), last))
+            state.setTimeoutDuration(wait)
 
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
     return events.groupBy("stream_id").applyInPandasWithState(
         step,
         "stream_id long, answer string, n_events long",
         "seqs array<long>, texts array<string>, last long",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout,
     )

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import logs as L
 from gleaner.functions import text as T
 from gleaner.functions import web as W
 from gleaner.functions.tokens import tokens
@@ -28,7 +29,8 @@ def test_index_text(spark, raw, want):
     ("line", "level"),
     [
         ("# A", 1), ("###### B", 6), ("####### C", None), ("第一章 总则", 1), ("第二节", 2), ("第三条　内容", 3),
-        ("1.2 Scope", 2), ("1.2 Ends here.", None), ("一、范围", 4), ("（二）定义", 2), ("1、项", 4), ("plain", None), ("", None),
+        ("1.2 Scope", 2), ("1.2 Ends here！", None), ("一、范围", 4), ("（二）定义", 2), ("1、项", 4), ("1．甲", 4), ("(一) 总则", 2), ("3、这样做。", None), ("1.2 Note:", None),
+        ("第一章总则", None), ("1.2.3.4 Deep", 4), ("1. item", 4), ("2.5 ends with a stop.", 2), ("plain", None), ("", None),
     ],
 )
 def test_heading_level(spark, line, level):
@@ -70,6 +72,8 @@ def test_cjk_tokens_are_pairs(spark):
     [
         ("/a/b/", "https://h.org/a/b"), ("c", "https://h.org/x/c"), ("#top", None), ("mailto:a@b.c", None),
         ("/logo.PNG", None), ("https://H.org/q?a=1#f", "https://h.org/q?a=1"), ("//o.org/z", "https://o.org/z"), (None, None),
+        ("https://h.org", "https://h.org/"), ("https://h.org/", "https://h.org/"), ("../up/", "https://h.org/up"), ("../../a/./b", "https://h.org/a/b"),
+        ("a.docx", None), ("t.CSV", None), ("v.wmv", "https://h.org/x/v.wmv"), ("/a;p?q=1", "https://h.org/a?q=1"), ("d/../e?x=../y", "https://h.org/x/e?x=../y"),
     ],
 )
 def test_normal_url(spark, link, want):
@@ -81,7 +85,8 @@ def test_normal_url(spark, link, want):
     [
         ("https://h.org/docs", "https://h.org/docs/a", True), ("https://h.org/docs", "https://h.org/other", False),
         ("https://h.org/docs/start", "https://h.org/docs/next", True), ("https://h.org/docs", "https://o.org/docs", False),
-        ("https://h.org", "https://h.org/any", True), ("https://h.org/docs", "https://h.org/docsother", False),
+        ("https://h.org", "https://h.org/any", True), ("https://h.org/docs/guide/", "https://h.org/docs/other", False),
+        ("https://h.org/docs/guide/", "https://h.org/docs/guide/a", True), ("https://h.org/docs/guide/", "https://h.org/docs/guide", True), ("https://h.org/docs", "https://h.org/docsother", False),
     ],
 )
 def test_scope(spark, root, url, inside):
@@ -204,3 +209,21 @@ def test_stored_vectors_and_process(spark):
     wider = b.withColumn("vec", F.concat("vec", F.array(F.lit(0.0))))
     assert I.upsert_vectors(a, wider).count() == 2
     assert I.delete_points(a, point_id=[1]).count() == 1
+
+
+def test_purpose(spark):
+    want = {"models": "discover", "rerank": "rerank", "embeddings": "embed", "embedding-3": "embed", "chat": "chat", "embed": "call", "": "call"}
+    for kind, name in want.items():
+        assert one(spark, L.purpose(F.col("t")), t=kind) == name
+
+
+def test_merge_stream_counts_events_of_any_kind(spark, tmp_path):
+    from gleaner.streaming import sse
+
+    rows = [(1, 0, "thinking", "hm"), (1, 1, "token", "a"), (1, 2, "tool", "x"), (1, 3, "token", "b"), (1, 1, "token", "a"), (1, 4, "done", "")]
+    rows += [(2, 0, "token", "open"), (3, 1, "done", "")]
+    spark.createDataFrame(rows, "stream_id long, seq long, kind string, text string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("stream_id long, seq long, kind string, text string").parquet(f"{tmp_path}/in")
+    q = sse.merge_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    q.option("checkpointLocation", f"{tmp_path}/progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1, "ab", 4)]
