@@ -73,10 +73,12 @@ def merged_tools(events: DataFrame, key: str = "stream_id", order: str = "seq")
     )
 
 
-def merge_stream(events: DataFrame, idle: str = "10 minutes") -> DataFrame:
+def merge_stream(events: DataFrame, idle: str | None = None) -> DataFrame:
     """Streaming: a row for each reply once its ``done`` event has come, and
     all events before it, of any kind; ``seq`` of the done event is their
-    number.  A reply that hears nothing for ``idle`` is given as it is.
+    number.  With ``idle``, such as "10 minutes", a reply that hears nothing for
+    so long is given as it is; that needs a trigger that goes on, as one that
+    ends with its input would wait for ever.
 
     ``events``: stream_id, seq, kind, text.  The state of a stream is its
     pieces so far by sequence number, so late or repeated pieces do no harm;
@@ -105,13 +107,14 @@ def merge_stream(events: DataFrame, idle: str = "10 minutes") -> DataFrame:
             yield reply(key, pieces)
         else:
             state.update((list(pieces), list(pieces.values()), last))
-            state.setTimeoutDuration(wait)
+            if wait:
+                state.setTimeoutDuration(wait)
 
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
     return events.groupBy("stream_id").applyInPandasWithState(
         step,
         "stream_id long, answer string, n_events long",
         "seqs array<long>, texts array<string>, last long",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout,
     )
