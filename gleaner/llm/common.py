@@ -4,6 +4,7 @@ Bloom filter of bounded size built with built-in aggregates."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder.  Unlike ``cut`` it keeps nothing
+    of what the planner knew, which in long loops grows with every round."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
     """Limit Arrow batches to ``rows`` rows and about ``size`` bytes, so that
     long texts fit a worker.

@@ -35,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut
+from gleaner.llm.common import cut, written
 
 SHAPES = ["end", "number", "hex", "word", "file", "other"]
 
@@ -167,7 +167,7 @@ def templates(paths: DataFrame, least_urls: int = 3, normal: float = 1.645, salt
         on = F.coalesce("_on", "_all_on", F.lit(False))
         tail = F.when(on, "").otherwise(F.repeat(F.lit("/*"), F.size("segs") - (d + 1)))
         now = now.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("_name", F.lit("*")), tail))
-        now = cut(now.withColumn("_live", on & (F.size("segs") > d + 1)).drop("seg", "_name", "_on", "_all_on"))
+        now = written(now.withColumn("_live", on & (F.size("segs") > d + 1)).drop("seg", "_name", "_on", "_all_on"))
         done.append(now.where("not _live").drop("_live"))
         live, d = now.where("_live").drop("_live"), d + 1
         if len(done) > 32:
