@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.text import chunk_title, strip
-from gleaner.operators.chunk import Config, child_entries, embed_items, passages
+from gleaner.operators.chunk import Config, child_entries, embed_items, split_pieces
 
 #: What a config given as JSON may say; missing keys take the defaults.
 CONFIG = "mode string, split string, size int, overlap int, child boolean, child_size int, qa boolean"
@@ -50,18 +50,23 @@ def described(c: Column) -> Column:
 
 
 def units(sources: DataFrame, c: Config, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """source_id, position, title, text, indexes (id, type, text)."""
-    rows = sources.select(F.col(id_col).alias("source_id"), F.posexplode(passages(F.col(text_col), c)).alias("p", "text"))
-    kids = F.transform(
-        child_entries(F.col("text"), c),
-        lambda t, i: F.struct(F.concat(F.lit("child-"), (i + 1).cast("string")).alias("id"), F.lit("child").alias("type"), t.alias("text")),
-    )
+    """source_id, position, title, text, indexes (id, type, text): children of
+    the prose, then a sentence for each table row, where children are wanted."""
+    rows = split_pieces(sources, c, id_col, text_col)
+
+    def entries(kind: str, texts: Column, before: Column) -> Column:
+        name = lambda i: F.concat(F.lit(f"{kind}-"), (before + i + 1).cast("string"))
+        return F.transform(texts, lambda t, i: F.struct(name(i).alias("id"), F.lit(kind).alias("type"), t.alias("text")))
+
+    wanted = c.mode == "custom" and c.child and not c.qa
+    rows = rows.select(F.col("id").alias("source_id"), "position", "x.text", child_entries(F.col("x.prose"), c).alias("kids"), "x.rows")
+    said = F.col("rows") if wanted else F.array().cast("array<string>")
     return rows.select(
         "source_id",
-        (F.col("p") + 1).alias("position"),
+        "position",
         chunk_title(F.col("text"), F.lit("")).alias("title"),
         "text",
-        kids.alias("indexes"),
+        F.concat(entries("child", F.col("kids"), F.lit(0)), entries("row", said, F.size("kids"))).alias("indexes"),
     )
 
 
@@ -80,8 +85,9 @@ def preview(rows: DataFrame, size: int) -> DataFrame:
 
 def items(rows: DataFrame) -> DataFrame:
     """source_id, position, item, kind, text: what is embedded, in order."""
-    kids = F.transform("indexes", lambda x: x["text"])
-    made = embed_items(F.col("title"), F.col("text"), F.lit(None).cast("string"), kids)
+    kids = F.transform(F.filter("indexes", lambda x: x["type"] == "child"), lambda x: x["text"])
+    rest = F.filter("indexes", lambda x: x["type"] != "child")
+    made = embed_items(F.col("title"), F.col("text"), F.lit(None).cast("string"), kids, rest)
     return rows.select("source_id", "position", F.posexplode(made).alias("item", "i")).select(
         "source_id", "position", "item", "i.kind", "i.text"
     )

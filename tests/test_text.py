@@ -184,6 +184,76 @@ def test_embed_items(spark):
     assert [(x["kind"], x["text"]) for x in got] == [("default", "one sentence")]
 
 
+def grid(n, width=6):
+    return "| 名称 | 数值 | 备注 |\n| --- | :---: | --- |\n" + "\n".join(f"| 项{i} | {i * 10} | {'说明' * width} |" for i in range(n))
+
+
+def test_blank_lines_and_colons_part_lines(spark):
+    lines = C.joined_lines(F.col("t"))
+    assert one(spark, lines, t="one\ntwo\n\nthree:\nfour") == ["one two", "three:", "four"]
+    assert one(spark, lines, t="知识\n库，\nabc") == ["知识库，abc"]
+    assert one(spark, lines, t="总则。第二条 适用。## 附录") == ["总则。", "第二条 适用。", "## 附录"]
+
+
+def test_articles_with_a_sentence_stand_alone(spark):
+    text = "第一章 总则\n第一条 适用于业主。\n第二条 适用于物业。"
+    assert parts(spark, text, C.Config(trigger="force")) == ["第一章 总则\n第一条 适用于业主。", "第二条 适用于物业。"]
+
+
+def test_unfinished_sentence_moves_on(spark):
+    pieces = F.split(F.col("t"), "/")
+    assert one(spark, C.packed(pieces, 12), t="aaa!/bbb/cccccc") == ["aaa!", "bbb\ncccccc"]
+    assert one(spark, C.packed(pieces, 8), t="aaaaa/bbb/cc") == ["aaaaa", "bbb\ncc"]
+    assert one(spark, C.packed(pieces, 6, alone=True), t="aa/bb!cccc!dd/e") == ["aa", "bb!", "cccc!", "dd", "e"]
+
+
+def test_texts_with_blocks_take_the_markdown_path(spark):
+    c = C.Config(size=200, trigger="force")
+    rows = spark.createDataFrame([(1, f"概述\n\n{grid(30)}"), (2, "a | b\nc | d"), (3, None), (4, "x\n```\n" + "echo\n" * 60 + "```")], "doc_id long, text string")
+    got = {}
+    for r in C.split_documents(rows, c).orderBy("doc_id", "position").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert [x for p in got[1] for x in p.split("\n") if x.startswith("| 项")] == grid(30).split("\n")[2:]
+    assert all(len(p) <= 200 for p in got[1]) and got[2] == ["a | b c | d"] and 3 not in got
+    assert got[4] == ["x", "```\n" + "echo\n" * 60 + "```"]
+    marked = lambda t: one(spark, C.has_markdown(F.col("t")), t=t)
+    assert marked(grid(1)) and marked("a\n~~~sh\nb") and not marked("| a | b |\n| --- |\n| 1 | 2 |") and not marked("a\n---\nb | c") and not marked(None)
+
+
+@pytest.mark.parametrize(
+    ("text", "size", "want"),
+    [
+        (f"# 配置\n\n{grid(3)}", 400, [f"# 配置\n\n{grid(3)}"]),
+        ("前文说明。\n\n## 安装\n\n```bash\necho hi\n```", 30, ["前文说明。", "## 安装\n\n```bash\necho hi\n```"]),
+        ("one!two!three!", 9, ["one!\ntwo!", "three!"]),
+    ],
+)
+def test_markdown_passages(text, size, want):
+    assert C.markdown_passages(text, size) == want
+
+
+def test_long_tables_go_under_the_last_heading():
+    got = C.markdown_passages(f"前言段落。\n\n## 参数表\n\n{grid(30)}\n\n结尾段落。", 200)
+    tables = [p for p in got if "| --- |" in p]
+    assert len(tables) > 1 and all("## 参数表\n\n| 名称 | 数值 | 备注 |" in p and len(p) <= 200 for p in tables)
+    long = "| 长 | 1 | " + "很长的内容" * 60 + " |"
+    assert sum(long in p for p in C.markdown_passages(grid(1) + "\n" + long, 100)) == 1
+    assert C.markdown_passages(f"{grid(2)}\n\n## 附录", 1000)[-1].endswith("## 附录")
+
+
+def test_table_rows_are_index_entries(spark):
+    from gleaner.operators import process as X
+
+    text = "## 价格\n\n| 版本 | 价格 | 说明 |\n| --- | --- | --- |\n| 基础版 | 0 |  |\n| 专业版 | 99 | 含 a\\|b |"
+    rows = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    made = X.units(rows, C.Config(mode="custom", child=True, child_size=200))
+    assert [(x.id, x.type, x.text) for x in made.first().indexes] == [
+        ("row-1", "row", "版本: 基础版；价格: 0"), ("row-2", "row", "版本: 专业版；价格: 99；说明: 含 a|b"),
+    ]
+    assert [r.kind for r in X.items(made).orderBy("item").collect()][-3:] == ["default", "row", "row"]
+    assert X.units(rows, C.Config()).first().indexes == []
+
+
 def test_replies():
     from gleaner.functions import replies as P
 
