@@ -7,20 +7,32 @@ with the id, so results do not depend on partitioning.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.tokens import latin_tokens
+from gleaner.functions.text import index_text
+from gleaner.functions.tokens import latin_tokens, tokens
 
 RRF_K = 60
 POOL = 50
 K1, B = 1.2, 0.75
 
 
-def _tf(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == F.lit(term)))
+# The weights of the fields of a passage.
+BOOSTS = {"title": 2.0, "text": 1.0, "answer": 1.2, "indexes": 1.5}
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for each row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _counts(tokens: Column, terms: Sequence[str]) -> Column:
+    """[length, count of each term], from one tokenisation."""
+    return _let(tokens, lambda t: F.array(F.size(t), *[F.size(F.filter(t, lambda x: x == F.lit(v))) for v in terms]))
 
 
 def bm25_field(docs: DataFrame, field: Column, terms: Sequence[str], tokenise=latin_tokens) -> Column:
@@ -30,38 +42,58 @@ def bm25_field(docs: DataFrame, field: Column, terms: Sequence[str], tokenise=la
     one aggregation of a single row, whatever filter follows; the score itself
     is a projection, so ranking needs no shuffle but the top-k.
     """
-    t = tokenise(field)
-    stats = docs.select(
-        F.size(t).alias("dl"), *[(_tf(t, x) > 0).cast("int").alias(f"d{i}") for i, x in enumerate(terms)]
-    ).agg(
+    counts = _counts(tokenise(field), terms)
+    c = F.col("c")
+    stats = docs.select(counts.alias("c")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("dl").alias("avgdl"),
-        *[F.sum(f"d{i}").alias(f"df{i}") for i in range(len(terms))],
+        F.avg(c[0]).alias("avgdl"),
+        *[F.count_if(c[i + 1] > 0).alias(f"df{i}") for i in range(len(terms))],
     ).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    length = F.lit(K1) * (1 - F.lit(B) + F.lit(B) * F.size(t) / F.lit(float(avgdl)))
-    score = F.lit(0.0)
-    for i, x in enumerate(terms):
-        df = stats[f"df{i}"] or 0
-        idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
-        tf = _tf(t, x).cast("double")
-        score = score + F.lit(idf) * (tf * (K1 + 1)) / (tf + length)
-    return score
+
+    def score(c: Column) -> Column:
+        length = F.lit(K1) * (1 - F.lit(B) + F.lit(B) * c[0] / F.lit(float(avgdl)))
+        total = F.lit(0.0)
+        for i in range(len(terms)):
+            df, tf = stats[f"df{i}"], c[i + 1].cast("double")
+            idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+            total = total + F.lit(idf) * (tf * (K1 + 1)) / (tf + length)
+        return total
+
+    return _let(counts, score)
 
 
 def lexical(
-    docs: DataFrame, terms: Sequence[str], id_col: str, fields: dict[str, tuple[Column, float]], keep: Column | None = None
+    docs: DataFrame,
+    terms: Sequence[str],
+    id_col: str,
+    fields: dict[str, tuple[Column, float]],
+    keep: Column | None = None,
+    tokenise=latin_tokens,
 ) -> DataFrame:
     """chunk_id, score > 0: the best boosted field of each passage.
 
     ``keep`` filters passages after the statistics, which stay global.
+    ``tokens`` as ``tokenise`` makes pairs of CJK texts; terms are cut alike.
     """
-    best = [bm25_field(docs, col, terms) * F.lit(boost) for col, boost in fields.values()]
+    best = [bm25_field(docs, col, terms, tokenise) * F.lit(boost) for col, boost in fields.values()]
     score = F.round(F.greatest(*best) if len(best) > 1 else best[0], 6)
     rows = docs if keep is None else docs.where(keep)
     return rows.select(F.col(id_col).alias("chunk_id"), score.alias("score")).where("score > 0")
 
 
+def passage_fields(title: Column, text: Column, answer: Column, indexes: Column) -> dict[str, tuple[Column, float]]:
+    """The four weighted fields of a passage; ``indexes`` is an array of texts."""
+    joined = F.array_join(F.coalesce(indexes, F.array().cast("array<string>")), " ")
+    cols = {"title": title, "text": text, "answer": answer, "indexes": joined}
+    return {name: (index_text(col), BOOSTS[name]) for name, col in cols.items()}
+
+
+def query_terms(spark: SparkSession, query: str, tokenise=tokens) -> list[str]:
+    """The distinct terms of one query, in order."""
+    return spark.createDataFrame([(query,)], "q string").select(F.array_distinct(tokenise(F.col("q")))).first()[0]
+
+
 def top(scored: DataFrame, k: int = POOL) -> DataFrame:
     """The k best rows by score, ties by id."""
     return scored.orderBy(F.desc("score"), "chunk_id").limit(k)
@@ -170,27 +202,75 @@ def dropped(lex: DataFrame, sem: DataFrame, similarity: float = 0.2, limit: int
     return rows.where(F.col("position") <= most).select("position", "chunk_id", "score", "reason")
 
 
-def rerank(pool: DataFrame, docs: DataFrame, query_terms: Sequence[str], id_col: str, text: Column, limit: int = 20) -> DataFrame:
-    """Replaces the ranking by the share of query terms a passage has: a
-    deterministic stand-in for a model, which would be a ``mapInArrow`` here."""
-    have = latin_tokens(text)
-    hits = sum(F.array_contains(have, t).cast("int") for t in query_terms)
-    scores = docs.select(F.col(id_col).alias("chunk_id"), F.round(hits / F.lit(len(query_terms)), 6).alias("new"))
+def rerank(
+    pool: DataFrame,
+    docs: DataFrame,
+    query_terms: Sequence[str],
+    id_col: str,
+    text: Column,
+    limit: int = 20,
+    model: Callable[[list[str]], list[float]] | None = None,
+) -> DataFrame:
+    """Replaces the ranking of a pool by ``model``, which takes a list of texts
+    and returns as many scores and runs in the tasks; a text it gives null goes
+    last.  Without one, by the share of query terms a passage has.  The pool is
+    a top-k, so its ids are broadcast and only its texts are scored."""
+    ids = F.broadcast(pool.select("chunk_id").distinct())
+    texts = docs.select(F.col(id_col).alias("chunk_id"), text.alias("t")).join(ids, "chunk_id", "left_semi")
+
+    def scored(batch: pa.Array) -> pa.Array:
+        asked = [x or "" for x in batch.to_pylist()]
+        got = list(model(asked)) if asked else []
+        if len(got) != len(asked):
+            raise ValueError("as many scores as texts are expected")
+        return pa.array([None if x is None else float(x) for x in got], pa.float64())
+
+    if model is None:
+        have = latin_tokens(F.col("t"))
+        new = _let(have, lambda t: sum(F.array_contains(t, x).cast("int") for x in query_terms) / F.lit(len(query_terms)))
+    else:
+        new = F.arrow_udf(scored, "double")(F.col("t"))
+    scores = texts.select("chunk_id", F.round(new, 6).alias("new"))
     out = pool.join(scores, "chunk_id", "left").select(
         "chunk_id", F.coalesce("new", F.lit(0.0)).alias("score"), F.lit("reranked").alias("note")
     )
     return top(out, limit)
 
 
-def search_many(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, k: int = 20) -> DataFrame:
+def search_state(query: str, sources: DataFrame, passages: DataFrame, wanted: Sequence | None = None, source_col: str = "source_id") -> str | None:
+    """Why a search cannot find anything, before it is run: ``no query``,
+    ``no source chosen``, ``no data``; else None.  One row is looked for."""
+    if not (query or "").strip():
+        return "no query"
+    if wanted is not None and not list(wanted):
+        return "no source chosen"
+    rows, have = sources, passages
+    if wanted is not None:
+        rows, have = (x.where(F.col(source_col).isin(list(wanted))) for x in (rows, have))
+    found = have.join(rows.select(source_col), source_col, "left_semi") if wanted is None else have
+    return None if rows.head(1) and found.head(1) else "no data"
+
+
+def degraded(mode: str, lex: DataFrame, semantic: Callable[[], DataFrame]) -> tuple[DataFrame, str | None]:
+    """(semantic leg, error): where ``semantic`` fails, ``mix`` goes on with an
+    empty leg and the error's text; ``embedding`` fails."""
+    try:
+        return semantic(), None
+    except Exception as e:  # whatever the model raises
+        if mode != "mix":
+            raise
+        return lex.select("chunk_id", "score").limit(0), str(e) or type(e).__name__
+
+
+def search_many(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, k: int = 20, tokenise=latin_tokens) -> DataFrame:
     """query_id, chunk_id, score, rank: BM25 for a table of queries at once.
 
     Passages meet queries by term, a shuffled equi-join of postings, so no
     passage is paired with a query it shares no term with.
     """
-    have = docs.select(F.col(id_col).alias("chunk_id"), latin_tokens(text).alias("t"))
+    have = docs.select(F.col(id_col).alias("chunk_id"), tokenise(text).alias("t"))
     n, avgdl = have.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()
-    want = queries.select("query_id", F.explode(F.array_distinct(latin_tokens(F.col("query")))).alias("term"))
+    want = queries.select("query_id", F.explode(F.array_distinct(tokenise(F.col("query")))).alias("term"))
     terms = want.select("term").distinct()
     postings = (
         have.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import index_text
+from gleaner.functions.tokens import tokens
 from gleaner.operators import retrieve as R
 from gleaner.plans.common import SQL_COSINE, SQL_POOLS, SQL_RRF, TERMS, sql_bm25, table
 
@@ -80,6 +81,36 @@ def lexical_source_filter(spark: SparkSession, d: str) -> DataFrame:
     return R.top(R.lexical(docs, TERMS, "doc_id", {"text": (F.col("text"), 1.0)}, keep))
 
 
+_ROMAN, _HAN = "abcdefghijklmnopqrstuvwxyz", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥金木水火"
+_HAN_QUERY = "酉辛甲酉"  # a word of the corpus, written alike
+_SQL_HAN = f"translate(lower(coalesce(text, '')), '{_ROMAN}', '{_HAN}')"
+
+
+def _sql_han_bm25() -> str:
+    terms = list(dict.fromkeys(_HAN_QUERY[i : i + 2] for i in range(len(_HAN_QUERY) - 1)))
+    tf = [f"len(list_filter(t, lambda x: x = '{v}'))::double as tf{i}" for i, v in enumerate(terms)]
+    df = ", ".join(f"sum((tf{i} > 0)::int) as df{i}" for i in range(len(terms)))
+    part = [
+        f"ln(1 + (n - df{i} + 0.5::double) / (df{i} + 0.5::double)) * (tf{i} * 2.2::double)"
+        f" / (tf{i} + 1.2::double * (1 - 0.75::double + 0.75::double * dl / avgdl))"
+        for i in range(len(terms))
+    ]
+    run = f"[{_HAN}]"
+    return rf"""w as (select doc_id, list_filter(regexp_split_to_array(regexp_replace({_SQL_HAN}, '({run}+)', ' \1 ', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as ws from documents),
+t as (select doc_id, flatten(list_transform(ws, lambda x: case when regexp_matches(x, '^{run}') and length(x) > 1
+ then list_transform(range(1, length(x)), lambda i: substr(x, i::int, 2)) else [x] end)) as t from w),
+f as (select doc_id, len(t)::double as dl, {", ".join(tf)} from t), s as (select count(*)::double as n, avg(dl) as avgdl, {df} from f),
+bm as (select doc_id as chunk_id, round({" + ".join(part)}, 6) as score from f, s)"""
+
+
+@query(f"with {_sql_han_bm25()} select chunk_id, score from bm where score > 0 order by 2 desc, 1 limit 50")
+def lexical_cjk(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus written in Han characters, searched by pairs of them."""
+    docs = table(spark, d, "documents").withColumn("text", F.translate(F.lower("text"), _ROMAN, _HAN))
+    terms = R.query_terms(spark, _HAN_QUERY)
+    return R.top(R.lexical(docs, terms, "doc_id", {"text": (F.col("text"), 1.0)}, tokenise=tokens))
+
+
 @query(f"with {SQL_POOLS} select * from sem")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return _sem(spark, d)

@@ -91,3 +91,52 @@ def test_gate_reasons(spark):
     runs = spark.createDataFrame([(3, 1, "t1", 2, 1), (4, 1, "t1", 0, 5), (4, 2, "t2", 5, 0)], "tool_id int, run_id int, created_at string, passed int, failed int")
     got = {r.tool_id: r.reason for r in E.release_gate(tools, E.summaries(cases, runs)).collect()}
     assert got == {1: "no cases", 2: "never run", 3: "1 failed"}
+
+
+def test_rerank_asks_the_model_for_the_pool_only(spark):
+    docs = spark.createDataFrame([(str(i), "x" * i) for i in range(1, 6)] + [("n", None)], "doc_id string, text string")
+    pool = _pool(spark, [("1", 0.9), ("3", 0.8), ("n", 0.7), ("gone", 0.1)])
+
+    def model(texts):
+        if any(len(t) not in (0, 1, 3) for t in texts):
+            raise AssertionError("a text outside the pool")
+        return [float(len(t)) if t else None for t in texts]
+
+    got = R.rerank(pool, docs, [], "doc_id", F.col("text"), 20, model).collect()
+    assert [(r.chunk_id, r.score) for r in got] == [("3", 3.0), ("1", 1.0), ("gone", 0.0), ("n", 0.0)]
+    with pytest.raises(Exception, match="as many scores"):
+        R.rerank(pool, docs, [], "doc_id", F.col("text"), 20, lambda t: [1.0] * (len(t) + 1)).collect()
+
+
+def test_search_state(spark):
+    sources = spark.createDataFrame([(1,), (2,)], "source_id int")
+    have = spark.createDataFrame([(1, "a"), (9, "orphan")], "source_id int, text string")
+    assert R.search_state("  ", sources, have) == "no query" and R.search_state("q", sources, have, []) == "no source chosen"
+    assert R.search_state("q", sources, have) is None and R.search_state("q", sources, have, [1]) is None
+    assert R.search_state("q", sources, have, [2]) == "no data" and R.search_state("q", sources, have, [9]) == "no data"
+    assert R.search_state("q", sources.limit(0), have) == "no data"
+
+
+def test_a_failing_vector_leg_leaves_the_lexical_one(spark):
+    lex = _pool(spark, [("a", 1.0)])
+
+    def fails():
+        raise RuntimeError("no model")
+
+    sem, error = R.degraded("mix", lex, fails)
+    assert error == "no model" and [r.note for r in R.search(lex, sem).collect()] == ["lexical"]
+    with pytest.raises(RuntimeError):
+        R.degraded("embedding", lex, fails)
+    assert R.degraded("embedding", lex, lambda: lex) == (lex, None)
+
+
+def test_four_fields_have_their_weights(spark):
+    from gleaner.functions.tokens import tokens
+
+    rows = [(1, "知识库", "x", None, ["a", "b"]), (2, "t", "知识库", "y", None), (3, "t", "u", "v", ["知识 库"]), (4, None, "w", "知识库", [])]
+    docs = spark.createDataFrame(rows, "doc_id int, title string, text string, answer string, indexes array<string>")
+    fields = R.passage_fields(*(F.col(c) for c in ("title", "text", "answer", "indexes")))
+    terms = R.query_terms(spark, "知识")
+    assert terms == ["知识"]
+    got = {r.chunk_id: r.score for r in R.lexical(docs, terms, "doc_id", fields, tokenise=tokens).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[1] > got[3] > got[4] > got[2] * 0.9
