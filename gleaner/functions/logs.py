@@ -45,6 +45,48 @@ def purpose(kind: Column) -> Column:
     )
 
 
+def call_summary(kind: Column, request: Column, response: Column, error: Column, status: Column, ok: Column) -> Column:
+    """One line on a call of a model: its error, else its status, else what was
+    asked for by its kind.  ``request`` and ``response`` are JSON; what is no
+    JSON counts as absent."""
+    asked, got = F.try_parse_json(request), F.try_parse_json(response)
+
+    def rows(v: Column, path: str) -> Column:
+        return F.try_variant_get(v, path, "array<variant>")
+
+    def said(v: Column, path: str) -> Column:
+        is_text = F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"
+        return F.when(is_text, F.try_variant_get(v, path, "string"))
+
+    def line(text: Column) -> Column:
+        return F.nullif(F.substring(F.replace(text, F.lit("\n"), F.lit(" ")), 1, 120), F.lit(""))
+
+    users = F.transform(
+        F.filter(rows(asked, "$.messages"), lambda m: said(m, "$.role") == "user"), lambda m: said(m, "$.content")
+    )
+    users = F.filter(users, lambda t: t.isNotNull())
+    reply = F.coalesce(said(got, "$.choices[0].message.content"), said(got, "$.choices[0].text"))
+    n = F.when(rows(asked, "$.input").isNotNull(), F.size(rows(asked, "$.input"))).when(said(asked, "$.input").isNotNull(), 1).otherwise(0)
+    vec = "$.data[0].embedding"
+    dim = F.coalesce(F.try_variant_get(got, f"{vec}.dim", "int"), F.when(rows(got, vec).isNotNull(), F.size(rows(got, vec))), F.lit(0))
+    docs = F.coalesce(rows(asked, "$.documents"), rows(asked, "$.input.documents"))
+    models = F.coalesce(rows(got, "$.data"), rows(got, "$"))
+    # The texts of the summaries.
+    return (
+        F.when(F.coalesce(error, F.lit("")) != "", F.substring(error, 1, 160))
+        .when(~F.coalesce(ok, F.lit(False)) & (F.coalesce(status, F.lit(0)) != 0), F.concat(F.lit("HTTP "), status.cast("string")))
+        .when(kind == "chat", F.coalesce(line(F.try_element_at(users, F.lit(-1))), line(reply), F.lit("对话")))
+        .when(kind.startswith("embedding") & (n > 0) & (dim > 0), F.concat(n.cast("string"), F.lit(" 条 · "), dim.cast("string"), F.lit(" 维")))
+        .when(kind.startswith("embedding") & (n > 0), F.concat(n.cast("string"), F.lit(" 条文本")))
+        .when(kind.startswith("embedding"), "向量化")
+        .when((kind == "rerank") & (F.coalesce(F.size(docs), F.lit(0)) > 0), F.concat(F.lit("重排 "), F.size(docs).cast("string"), F.lit(" 篇")))
+        .when(kind == "rerank", "重排")
+        .when((kind == "models") & models.isNotNull(), F.concat(F.lit("拉取到 "), F.size(models).cast("string"), F.lit(" 个模型")))
+        .when(kind == "models", "拉取模型列表")
+        .otherwise(kind)
+    )
+
+
 def capped(value: Column, most: int = CAP) -> Column:
     """The value, or a small object with its size and beginning."""
     preview = F.to_json(F.struct(F.length(value).alias("_chars"), F.substring(value, 1, 2000).alias("_preview")))

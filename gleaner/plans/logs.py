@@ -162,3 +162,23 @@ def address_label(spark: SparkSession, d: str) -> DataFrame:
         .otherwise("203.0.113.9")
     )
     return users.select("user_id", L.address_label(ip).alias("label"))
+
+
+@query(
+    r"""select event_id, case when event_type = 'error' then 'failed ' || event_id when event_id % 5 = 4 then 'HTTP 500'
+ when event_id % 5 = 0 then 'about ' || event_type || ' ' || event_id when event_id % 5 = 1 then (1 + event_id % 3) || ' 条 · 4 维'
+ when event_id % 5 = 2 then '重排 2 篇' else '拉取到 ' || (1 + event_id % 3) || ' 个模型' end as summary from events"""
+)
+def call_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """A call made up of each event, and its line in the log."""
+    e, kind = F.col("event_id"), F.col("event_id") % 5
+    many = F.array_repeat(F.lit('"x"'), (1 + e % 3).cast("int"))
+    listed = F.concat(F.lit("["), F.array_join(many, ","), F.lit("]"))
+    chat = F.format_string('{"messages": [{"role": "user", "content": "first"}, {"role": "user", "content": "about\\n%s %d"}, {"role": "assistant", "content": "no"}]}', F.col("event_type"), e)
+    request = F.when(kind == 0, chat).when(kind == 1, F.concat(F.lit('{"input": '), listed, F.lit("}"))).when(kind == 2, '{"input": {"documents": ["a", "b"]}}')
+    response = F.when(kind == 1, '{"data": [{"embedding": [1, 2, 3, 4]}]}').when(kind == 3, F.concat(F.lit('{"data": '), listed, F.lit("}"))).otherwise("no json")
+    name = F.element_at(F.array(*map(F.lit, ("chat", "embeddings", "rerank", "models", "chat"))), (kind + 1).cast("int"))
+    error = F.when(F.col("event_type") == "error", F.concat(F.lit("failed "), e.cast("string")))
+    status = F.when(kind == 4, 500).otherwise(200)
+    line = L.call_summary(name, request, response, error, status, status < 400)
+    return _events(spark, d).select("event_id", line.alias("summary"))

@@ -287,6 +287,25 @@ def test_purpose(spark):
         assert one(spark, L.purpose(F.col("t")), t=kind) == name
 
 
+@pytest.mark.parametrize(
+    ("kind", "request_", "response", "error", "want"),
+    [
+        ("chat", '{"messages": [{"role": "user", "content": "a\\nb"}, {"role": "user", "content": [1]}]}', None, None, "a b"),
+        ("chat", "broken", '{"choices": [{"message": {"content": "yes"}}]}', None, "yes"), ("chat", None, '{"choices": [{"text": "t"}]}', "", "t"),
+        ("chat", "{}", "[]", None, "对话"), ("chat", None, None, "e" * 200, "e" * 160),
+        ("embeddings", '{"input": "[1]"}', '{"data": [{"embedding": {"dim": 8}}]}', None, "1 条 · 8 维"),
+        ("embeddings", '{"input": ["a", "b"]}', None, None, "2 条文本"), ("embedding", None, None, None, "向量化"),
+        ("rerank", '{"documents": ["a"]}', None, None, "重排 1 篇"), ("rerank", "[]", None, None, "重排"),
+        ("models", None, "[1, 2]", None, "拉取到 2 个模型"), ("models", None, "x", None, "拉取模型列表"), ("other", None, None, None, "other"),
+    ],
+)
+def test_call_summary(spark, kind, request_, response, error, want):
+    made = L.call_summary(F.col("k"), F.col("q"), F.col("r"), F.col("e"), F.lit(200), F.lit(True))
+    assert one(spark, made, k=kind, q=request_, r=response, e=error) == want
+    if not error:
+        assert one(spark, L.call_summary(F.col("k"), F.col("q"), F.col("r"), F.col("e"), F.lit(503), F.lit(False)), k=kind, q=request_, r=response, e=error) == "HTTP 503"
+
+
 def test_merge_stream_counts_events_of_any_kind(spark, tmp_path):
     from gleaner.streaming import sse
 
