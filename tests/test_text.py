@@ -232,6 +232,15 @@ def test_markdown_passages(text, size, want):
     assert C.markdown_passages(text, size) == want
 
 
+def test_windows_of_all_documents_are_those_of_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    cases = F.explode(F.array(F.col("text"), F.translate(F.lower("text"), "etaoin,.", "，。！；：\n、?")))
+    rows = docs.select(cases.alias("t")).select(T.strip(F.col("t")).alias("t"))
+    for size in (64, 300):
+        got = rows.select("t", C.windows(F.col("t"), size).alias("w")).collect()
+        assert got and all(r.w == C.cut_block(r.t, size) for r in got)
+
+
 def test_long_tables_go_under_the_last_heading():
     got = C.markdown_passages(f"前言段落。\n\n## 参数表\n\n{grid(30)}\n\n结尾段落。", 200)
     tables = [p for p in got if "| --- |" in p]
