@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, decontam, exact_dedup, langid, line_dedup, minhash, mixing, pii, quality, url_templates
+from gleaner.llm import chat, decontam, exact_dedup, langid, line_dedup, metric_topk, minhash, mixing, periodic, pii, quality, token_align, url_templates
 from gleaner.llm.common import crc_mod
 
 
@@ -129,6 +131,57 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_topk.top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def planted(text: str, doc_id: int) -> str:
+    """The text with the contract's repetition in it."""
+    words, h = _WORD.findall(text), zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return text
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return " ".join(words[:a] + [words[a + i % p] for i in range(n - a)])
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.arrow_udf("string")
+    def with_repeats(text: pa.Array, doc_id: pa.Array) -> pa.Array:
+        return pa.array((planted(t, i) for t, i in zip(text.to_pylist(), doc_id.to_pylist(), strict=True)), pa.string())
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    hit = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0) & F.col("text").isNotNull()
+    some = docs.where(hit).select("doc_id", with_repeats("text", "doc_id").alias("text"))
+    found = periodic.periodic_runs(docs.where(~F.coalesce(hit, F.lit(False))).unionByName(some))
+    best = F.get("runs", F.col("strongest"))
+    line = lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * get(runs, strongest).length div get(runs, strongest).period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = token_align.alignment(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model", digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP5_SQL = rf"""
@@ -184,6 +237,19 @@ select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit
 from d left join hw on hw.rid = d.rid left join hi on hi.rid = d.rid
 """
 
+OP11_SQL = r"""
+with v as (
+  select row_number() over () as rid, vec_id, [floor(64 * x::double) for x in embedding] as v from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), s as (
+  select q.rid, q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from v q join v c on q.rid <> c.rid and len(q.v) = len(c.v) where q.vec_id % 20 = 0
+), r as (
+  select *, row_number() over (partition by rid order by score desc, vec_id asc nulls last)::int as rank from s
+)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
 OP3_SQL = r"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -284,6 +350,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_line_dedup": op9_line_dedup,
         "op10_mixing": op10_mixing,
+        "op11_exact_topk": op11_exact_topk,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
@@ -295,4 +364,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_decontamination": OP8_SQL,
         "op9_line_dedup": OP9_SQL,
         "op10_mixing": OP10_SQL,
+        "op11_exact_topk": OP11_SQL,
     }
