@@ -290,7 +290,7 @@ def top_products(
     tree = F.struct("dim", "pivot", F.pmod(F.xxhash64(F.lit("part"), "rid"), "parts").alias("part"))
     keyed = keyed.select(F.xxhash64(tree).alias("tree"), "dim", "rid", F.coalesce("id", F.lit(_LAST)).alias("id"), "v")
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dim = int(pdf["dim"].iloc[0])
         pdf = pdf.sort_values(["id", "rid"], kind="stable")
         v = unpacked(pdf["v"].tolist(), dim)
@@ -344,7 +344,7 @@ def top_products(
             part = b.take(rows)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(trees) if trees else np.zeros(0, np.int64))], [*b.schema.names, "tree"])
 
-    def look(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def look(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"rid": [], "query_id": [], "score": [], "vec_id": [], "row": []}
         if len(left) and len(right):
             dim = int(left["dim"].iloc[0])

@@ -58,7 +58,7 @@ class Sums:
         self.up[0] = 1
         np.cumprod(self.up, out=self.up)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(mix(ids.astype(np.uint64) + _U(seed + 1) * _U(0x9E3779B97F4A7C15)) * self.up[:n], out=self.sums[1:])
+        np.cumsum(mix(ids.astype(np.uint64) + _U((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * self.up[:n], out=self.sums[1:])
 
     def equal(self, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Whether the ``n`` words from i on are those from j on (i < j)."""
