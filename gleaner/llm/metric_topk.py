@@ -14,22 +14,23 @@ radii and smallest ids; it is one row of a table.
 
 A query first searches the tree whose root is nearest, then, with the k-th
 score found there, those trees whose roots leave room for a better one.  Within
-a tree it takes the page of the greatest possible score from a queue.  By the
+a tree it goes from the leaf of the greatest possible score to lesser ones and
+ends where none can count; the queries of a block do so together.  By the
 triangle inequality the stored distances to the routing object bound an entry's
-distance; only entries whose bound may still count are computed.  Bounds have a
-margin for rounding; scores are exact integers and decide.
+distance; only entries whose bound may still count, for some query of those
+that are at the page, are computed.  Bounds have a margin for rounding; scores
+are exact integers and decide.
 
 Edge cases: vectors that are null, or hold a null or non-finite component, take
 no part, neither as queries nor as candidates.  Only vectors of one length are
 compared (those of no components have score 0).  Repeated rows are candidates
 of each other; rows with a null id are candidates, after all others of equal
-score, and no queries.  A score beyond 64 bits is the nearest 64-bit number.
+score, and no queries.  A score beyond 63 bits and a sign is the greatest or least such number.
 An empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql.window import Window
 
 from gleaner.llm.common import bound_batches, written
 
-PAGE = 32
+PAGE = 64
 _LAST = (1 << 63) - 1
 _EXACT = float(1 << 53)
 
@@ -62,12 +63,12 @@ def unpacked(raw: list[bytes], dim: int) -> np.ndarray:
     return out
 
 
-def products(rows: np.ndarray, q: np.ndarray) -> list[int] | np.ndarray:
-    """Exact inner products, as 64-bit numbers."""
-    if np.abs(rows).max(initial=0) * np.abs(q).max(initial=0) * max(1, len(q)) < _EXACT:
-        return (rows @ q).astype(np.int64)
-    exact = [sum(int(a) * int(b) for a, b in zip(r, q, strict=True)) for r in rows]
-    return np.array([max(-_LAST - 1, min(_LAST, x)) for x in exact], dtype=np.int64)
+def products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Exact inner products of all queries with all rows, as 64-bit numbers."""
+    if np.abs(rows).max(initial=0) * np.abs(q).max(initial=0) * max(1, q.shape[1]) < _EXACT:
+        return (q @ rows.T).astype(np.int64)
+    exact = [[sum(int(a) * int(b) for a, b in zip(x, r, strict=True)) for r in rows] for x in q]
+    return np.array([[max(-_LAST, min(_LAST, x)) for x in line] for line in exact], dtype=np.int64).reshape(len(q), len(rows))
 
 
 def _lifted(v: np.ndarray, top: float) -> np.ndarray:
@@ -136,64 +137,91 @@ def build(vectors: np.ndarray, ids: np.ndarray, top: float) -> list[dict]:
 
 
 class Tree:
-    """A tree read from its pages, and the search in it."""
+    """A tree read from its pages, and the search of many queries in it."""
 
     def __init__(self, pages: pd.DataFrame, dim: int, top: float):
-        self.top = top
-        self.pages: dict[tuple[int, int], tuple] = {}
-        for r in pages.itertuples():
-            numbers = np.frombuffer(r.bounds, dtype="<f8").reshape(2, -1)
-            ids = np.frombuffer(r.ids, dtype="<i8").reshape(2, -1)
-            v = unpacked(r.vectors, dim)
-            self.pages[r.level, r.page] = (v, _lifted(v, top), numbers[0], numbers[1], ids[0], ids[1], int(r.routing))
-        self.root = max(self.pages)
+        self.top, self.levels = top, {}
         self.computed = self.spared = 0
-
-    def search(self, q: np.ndarray, k: int, own: int | None, floor: tuple[int, int] | None) -> list[tuple[int, int, int]]:
-        """(score, id, row) of the k best rows but ``own``, best first; of those
-        only that come before ``floor`` (score, id), if given."""
-        lifted = np.append(q, 0.0)
-        base = float(q @ q) + self.top
+        for r in pages.sort_values(["level", "page"]).itertuples():
+            away, radii = np.frombuffer(r.bounds, dtype="<f8").reshape(2, -1)
+            rows, low = np.frombuffer(r.ids, dtype="<i8").reshape(2, -1)
+            self.levels.setdefault(r.level, []).append((unpacked(r.vectors, dim), away, radii, rows, low, int(r.routing)))
+
+    def search(self, q: np.ndarray, k: int, own: np.ndarray, floor: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+        """(query, score, id, row) of each query's k best rows but its ``own``;
+        of those only that do not come after ``floor`` (scores, ids).
+
+        Each query visits leaves from the one of the greatest possible score
+        on, until none can hold a row before its k-th; the queries advance
+        together, by 1, 2, 4, ... leaves, so that a leaf is met by many at once.
+        """
+        base = ((q * q).sum(axis=1) + self.top)[:, None]
         margin = 1e-9 * (base + 1)
-        best: list[tuple[int, int, int]] = []  # heap: worst first, as (score, -id, -row)
-        least = (floor[0], -floor[1]) if floor else None
-        queue = [(-np.inf, 0, self.root, None)]
-        while queue:
-            bound, low, at, d_routing = heapq.heappop(queue)
-            # a page is as good as its greatest score and smallest id
-            if least is not None and (-bound < least[0] or (-bound == least[0] and -low < least[1])):
-                continue
-            v, points, away, radii, rows, lows, routing = self.pages[at]
-            d = _distances(points[routing : routing + 1], lifted)[0] if d_routing is None else d_routing
-            far = np.abs(d - away) - radii
-            room = np.floor((base - np.maximum(far, 0) ** 2) / 2 + margin)
-            live = np.arange(len(v))
-            if least is not None:  # not computed: what the stored distances rule out
-                live = np.flatnonzero(~(room < least[0]) & ~((room == least[0]) & (-lows < least[1])))
-                self.spared += len(v) - len(live)
-            self.computed += len(live)
-            if not len(live):
+        score, ident = floor[0].copy(), floor[1].copy()  # of the k-th row so far
+
+        def room(distance: np.ndarray, base=base, margin=margin) -> np.ndarray:
+            # scores are clipped, so their bounds are as well
+            return np.maximum(np.floor((base - np.maximum(distance, 0) ** 2) / 2 + margin), -float(_LAST))
+
+        def may(bound: np.ndarray, low: np.ndarray, of=slice(None)) -> np.ndarray:
+            s, i = score[of][:, None], ident[of][:, None]
+            return ~(bound < s) & ~((bound == s) & (low > i))
+
+        def distance(points: np.ndarray) -> np.ndarray:
+            self.computed += len(q) * len(points)
+            return np.sqrt(np.maximum(base - 2 * (q @ points.T), 0))
+
+        top = max(self.levels)
+        v, *_, routing = self.levels[top][0]
+        to_routing = distance(v[routing : routing + 1])  # of the pages of a level
+        bounds, low = np.full((len(q), 1), np.inf), np.array([-_LAST - 1])
+        for level in range(top, 0, -1):
+            ub, to, lows = [], [], []
+            for n, (v, away, radii, _, below, _) in enumerate(self.levels[level]):
+                bound = room(np.abs(to_routing[:, n : n + 1] - away) - radii)
+                bound = np.minimum(bound, bounds[:, n : n + 1])
+                d = np.full(bound.shape, np.nan)
+                live = np.flatnonzero(may(bound, below).any(axis=0))
+                self.spared += len(q) * (len(v) - len(live))
+                d[:, live] = distance(v[live])
+                bound[:, live] = np.fmin(bound[:, live], room(d[:, live] - radii[live]))
+                ub.append(bound)
+                to.append(d)
+                lows.append(below)
+            bounds, to_routing, low = np.hstack(ub), np.hstack(to), np.concatenate(lows)
+        best = tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        at, stride = 0, 1
+        while at < order.shape[1]:
+            asked = order[:, at : at + stride]
+            at, stride = at + stride, stride * 2
+            wanted = may(np.take_along_axis(bounds, asked, axis=1), low[asked])
+            who, nth = np.nonzero(wanted)
+            if not len(who):
                 continue
-            if at[0] == 0:
-                scores = products(v[live], q)
-                order = np.lexsort((rows[live], lows[live], -scores))[: k + 1]
-                for s, i, r in zip(scores[order].tolist(), lows[live][order].tolist(), rows[live][order].tolist(), strict=True):
-                    if r == own or (least is not None and (s, -i) < least):
-                        continue
-                    entry = (s, -i, -r)
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
-                    if len(best) == k and (least is None or best[0][:2] > least):
-                        least = best[0][:2]
-            else:
-                dist = _distances(points[live], lifted)
-                reach = np.maximum(dist - radii[live], 0)
-                bounds = np.floor((base - reach**2) / 2 + margin)
-                for j, x, y in zip(live.tolist(), dist.tolist(), bounds.tolist(), strict=True):
-                    heapq.heappush(queue, (-y if y == y else -np.inf, int(lows[j]), (at[0] - 1, int(rows[j])), x))
-        return [(s, -i, -r) for s, i, r in sorted(best, reverse=True)]
+            page = asked[who, nth]
+            turn = np.argsort(page, kind="stable")
+            who, page = who[turn], page[turn]
+            cuts = np.flatnonzero(np.diff(page)) + 1
+            found = [best]
+            for of, n in zip(np.split(who, cuts), page[np.concatenate(([0], cuts))].tolist(), strict=True):
+                v, away, _, rows, ids, _ = self.levels[0][n]
+                live = may(room(np.abs(to_routing[of, n : n + 1] - away), base[of], margin[of]), ids, of)
+                entries = np.flatnonzero(live.any(axis=0))
+                self.computed += len(of) * len(entries)
+                self.spared += len(of) * (len(v) - len(entries))
+                s = products(q[of], v[entries])
+                ok = (s > score[of][:, None]) | ((s == score[of][:, None]) & (ids[entries] <= ident[of][:, None]))
+                a, b = np.nonzero(ok & (rows[entries] != own[of][:, None]))
+                found.append((of[a], s[a, b], ids[entries][b], rows[entries][b]))
+            who, s, ids, rows = (np.concatenate(x) for x in zip(*found, strict=True))
+            turn = np.lexsort((rows, ids, -s, who))
+            who = who[turn]
+            rank = np.arange(len(who)) - np.searchsorted(who, who)
+            best = tuple(x[rank < k] for x in (who, s[turn], ids[turn], rows[turn]))
+            last = rank == k - 1
+            score[who[last]], ident[who[last]] = s[turn][last], ids[turn][last]
+        return best
 
 
 def _parts(b: pa.RecordBatch, name: str) -> np.ndarray:
@@ -335,6 +363,7 @@ def top_products(
                 dim = int(b.column("dim")[int(at[0])].as_py())
                 base = (v * v).sum(axis=1) + tops[dim]
                 room = np.floor((base[:, None] - np.maximum(far - reach[dim][None, :], 0) ** 2) / 2 + 1e-9 * (base[:, None] + 1))
+                room = np.maximum(room, -float(_LAST))
                 go = ~(room < score[at][:, None]) | (n_found[at] < k)[:, None]
                 go &= objects[dim][1][None, :] != seen[at][:, None]
                 i, j = np.nonzero(go)
@@ -345,16 +374,15 @@ def top_products(
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(trees) if trees else np.zeros(0, np.int64))], [*b.schema.names, "tree"])
 
     def look(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"rid": [], "query_id": [], "score": [], "vec_id": [], "row": []}
-        if len(left) and len(right):
-            dim = int(left["dim"].iloc[0])
-            found = Tree(left, dim, shared.value[1][dim])
-            for r, q in zip(right.itertuples(), unpacked(right["v"].tolist(), dim), strict=True):
-                floor = (int(r.kth), int(r.kth_id)) if r.n_found >= k else None
-                for score, i, row in found.search(q, k, int(r.rid), floor):
-                    for name, x in (("rid", r.rid), ("query_id", r.id), ("score", score), ("vec_id", i), ("row", row)):
-                        out[name].append(x)
-        return pd.DataFrame(out, dtype=np.int64)
+        names = ["rid", "query_id", "score", "vec_id", "row"]
+        if not len(left) or not len(right):
+            return pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
+        dim = int(left["dim"].iloc[0])
+        full = (right["n_found"] >= k).to_numpy()
+        floor = np.where(full, right["kth"], -_LAST - 1), np.where(full, right["kth_id"], _LAST)
+        rid = right["rid"].to_numpy()
+        who, *found = Tree(left, dim, shared.value[1][dim]).search(unpacked(right["v"].tolist(), dim), k, rid, floor)
+        return pd.DataFrame(dict(zip(names, (rid[who], right["id"].to_numpy()[who], *found), strict=True)))
 
     def searched(asked: DataFrame) -> DataFrame:
         # a tree goes to the blocks that ask for it
