@@ -24,3 +24,19 @@ def settled(df: DataFrame) -> DataFrame:
     there.  A temporary folder is used only where none is set."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder.  Unlike ``settled`` the planner
+    knows its size, so that small tables are broadcast and large ones are not."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores, if its files make fewer
+    splits than that and much is done with each row.  A table of many splits is
+    left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df

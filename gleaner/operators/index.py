@@ -1,54 +1,191 @@
-"""Stored indexes: postings and vectors, replaced source by source.
-
-Postings are partitioned by a hash of the term, so a search reads only the
-partitions of its terms; vectors by source, so a source is replaced or deleted
-without touching the others.
+"""Stored indexes: postings in segments, and vectors.
+
+A batch of passages becomes a segment: postings partitioned by a hash of the
+term, so that a search reads its terms' partitions only, and a row of sums for
+each source and field.  Segments are never changed.  Replacing or deleting a
+source writes a tombstone, which hides the source's rows in older segments;
+what a search needs of the whole collection (number of passages, lengths) are
+sums over the sources that are not hidden, so they need no scan of postings.
+Compaction merges the oldest segments and drops what is hidden in them.
+
+A change shows by one write, of the list of segments under a new version; a
+job that fails before it leaves the index as it was, and what it wrote is never
+read.  One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.tokens import latin_tokens
+from gleaner.operators.cuts import spread, stored
 from gleaner.operators.retrieve import K1, B
 
 BUCKETS = 64
+#: Postings of a bucket beyond which it is dealt to several files.
+BUCKET_ROWS = 4_000_000
+
+_KEY = "kb_id string, source_id string"
+_TABLES = {
+    "postings": f"{_KEY}, field string, term string, chunk_id string, tf long, dl long, bucket int",
+    "sums": f"{_KEY}, field string, n long, total long",
+    "gone": _KEY,
+}
 
 
 def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def postings(passages: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """bucket, term, chunk_id, tf, dl."""
-    rows = passages.select(F.col(id_col).alias("chunk_id"), latin_tokens(text).alias("t"))
+def postings(passages: DataFrame, id_col: str, text: Column, tokenise=latin_tokens) -> DataFrame:
+    """bucket, term, chunk_id, tf, dl of one field."""
+    rows = spread(passages).select(F.col(id_col).alias("chunk_id"), tokenise(text).alias("t"))
     rows = rows.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     counted = rows.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     return counted.select(bucket(F.col("term")).alias("bucket"), "term", "chunk_id", "tf", "dl")
 
 
+@dataclass(frozen=True)
+class Segments:
+    """A lexical index of several weighted fields below ``path``.
+
+    Passages are given as kb_id, source_id, chunk_id and one column a field.
+    """
+
+    spark: SparkSession
+    path: str
+    boosts: dict[str, float]
+    tokenise: object = latin_tokens
+
+    def version(self) -> tuple[int, list[tuple[int, str]]]:
+        """Number of the version in force and its segments (order, name)."""
+        try:
+            rows = self.spark.read.schema("seq int, segment string, v int").parquet(f"{self.path}/live")
+            last = rows.agg(F.max("v")).first()[0]
+        except AnalysisException:  # nothing was written yet
+            last = None
+        if last is None:
+            return 0, []
+        live = rows.where((F.col("v") == last) & (F.col("seq") >= 0)).collect()  # a row a segment
+        return last, sorted((r.seq, r.segment) for r in live)
+
+    def _publish(self, version: int, live: list[tuple[int, str]]) -> None:
+        rows = self.spark.createDataFrame(live or [(-1, "")], "seq int, segment string")
+        rows.coalesce(1).write.parquet(f"{self.path}/live/v={version + 1}")
+
+    def _rows(self, name: str, live: list[tuple[int, str]]) -> DataFrame:
+        """A table's rows in the segments in force, with their order."""
+        schema = _TABLES[name]
+        out = self.spark.createDataFrame([], f"{schema}, seq int")
+        for seq, segment in live:
+            try:
+                rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{segment}")
+            except AnalysisException:  # the segment has none
+                continue
+            out = out.unionByName(rows.withColumn("seq", F.lit(seq)))
+        return out
+
+    def _seen(self, rows: DataFrame, live: list[tuple[int, str]]) -> DataFrame:
+        """Rows that no tombstone of a later segment hides."""
+        gone = self._rows("gone", live)
+        sources = gone.where("source_id is not null").groupBy("kb_id", "source_id").agg(F.max("seq").alias("_source"))
+        whole = gone.where("source_id is null").groupBy("kb_id").agg(F.max("seq").alias("_kb"))
+        held = F.greatest(F.coalesce("_source", F.lit(-1)), F.coalesce("_kb", F.lit(-1)))
+        kept = rows.join(sources, ["kb_id", "source_id"], "left").join(whole, "kb_id", "left")
+        return kept.where(F.col("seq") >= held).drop("_source", "_kb")
+
+    def _write(self, segment: str, rows: DataFrame, sums: DataFrame) -> None:
+        per_bucket = -(-(sums.agg(F.sum("total")).first()[0] or 0) // BUCKETS)
+        parts = F.pmod(F.xxhash64("chunk_id"), F.lit(-(-per_bucket // BUCKET_ROWS) or 1))
+        rows.repartition("bucket", parts).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/postings/{segment}")
+        sums.coalesce(1).write.parquet(f"{self.path}/sums/{segment}")
+
+    def put(self, passages: DataFrame, gone: DataFrame | None = None) -> None:
+        """Adds passages in a new segment; ``gone`` (kb_id, source_id, where a
+        null source means all of them) hides older rows in the same step."""
+        version, live = self.version()
+        segment = f"segment-{uuid.uuid4().hex}"
+        one = F.array(*[F.struct(F.lit(f).alias("field"), self.tokenise(F.col(f)).alias("t")) for f in self.boosts])
+        # a null key is the key ""
+        key = [*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("kb_id", "source_id")], F.col("chunk_id").cast("string").alias("chunk_id")]
+        rows = spread(passages).select(*key, F.explode(one).alias("x")).select("kb_id", "source_id", "chunk_id", "x.field", "x.t", F.size("x.t").cast("long").alias("dl"))
+        sums = stored(rows.groupBy("kb_id", "source_id", "field").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")))
+        terms = rows.select("kb_id", "source_id", "field", "chunk_id", "dl", F.explode("t").alias("term"))
+        terms = terms.groupBy("kb_id", "source_id", "field", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        self._write(segment, terms.withColumn("bucket", bucket(F.col("term"))), sums)
+        if gone is not None:
+            keys = gone.select(F.col("kb_id").cast("string"), F.col("source_id").cast("string")).distinct()
+            keys.coalesce(1).write.parquet(f"{self.path}/gone/{segment}")
+        seq = live[-1][0] + 1 if live else 0
+        self._publish(version, [*live, (seq, segment)])
+
+    def replace(self, passages: DataFrame) -> None:
+        """Puts passages in place of all that their sources had before."""
+        self.put(passages, passages.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("kb_id", "source_id")]))
+
+    def delete(self, kb_id: str, source_id: str | None = None) -> None:
+        """Deletes a source, or without one a knowledge base."""
+        gone = self.spark.createDataFrame([(kb_id, source_id)], _KEY)
+        none = self.spark.createDataFrame([], ", ".join([_KEY, "chunk_id string", *[f"{f} string" for f in self.boosts]]))
+        self.put(none, gone)
+
+    def compact(self, keep: int = 0) -> None:
+        """Merges all segments but the newest ``keep`` into one."""
+        version, live = self.version()
+        old, rest = live[: len(live) - keep], live[len(live) - keep :]
+        if len(old) < 2:
+            return
+        segment = f"segment-{uuid.uuid4().hex}"
+        sums = self._seen(self._rows("sums", old), old).groupBy("kb_id", "source_id", "field").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        self._write(segment, self._seen(self._rows("postings", old), old).drop("seq"), stored(sums))
+        # tombstones of merged segments hide nothing that is left
+        self._publish(version, [(old[-1][0], segment), *rest])
+
+    def passages(self) -> int:
+        _, live = self.version()
+        field = next(iter(self.boosts))
+        return self._seen(self._rows("sums", live), live).where(F.col("field") == field).agg(F.sum("n")).first()[0] or 0
+
+    def search(self, terms: Sequence[str], k: int = 50, keep: Column | None = None) -> DataFrame:
+        """chunk_id, score: BM25 of the best field, weighted; ``keep`` filters
+        by kb_id and source_id after the statistics, which stay global."""
+        _, live = self.version()
+        sums = self._seen(self._rows("sums", live), live).groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        sizes = {r.field: (r.n, r.total / r.n or 1.0) for r in sums.collect()}  # a row a field
+        asked = self.spark.createDataFrame([(t,) for t in terms] or [("",)], "t string").select(bucket(F.col("t"))).distinct()
+        buckets = [r[0] for r in asked.collect()]
+        rows = self._rows("postings", live).where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
+        rows = self._seen(rows, live)
+        df = rows.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))  # terms x fields at most
+        n, avgdl, boost = F.lit(0.0), F.lit(1.0), F.lit(0.0)
+        for field, (count, average) in sizes.items():
+            at = F.col("field") == field
+            n, avgdl = F.when(at, float(count)).otherwise(n), F.when(at, float(average)).otherwise(avgdl)
+            boost = F.when(at, float(self.boosts.get(field, 0.0))).otherwise(boost)
+        idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        length = F.lit(K1) * (1 - F.lit(B) + F.lit(B) * F.col("dl") / avgdl)
+        scored = (rows if keep is None else rows.where(keep)).join(F.broadcast(df), ["field", "term"])
+        scored = scored.withColumn("s", idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + length) * boost)
+        fields = scored.groupBy("chunk_id", "field").agg(F.sum("s").alias("s"))
+        best = fields.groupBy("chunk_id").agg(F.round(F.max("s"), 6).alias("score")).where("score > 0")
+        return best.orderBy(F.desc("score"), "chunk_id").limit(k)
+
+
 def write_index(passages: DataFrame, path: str, id_col: str, text: Column) -> None:
-    """Postings below ``path``/postings and one row of sizes in ``path``/sizes."""
-    rows = postings(passages, id_col, text)
-    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    sizes = passages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(latin_tokens(text))).alias("avgdl"))
-    sizes.write.mode("overwrite").parquet(f"{path}/sizes")
+    """An index of one field, in one segment, below ``path``."""
+    rows = passages.select(F.lit("").alias("kb_id"), F.lit("").alias("source_id"), F.col(id_col).alias("chunk_id"), text.alias("text"))
+    Segments(passages.sparkSession, path, {"text": 1.0}).replace(rows)
 
 
 def search_index(spark: SparkSession, path: str, terms: Sequence[str], k: int = 50) -> DataFrame:
-    """chunk_id, score of the best passages, from a stored index."""
-    sizes = spark.read.parquet(f"{path}/sizes").first()
-    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket(F.col("t"))).distinct().collect()]
-    rows = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
-    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(sizes["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    length = F.lit(K1) * (1 - F.lit(B) + F.lit(B) * F.col("dl") / F.lit(float(sizes["avgdl"] or 1.0)))
-    scored = rows.join(F.broadcast(df), "term").select("chunk_id", (idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + length)).alias("s"))
-    best = scored.groupBy("chunk_id").agg(F.round(F.sum("s"), 6).alias("score")).where("score > 0")
-    return best.orderBy(F.desc("score"), "chunk_id").limit(k)
+    """chunk_id (a string), score of the best passages of such an index."""
+    return Segments(spark, path, {"text": 1.0}).search(terms, k)
 
 
 def upsert_vectors(known: DataFrame, fresh: DataFrame, key: str = "point_id", vec: str = "vec") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import index_text
 from gleaner.functions.tokens import latin_tokens, tokens
+from gleaner.operators.cuts import spread, stored
 
 RRF_K = 60
 POOL = 50
@@ -265,31 +266,55 @@ def degraded(mode: str, lex: DataFrame, semantic: Callable[[], DataFrame]) -> tu
 def search_many(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, k: int = 20, tokenise=latin_tokens) -> DataFrame:
     """query_id, chunk_id, score, rank: BM25 for a table of queries at once.
 
-    Passages meet queries by term, a shuffled equi-join of postings, so no
-    passage is paired with a query it shares no term with.
+    Passages meet queries by term, an equi-join of postings, but not by all
+    terms.  A term's greatest contribution bounds what it can add; the k-th
+    greatest contribution of a single term is a score that k passages reach.  A
+    query's weakest terms, which together stay below that, cannot bring a
+    passage into its results by themselves: the join takes the other terms
+    only.  Of the passages it finds, those whose score with all the weak terms'
+    bounds may still count are joined with the postings of the weak terms.
     """
-    have = docs.select(F.col(id_col).alias("chunk_id"), tokenise(text).alias("t"))
+    have = spread(docs.select(F.col(id_col).alias("chunk_id"), text.alias("_t"))).select("chunk_id", tokenise(F.col("_t")).alias("t"))
     n, avgdl = have.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()
-    want = queries.select("query_id", F.explode(F.array_distinct(tokenise(F.col("query")))).alias("term"))
-    terms = want.select("term").distinct()
-    postings = (
+    want = stored(queries.select("query_id", F.explode(F.array_distinct(tokenise(F.col("query")))).alias("term")))
+    counted = (
         have.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-        .join(terms, "term", "left_semi")
+        .join(want.select("term").distinct(), "term", "left_semi")
         .groupBy("term", "chunk_id", "dl")
         .agg(F.count(F.lit(1)).cast("double").alias("tf"))
     )
+    postings = stored(counted)
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.lit(K1) * (1 - F.lit(B) + F.lit(B) * F.col("dl") / F.lit(float(avgdl or 1.0)))
-    scored = (
-        postings.join(df, "term")
-        .withColumn("s", idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + length))
-        .join(want, "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum("s"), 4).alias("score"))
+    parts = postings.join(df, "term").select("term", "chunk_id", (idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + length)).alias("s"))
+    # each term's greatest contribution, and its k-th greatest; partial sorts keep k rows a task
+    nth = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("s")))
+    best = parts.withColumn("r", nth).where(F.col("r") <= k).groupBy("term")
+    bounds = best.agg(F.max("s").alias("most"), F.when(F.count(F.lit(1)) == k, F.min("s")).alias("kth"))
+    weak_first = Window.partitionBy("query_id").orderBy("most", "term")
+    plan = want.join(bounds, "term").select(
+        "query_id",
+        "term",
+        F.sum("most").over(weak_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"),
+        F.coalesce(F.max("kth").over(Window.partitionBy("query_id")), F.lit(0.0)).alias("reached"),
     )
+    # scores are rounded to four digits before they are compared
+    margin = 1e-4
+    plan = stored(plan.withColumn("weak", F.col("upto") < F.col("reached") - margin))
+    rest = plan.where("weak").groupBy("query_id").agg(F.max("upto").alias("rest"))
+    strong = plan.where(~F.col("weak")).select("query_id", "term", "reached")
+    found = parts.join(strong, "term").groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s"), F.first("reached").alias("reached"))
+    found = stored(found)
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))
+    kth = found.withColumn("r", at).where(F.col("r") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("s")).alias("kth"))
+    room = F.col("s") + F.coalesce("rest", F.lit(0.0))
+    kept = found.join(rest, "query_id", "left").join(kth, "query_id").where(room >= F.greatest("reached", F.coalesce("kth", F.lit(0.0))) - margin)
+    kept = stored(kept.select("query_id", "chunk_id", "s"))
+    more = kept.select("query_id", "chunk_id").join(plan.where("weak").select("query_id", "term"), "query_id").join(parts, ["term", "chunk_id"])
+    whole = kept.unionByName(more.select("query_id", "chunk_id", "s")).groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), 4).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return whole.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def hits_text(hits: DataFrame, order_col: str, title: Column, text: Column, locator: Column) -> DataFrame:

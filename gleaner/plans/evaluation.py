@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import evaluate as E
 from gleaner.operators import retrieve as R
+from gleaner.operators.cuts import stored
 from gleaner.plans.common import sql_tokens, table
 
 QUERIES, SQL = {}, {}
@@ -47,8 +48,10 @@ select case_id, bool_or(coalesce(hit, false)) as ok, min(case when hit then rank
 )
 def eval_run(spark: SparkSession, d: str) -> DataFrame:
     cases, docs = _cases(spark, d), table(spark, d, "documents")
-    found = R.search_many(docs, cases.select(F.col("case_id").alias("query_id"), F.col("expect").alias("query")), "doc_id", F.col("text"))
-    hits = found.join(docs, found["chunk_id"] == docs["doc_id"]).select(
+    asked = cases.select(F.col("case_id").alias("query_id"), F.col("expect").alias("query"))
+    found = stored(R.search_many(docs, asked, "doc_id", F.col("text")))
+    # the hits' size is known, so their texts alone are moved where they are few
+    hits = docs.join(found, F.col("chunk_id") == F.col("doc_id")).select(
         F.col("query_id").alias("case_id"), "rank", F.col("source").alias("title"), F.col("chunk_id").cast("string").alias("locator"), "text"
     )
     return E.run_cases(cases, hits)

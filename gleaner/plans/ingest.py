@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import replies as P
 from gleaner.operators import index as I
 from gleaner.operators import process as X
+from gleaner.operators import retrieve as R
 from gleaner.operators import tables as O
 from gleaner.operators.chunk import Config
 from gleaner.operators.cuts import shared_folder
@@ -31,7 +32,36 @@ def stored_index_search(spark: SparkSession, d: str) -> DataFrame:
     """The same ranking as without an index, from postings on disk."""
     path = shared_folder(spark)
     I.write_index(table(spark, d, "documents"), path, "doc_id", F.col("text"))
-    return I.search_index(spark, path, TERMS)
+    return I.search_index(spark, path, TERMS).withColumn("chunk_id", F.col("chunk_id").cast("long"))
+
+
+_FIELDS = (("title", "string_split(text, chr(10))[1]"), ("text", "text"), ("answer", "lang"), ("indexes", "source"))
+_SQL_AFTER = """after as (select doc_id, lang, source, case when source = 'src3' then text || ' therble therble' else text end as text
+ from documents where coalesce(source, '') <> 'src5' and not (source = 'src3' and doc_id % 2 = 1))"""
+
+
+@query(
+    f"""with {_SQL_AFTER}, {", ".join(sql_bm25(f"f{i}", x, "after") for i, (_, x) in enumerate(_FIELDS))},
+s as (select f1.chunk_id, round(greatest({", ".join(f"f{i}.raw * {R.BOOSTS[n]}::double" for i, (n, _) in enumerate(_FIELDS))}), 6) as score
+ from f0 join f1 on f1.chunk_id = f0.chunk_id join f2 on f2.chunk_id = f0.chunk_id join f3 on f3.chunk_id = f0.chunk_id)
+select chunk_id, score from s where score > 0 order by score desc, chunk_id::varchar limit 50"""
+)
+def index_replace_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Four weighted fields, indexed in two batches; then one source is
+    replaced, one deleted, and the older segments are merged."""
+    docs = table(spark, d, "documents")
+    rows = docs.select(
+        F.lit("kb").alias("kb_id"), F.col("source").alias("source_id"), F.col("doc_id").alias("chunk_id"),
+        F.split("text", "\n")[0].alias("title"), "text", F.col("lang").alias("answer"), F.col("source").alias("indexes"),
+    )
+    index = I.Segments(spark, shared_folder(spark), R.BOOSTS)
+    index.put(rows.where("chunk_id % 3 = 0"))
+    index.put(rows.where("chunk_id % 3 <> 0"))
+    changed = rows.where("source_id = 'src3' and chunk_id % 2 = 0")
+    index.replace(changed.withColumn("text", F.concat("text", F.lit(" therble therble"))).withColumn("title", F.split("text", "\n")[0]))
+    index.compact(keep=1)
+    index.delete("kb", "src5")
+    return index.search(TERMS).select(F.col("chunk_id").cast("long").alias("chunk_id"), "score")
 
 
 @query(
