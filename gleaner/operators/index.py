@@ -35,7 +35,7 @@ _KEY = "kb_id string, source_id string"
 _TABLES = {
     "postings": f"{_KEY}, field string, term string, chunk_id string, tf long, dl long, bucket int",
     "sums": f"{_KEY}, field string, n long, total long",
-    "gone": _KEY,
+    "gone": f"{_KEY}, chunk_id string",
 }
 
 
@@ -62,9 +62,14 @@ class Segments:
     path: str
     boosts: dict[str, float]
     tokenise: object = latin_tokens
+    #: where the list of segments is kept, if not here: an object with
+    #: ``segments()`` and ``hold(segments)``, as of ``store.Change``
+    held: object = None
 
     def version(self) -> tuple[int, list[tuple[int, str]]]:
         """Number of the version in force and its segments (order, name)."""
+        if self.held is not None:
+            return 0, self.held.segments()
         try:
             rows = self.spark.read.schema("seq int, segment string, v int").parquet(f"{self.path}/live")
             last = rows.agg(F.max("v")).first()[0]
@@ -76,6 +81,9 @@ class Segments:
         return last, sorted((r.seq, r.segment) for r in live)
 
     def _publish(self, version: int, live: list[tuple[int, str]]) -> None:
+        if self.held is not None:
+            self.held.hold(live)
+            return
         rows = self.spark.createDataFrame(live or [(-1, "")], "seq int, segment string")
         rows.coalesce(1).write.parquet(f"{self.path}/live/v={version + 1}")
 
@@ -94,11 +102,15 @@ class Segments:
     def _seen(self, rows: DataFrame, live: list[tuple[int, str]]) -> DataFrame:
         """Rows that no tombstone of a later segment hides."""
         gone = self._rows("gone", live)
-        sources = gone.where("source_id is not null").groupBy("kb_id", "source_id").agg(F.max("seq").alias("_source"))
+        sources = gone.where("source_id is not null and chunk_id is null").groupBy("kb_id", "source_id").agg(F.max("seq").alias("_source"))
         whole = gone.where("source_id is null").groupBy("kb_id").agg(F.max("seq").alias("_kb"))
         held = F.greatest(F.coalesce("_source", F.lit(-1)), F.coalesce("_kb", F.lit(-1)))
         kept = rows.join(sources, ["kb_id", "source_id"], "left").join(whole, "kb_id", "left")
-        return kept.where(F.col("seq") >= held).drop("_source", "_kb")
+        kept = kept.where(F.col("seq") >= held).drop("_source", "_kb")
+        if "chunk_id" not in rows.columns:  # sums have the changes of single passages in them
+            return kept
+        single = gone.where("chunk_id is not null").groupBy("kb_id", "source_id", "chunk_id").agg(F.max("seq").alias("_chunk"))
+        return kept.join(single, ["kb_id", "source_id", "chunk_id"], "left").where(F.col("seq") >= F.coalesce("_chunk", F.lit(-1))).drop("_chunk")
 
     def _write(self, segment: str, rows: DataFrame, sums: DataFrame) -> None:
         per_bucket = -(-(sums.agg(F.sum("total")).first()[0] or 0) // BUCKETS)
@@ -106,24 +118,43 @@ class Segments:
         rows.repartition("bucket", parts).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/postings/{segment}")
         sums.coalesce(1).write.parquet(f"{self.path}/sums/{segment}")
 
-    def put(self, passages: DataFrame, gone: DataFrame | None = None) -> None:
-        """Adds passages in a new segment; ``gone`` (kb_id, source_id, where a
-        null source means all of them) hides older rows in the same step."""
-        version, live = self.version()
-        segment = f"segment-{uuid.uuid4().hex}"
+    def _tokens(self, passages: DataFrame) -> DataFrame:
+        """kb_id, source_id, chunk_id, field, t, dl: a row a field."""
         one = F.array(*[F.struct(F.lit(f).alias("field"), self.tokenise(F.col(f)).alias("t")) for f in self.boosts])
         # a null key is the key ""
         key = [*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("kb_id", "source_id")], F.col("chunk_id").cast("string").alias("chunk_id")]
-        rows = spread(passages).select(*key, F.explode(one).alias("x")).select("kb_id", "source_id", "chunk_id", "x.field", "x.t", F.size("x.t").cast("long").alias("dl"))
-        sums = stored(rows.groupBy("kb_id", "source_id", "field").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")))
+        rows = spread(passages).select(*key, F.explode(one).alias("x"))
+        return rows.select("kb_id", "source_id", "chunk_id", "x.field", "x.t", F.size("x.t").cast("long").alias("dl"))
+
+    @staticmethod
+    def _sums(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("kb_id", "source_id", "field").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
+
+    def _add(self, rows: DataFrame, sums: DataFrame, gone: DataFrame | None) -> None:
+        version, live = self.version()
+        segment = f"segment-{uuid.uuid4().hex}"
         terms = rows.select("kb_id", "source_id", "field", "chunk_id", "dl", F.explode("t").alias("term"))
         terms = terms.groupBy("kb_id", "source_id", "field", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-        self._write(segment, terms.withColumn("bucket", bucket(F.col("term"))), sums)
+        self._write(segment, terms.withColumn("bucket", bucket(F.col("term"))), stored(sums))
+        if gone is not None:
+            gone.coalesce(1).write.parquet(f"{self.path}/gone/{segment}")
+        self._publish(version, [*live, (live[-1][0] + 1 if live else 0, segment)])
+
+    def put(self, passages: DataFrame, gone: DataFrame | None = None) -> None:
+        """Adds passages in a new segment; ``gone`` (kb_id, source_id, where a
+        null source means all of them) hides older rows in the same step."""
+        rows = self._tokens(passages)
         if gone is not None:
-            keys = gone.select(F.col("kb_id").cast("string"), F.col("source_id").cast("string")).distinct()
-            keys.coalesce(1).write.parquet(f"{self.path}/gone/{segment}")
-        seq = live[-1][0] + 1 if live else 0
-        self._publish(version, [*live, (seq, segment)])
+            gone = gone.select(F.col("kb_id").cast("string"), F.col("source_id").cast("string"), F.lit(None).cast("string").alias("chunk_id")).distinct()
+        self._add(rows, self._sums(rows), gone)
+
+    def patch(self, old: DataFrame, new: DataFrame) -> None:
+        """Puts passages in place of single ones, both given in full: only they
+        are tokenised, and lengths change by the difference."""
+        before, rows = self._tokens(old), self._tokens(new)
+        change = self._sums(rows).unionByName(self._sums(before).select("kb_id", "source_id", "field", (-F.col("n")).alias("n"), (-F.col("total")).alias("total")))
+        change = change.groupBy("kb_id", "source_id", "field").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        self._add(rows, change, before.select("kb_id", "source_id", "chunk_id").distinct())
 
     def replace(self, passages: DataFrame) -> None:
         """Puts passages in place of all that their sources had before."""

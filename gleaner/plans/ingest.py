@@ -37,7 +37,7 @@ def stored_index_search(spark: SparkSession, d: str) -> DataFrame:
 
 _FIELDS = (("title", "string_split(text, chr(10))[1]"), ("text", "text"), ("answer", "lang"), ("indexes", "source"))
 _SQL_AFTER = """after as (select doc_id, lang, source, case when source = 'src3' then text || ' therble therble' else text end as text
- from documents where coalesce(source, '') <> 'src5' and not (source = 'src3' and doc_id % 2 = 1))"""
+ from documents where coalesce(source, '') <> 'src5' and not (source = 'src3' and doc_id % 4 <> 3))"""
 
 
 @query(
@@ -57,7 +57,7 @@ def index_replace_delete(spark: SparkSession, d: str) -> DataFrame:
     index = I.Segments(spark, shared_folder(spark), R.BOOSTS)
     index.put(rows.where("chunk_id % 3 = 0"))
     index.put(rows.where("chunk_id % 3 <> 0"))
-    changed = rows.where("source_id = 'src3' and chunk_id % 2 = 0")
+    changed = rows.where("source_id = 'src3' and chunk_id % 4 = 3")
     index.replace(changed.withColumn("text", F.concat("text", F.lit(" therble therble"))).withColumn("title", F.split("text", "\n")[0]))
     index.compact(keep=1)
     index.delete("kb", "src5")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.operators import drafts as D
 from gleaner.operators.cuts import shared_folder
+from gleaner.operators.store import Store, SyncFailed, sync_site
 from gleaner.plans.common import table
 from gleaner.streaming import jobs, sse
 
 QUERIES, SQL = {}, {}
+PAGES = {"pages": ("locator string, title string, text string, hash string, status string, error string", "locator")}
 
 
 def query(sql: str | None = None):
@@ -51,9 +54,66 @@ def stream_page_sync(spark: SparkSession, d: str) -> DataFrame:
         code.alias("code"),
         F.col("page_id").alias("seq"),
     )
-    q = jobs.sync_pages(fetched, f"{out}/pages", f"{out}/progress")
-    q.awaitTermination()
-    return jobs.current_pages(spark, f"{out}/pages", q.lastProgress["batchId"])
+    store = jobs.page_store(spark, f"{out}/pages")
+    jobs.sync_pages(fetched, store, f"{out}/progress").awaitTermination()
+    return store.current("pages").select("locator", "hash", "status")
+
+
+@query(
+    """with s as (select page_id, page_id % 7 as k, html from pages)
+select '#' || page_id as locator, case when k = 3 then sha256(html || '!') else sha256(html) end as hash,
+ case when k = 2 then 'error' else 'synced' end as status, case when k = 2 then 'fetch failed: HTTP 503' end as error,
+ case when k = 3 then length(html) + 1 else length(html) end as n from s where k <> 1"""
+)
+def site_sync_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches: all pages; then one in seven gone, one failing, one
+    changed; then those that failed, failing again."""
+    pages = table(spark, d, "pages")
+    store = Store(spark, shared_folder(spark), {**PAGES, "passages": ("page string, text string", "page")})
+
+    def fetched(rows: DataFrame, text, code) -> DataFrame:
+        text = F.when(code < 400, text)
+        return rows.select(F.concat(F.lit("#"), "page_id").alias("locator"), F.lit("").alias("title"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("hash"), code.alias("code"))
+
+    k, html = F.col("page_id") % 7, F.col("html")
+    sync_site(store, fetched(pages, html, F.lit(200)))
+    code = F.when(k == 1, 404).when(k == 2, 503).otherwise(200)
+    sync_site(store, fetched(pages.where(k.isin(1, 2, 3)), F.concat(html, F.lit("!")), code))
+    try:
+        sync_site(store, fetched(pages.where(k == 2), html, F.lit(503)))
+    except SyncFailed:
+        pass
+    n = store.current("passages").select(F.col("page").alias("locator"), F.length("text").cast("long").alias("n"))
+    return store.current("pages").select("locator", "hash", "status", "error").join(n, "locator")
+
+
+_UNITS = "array(struct('head' as title, substring(text, 1, 200) as text, lang as answer, '' as indexes), struct('tail' as title, substring(text, 201) as text, '' as answer, '' as indexes))"
+
+
+@query(
+    """with d as (select doc_id, unnest([1, 2]) as position, text, lang from documents where doc_id % 5 <> 4 and length(text) > 0),
+u as (select doc_id, position, case position when 1 then text[1:200] else text[201:] end as text from d)
+select doc_id, position, case when doc_id % 50 = 0 and position = 1 then 'patched ' || doc_id else text end as text,
+ '#' || doc_id || ' #' || position as locator from u where text <> ''"""
+)
+def drafts_commit_patch(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as drafts of two units, one in five expired; then the first
+    passage of one source in fifty is patched and the overlay folded in."""
+    docs = table(spark, d, "documents")
+    store = D.knowledge_store(spark, shared_folder(spark))
+    rows = docs.select(
+        F.col("doc_id").cast("string").alias("draft_id"), F.lit("kb").alias("kb_id"), F.lit("file").alias("type"), F.col("source").alias("title"),
+        F.concat(F.lit("#"), "doc_id").alias("locator"), F.col("text").alias("raw_text"), F.lit("ready").alias("status"),
+        F.when(F.col("doc_id") % 5 == 4, "2020").otherwise("2030").alias("expires_at"), F.expr(_UNITS).alias("units"),
+    )
+    D.commit_drafts(store, rows, "2025")
+    at = F.regexp_extract("locator", r"^#(\d+) ", 1).cast("long")
+    some = D.current_passages(store).where((at % 50 == 0) & (F.col("position") == 1))
+    none = F.lit(None).cast("string")
+    patch = some.select("chunk_id", none.alias("title"), F.concat(F.lit("patched "), at).alias("text"), none.alias("answer"), none.alias("indexes"))
+    D.patch_passages(store, patch)
+    D.fold(store)
+    return D.current_passages(store).select(at.alias("doc_id"), "position", "text", "locator")
 
 
 def _events(rows: DataFrame) -> DataFrame:

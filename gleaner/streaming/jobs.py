@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from gleaner.functions.logs import logged
-from gleaner.operators.tables import apply_changes
+from gleaner.operators.store import Store, SyncFailed, sync_site
 
 
 def read_new(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int = 4) -> DataFrame:
@@ -59,23 +59,29 @@ def daily_counts(spark: SparkSession, out: str) -> DataFrame:
     return last.select("day", "event_type", "r.n", "r.total")
 
 
-def sync_pages(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a table of pages (locator, hash, status) in step with fetched
-    batches (locator, hash, code).
+def page_store(spark: SparkSession, path: str) -> Store:
+    """A store for ``sync_pages``, of pages without their passages."""
+    return Store(spark, path, {"pages": ("locator string, title string, text string, hash string, status string, error string", "locator")})
 
-    Each batch reads the version before it and writes the next, named by the
-    batch: a batch that is run again writes the same version again.
+
+def sync_pages(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """Keeps a store's pages in step with fetched batches (locator, hash, code,
+    seq, and title and text if there are).
+
+    A batch writes the buckets of the pages that it holds; its number is kept
+    with the version it makes, so a batch that is run again changes nothing.
+    One in which no page could be read marks what is open, and the stream goes
+    on.
     """
+    missing = [F.lit(None).cast("string").alias(c) for c in ("title", "text") if c not in stream.columns]
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        empty = spark.createDataFrame([], "locator string, hash string, status string")
-        known = spark.read.parquet(f"{table}/v{number - 1}") if number else empty
-        latest = batch.groupBy("locator").agg(F.max_by(F.struct("hash", "code"), "seq").alias("r"))
-        apply_changes(known, latest.select("locator", "r.hash", "r.code")).write.mode("overwrite").parquet(f"{table}/v{number}")
+        if store.manifest()[2] >= number:
+            return
+        rows = batch.select("*", *missing).groupBy("locator").agg(F.max_by(F.struct("title", "text", "hash", "code"), "seq").alias("r"))
+        try:
+            sync_site(store, rows.select("locator", "r.*"), batch=number)
+        except SyncFailed:
+            pass  # the marks are in the store
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current_pages(spark: SparkSession, table: str, last: int) -> DataFrame:
-    return spark.read.parquet(f"{table}/v{last}")
