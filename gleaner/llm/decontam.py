@@ -225,6 +225,18 @@ def _positions(spans: Column) -> Column:
     return F.flatten(F.transform(pairs, inside))
 
 
+def _runs(positions: Column) -> Column:
+    """Spans (first, last, first, last, ...) of sorted distinct positions."""
+
+    def spans(p: Column) -> Column:
+        starts = F.filter(p, lambda w, i: (i == 0) | (w > F.get(p, i - 1) + 1))
+        ends = F.filter(p, lambda w, i: (i == F.size(p) - 1) | (w < F.get(p, i + 1) - 1))
+        return F.flatten(F.zip_with(starts, ends, lambda a, b: F.array(a, b)))
+
+    # bound once, so that no position computes them all again
+    return F.get(F.transform(F.array(positions), spans), F.lit(0))
+
+
 def _n_hit(spans: Column) -> Column:
     """Words covered by merged spans."""
     starts = F.filter(spans, lambda _, i: i % 2 == 0)
@@ -264,8 +276,7 @@ def _merged(docs: DataFrame, found: list[DataFrame], text_col: str) -> DataFrame
         .select(
             F.col("key").alias("__gl_key"),
             F.col("x").alias("__gl_x"),
-            # each hit word is a span of its own here; the counts are the same
-            F.flatten(F.transform(words_hit, lambda w: F.array(w, w))).alias("__gl_spans"),
+            _runs(words_hit).alias("__gl_spans"),
             F.array_sort(F.array_distinct(F.flatten("items"))).alias("__gl_items"),
         )
     )

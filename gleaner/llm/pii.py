@@ -438,8 +438,8 @@ def assign(entities: DataFrame, key: bytes, rounds: int = 16) -> DataFrame:
     ``part`` is the part of a name that a word is; one that is met as a surname
     is one, and a given name met with both genders has none.
 
-    A candidate is refused if it is an entity of the table itself (other than
-    a name) or was given before; of several that meet, the one of the smallest
+    A candidate is refused if it is the entity itself, or any entity of the
+    table (other than a name: those come from lists), or was given before; of several that meet, the one of the smallest
     entity stays.  The refused draw again in the next round.  What is left
     after ``rounds`` of them is permuted, see ``_permuted``.
     """
@@ -463,7 +463,7 @@ def assign(entities: DataFrame, key: bytes, rounds: int = 16) -> DataFrame:
         if todo.isEmpty():
             break
         drawn = cut(todo.withColumn("new", drawer(attempt)("part", "canon")))
-        free = drawn.join(real, ["kind", "new"], "left_anti")
+        free = drawn.where(F.col("new") != F.col("canon")).join(real, ["kind", "new"], "left_anti")
         if given is not None:
             free = free.join(given.select("kind", "new"), ["kind", "new"], "left_anti")
         won = cut(free.groupBy("kind", "new").agg(F.min("canon").alias("canon")).select("kind", "canon", "new"))

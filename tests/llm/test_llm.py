@@ -111,6 +111,29 @@ def test_surrogates_of_whole_names(spark):
         assert kinds == sorted(kinds) and kinds[-1] == "surname"
 
 
+def test_no_name_keeps_itself(spark):
+    """With any key, every listed given name and some surnames change."""
+    names = sorted({n for (script, _), listed in pii.GIVEN.items() if script == "latin" for n in listed})
+    rows = [(i, f"Dr {n.capitalize()} Meyer{chr(97 + i % 26)} signed.") for i, n in enumerate(names)]
+    for key in (b"k1", b"k2", b"the test tables"):
+        for r in pii.replace_entities(docs(spark, rows), key).collect():
+            old = rows[r.doc_id][1].split()
+            new = r.text.split()
+            assert len(new) == len(old) and new[1] != old[1] and new[2] != old[2]
+
+
+def test_spans_do_not_depend_on_shards(spark):
+    rng = random.Random(8)
+    words = [rng.choice("abcdefgh") for _ in range(400)]
+    bench = [(i, " ".join(words[i * 9 : i * 9 + 16])) for i in range(40)]
+    rows = [(i, " ".join(words[i * 3 : i * 3 + 120] + ["zz"] * (i % 3) + words[5:30])) for i in range(30)] + [(99, None), (98, "")]
+    got = [
+        sorted((r.doc_id, tuple(r.spans), tuple(r["items"]), r.n_hit) for r in decontam.contamination(docs(spark, rows), docs(spark, bench, "item_id long, text string"), shard_bytes=size).collect())
+        for size in (64 << 20, 500)
+    ]
+    assert got[0] == got[1] and any(len(x[1]) > 2 for x in got[0])
+
+
 def _replaced(spark, *texts):
     rows = pii.replace_entities(docs(spark, list(enumerate(texts))), b"k").collect()
     return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
