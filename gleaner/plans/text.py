@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.functions import html as H
 from gleaner.functions import web as W
 from gleaner.operators import chunk as C
 from gleaner.plans.common import table
+from gleaner.sources import crawl
 
 QUERIES, SQL = {}, {}
 
@@ -187,6 +189,32 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", W.html_text(F.col("html")).alias("text"))
 
 
+@query()
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    """Text by events, with absolute links; what has none says so."""
+    found = H.page_text(F.col("html"), F.col("url"))
+    return table(spark, d, "pages").withColumn("r", found).select("page_id", "r.text", "r.error")
+
+
+@query()
+def page_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Text and links of the articles of a page alone."""
+    pages = table(spark, d, "pages")
+    text, hrefs = H.page_text(F.col("html"), F.col("url"), "article"), H.page_hrefs(F.col("html"), "article")
+    return pages.withColumn("r", text).select("page_id", "r.text", "r.error", F.coalesce(F.size(hrefs), F.lit(0)).alias("n_links"))
+
+
+@query()
+def crawl_site(spark: SparkSession, d: str) -> DataFrame:
+    """The pages put on one site, each linking to three others."""
+    n = F.col("page_id")
+    to = F.concat(*[F.format_string(f'<a href="/docs/p{{}}%d">{k}</a>'.replace("{}", ""), (n * 3 + k) % 997) for k in (2, 1, 3)])
+    rows = table(spark, d, "pages").select(F.format_string("https://site.example/docs/p%d", n).alias("url"), F.concat(F.when(n % 5 != 3, F.col("html")).otherwise(""), to).alias("html"))
+    got = crawl.crawl(rows, "https://site.example/docs/p0", most_pages=40, deepest=6)
+    return got.select("rank", "url", "depth", F.length("text").alias("n"))
+
+
+
 @query()
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")

@@ -112,7 +112,7 @@ def test_write_passages_replaces_only_its_sources(spark, tmp_path):
 
 def test_crawl(spark):
     def page(url, *to):
-        return (url, "".join(f'<a href="{t}">x</a>' for t in to))
+        return (url, "text" + "".join(f'<a href="{t}">x</a>' for t in to))
 
     pages = spark.createDataFrame(
         [page("https://h/d", "/d/a", "/d/b", "/out"), page("https://h/d/a", "/d/c"), page("https://h/d/b"), page("https://h/d/c", "/d/e"), page("https://h/d/e"), page("https://h/out")],
