@@ -263,7 +263,16 @@ def degraded(mode: str, lex: DataFrame, semantic: Callable[[], DataFrame]) -> tu
         return lex.select("chunk_id", "score").limit(0), str(e) or type(e).__name__
 
 
-def search_many(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, k: int = 20, tokenise=latin_tokens) -> DataFrame:
+def search_many(
+    docs: DataFrame,
+    queries: DataFrame,
+    id_col: str,
+    text: Column,
+    k: int = 20,
+    tokenise=latin_tokens,
+    owner: Column | None = None,
+    allowed: DataFrame | None = None,
+) -> DataFrame:
     """query_id, chunk_id, score, rank: BM25 for a table of queries at once.
 
     Passages meet queries by term, an equi-join of postings, but not by all
@@ -273,21 +282,26 @@ def search_many(docs: DataFrame, queries: DataFrame, id_col: str, text: Column,
     passage into its results by themselves: the join takes the other terms
     only.  Of the passages it finds, those whose score with all the weak terms'
     bounds may still count are joined with the postings of the weak terms.
+
+    With ``allowed`` (query_id, owner) a query finds passages of its owners
+    only, while statistics stay global; then only scores of what it finds bound
+    what it may still find.
     """
-    have = spread(docs.select(F.col(id_col).alias("chunk_id"), text.alias("_t"))).select("chunk_id", tokenise(F.col("_t")).alias("t"))
+    own = F.lit(None).cast("string") if owner is None else owner.cast("string")
+    have = spread(docs.select(F.col(id_col).alias("chunk_id"), own.alias("owner"), text.alias("_t"))).select("chunk_id", "owner", tokenise(F.col("_t")).alias("t"))
     n, avgdl = have.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()
     want = stored(queries.select("query_id", F.explode(F.array_distinct(tokenise(F.col("query")))).alias("term")))
     counted = (
-        have.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+        have.select("chunk_id", "owner", F.size("t").alias("dl"), F.explode("t").alias("term"))
         .join(want.select("term").distinct(), "term", "left_semi")
-        .groupBy("term", "chunk_id", "dl")
+        .groupBy("term", "chunk_id", "owner", "dl")
         .agg(F.count(F.lit(1)).cast("double").alias("tf"))
     )
     postings = stored(counted)
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.lit(K1) * (1 - F.lit(B) + F.lit(B) * F.col("dl") / F.lit(float(avgdl or 1.0)))
-    parts = postings.join(df, "term").select("term", "chunk_id", (idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + length)).alias("s"))
+    parts = postings.join(df, "term").select("term", "chunk_id", "owner", (idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + length)).alias("s"))
     # each term's greatest contribution, and its k-th greatest; partial sorts keep k rows a task
     nth = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("s")))
     best = parts.withColumn("r", nth).where(F.col("r") <= k).groupBy("term")
@@ -297,14 +311,16 @@ def search_many(docs: DataFrame, queries: DataFrame, id_col: str, text: Column,
         "query_id",
         "term",
         F.sum("most").over(weak_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"),
-        F.coalesce(F.max("kth").over(Window.partitionBy("query_id")), F.lit(0.0)).alias("reached"),
+        (F.coalesce(F.max("kth").over(Window.partitionBy("query_id")), F.lit(0.0)) if allowed is None else F.lit(0.0)).alias("reached"),
     )
     # scores are rounded to four digits before they are compared
     margin = 1e-4
     plan = stored(plan.withColumn("weak", F.col("upto") < F.col("reached") - margin))
     rest = plan.where("weak").groupBy("query_id").agg(F.max("upto").alias("rest"))
     strong = plan.where(~F.col("weak")).select("query_id", "term", "reached")
-    found = parts.join(strong, "term").groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s"), F.first("reached").alias("reached"))
+    met = parts.join(strong, "term")
+    met = met if allowed is None else met.join(allowed.select("query_id", F.col("owner").cast("string").alias("owner")).distinct(), ["query_id", "owner"], "left_semi")
+    found = met.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s"), F.first("reached").alias("reached"))
     found = stored(found)
     at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))
     kth = found.withColumn("r", at).where(F.col("r") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("s")).alias("kth"))

@@ -57,6 +57,37 @@ def eval_run(spark: SparkSession, d: str) -> DataFrame:
     return E.run_cases(cases, hits)
 
 
+@query(
+    f"""with {_SQL_HITS.replace("hits as (select * from (select *, row_number() over (partition by case_id order by score desc, doc_id) as rank from sc) where rank <= 20)", "")}
+t as (select item_id as case_id, item_id % 4 as tool_id from benchmark),
+ok as (select sc.*, t.tool_id, d.source, d.text from sc join t on t.case_id = sc.case_id join documents d on d.doc_id = sc.doc_id
+  where t.tool_id = 0 or (t.tool_id = 1 and d.doc_id % 2 = 0) or (t.tool_id = 2 and d.source in ('src1', 'src3'))),
+r as (select *, row_number() over (partition by case_id order by score desc, doc_id) as rank from ok),
+m as (select r.case_id, bool_or(contains(r.text, trim(q.expect)) or contains(r.source, trim(q.expect))) as ok, count(*) as n
+  from r join q on q.case_id = r.case_id where rank <= case tool_id when 0 then 20 when 1 then 5 else 60 end group by 1)
+select t.tool_id, t.case_id, coalesce(m.ok, false) as ok, coalesce(m.n, 0) as n_hits,
+ case when t.tool_id = 3 then 'no source chosen' when m.ok then 'found' else 'missed' end as detail,
+ count(*) over (partition by t.tool_id) as total, count_if(coalesce(m.ok, false)) over (partition by t.tool_id) as passed
+from t left join m on m.case_id = t.case_id"""
+)
+def eval_tools(spark: SparkSession, d: str) -> DataFrame:
+    """Four tools in one plan: all sources, every other document's, two
+    sources, none."""
+    docs = table(spark, d, "documents").withColumn("bit", (F.col("doc_id") % 2).cast("string"))
+    source = F.concat_ws("/", "source", "bit")
+    passages = docs.select(source.alias("source_id"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), "text", F.lit("").alias("locator"))
+    every = passages.select("source_id").distinct()
+    of = F.when(F.col("t") == 0, True).when(F.col("t") == 1, F.col("source_id").endswith("/0")).when(F.col("t") == 2, F.col("source_id").rlike("^src[13]/")).otherwise(False)
+    tools = every.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("t")).groupBy("t").agg(F.array_sort(F.collect_list(F.when(of, F.col("source_id")))).alias("source_ids"))
+    top = F.when(F.col("t") == 0, 20).when(F.col("t") == 1, 5).otherwise(60)
+    tools = tools.select(F.col("t").alias("tool_id"), "source_ids", F.lit("fulltext").alias("mode"), F.lit(0.2).alias("similarity"), top.alias("top"), F.lit(False).alias("rerank"))
+    cases = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), (F.col("item_id") % 4).alias("tool_id"), F.col("text").alias("query"), F.col("text").alias("expect"))
+    runs = E.run_tools(tools, cases, passages)
+    rows = runs.select("tool_id", "total", "passed", F.explode("items").alias("i"))
+    detail = F.when(F.col("i.detail").startswith("found "), "found").when(F.col("i.detail").startswith("missed; "), "missed").otherwise(F.col("i.detail"))
+    return rows.select("tool_id", "i.case_id", "i.ok", F.greatest(F.coalesce(F.size("i.hits"), F.lit(0)), F.lit(0)).cast("long").alias("n_hits"), detail.alias("detail"), "total", "passed")
+
+
 @query(
     r"""select doc_id, trim(line) <> '' and (contains(source, trim(line)) or contains(doc_id::varchar, trim(line))
  or (length(regexp_replace(line, '\s', '', 'g')) >= 8 and contains(text, trim(line)))) as hit
