@@ -52,6 +52,29 @@ def tree_closure(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent
     return reach
 
 
+def below(nodes: DataFrame, doomed: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """The nodes of ``doomed`` that exist, and all below them.  Each round
+    takes the children of what the round before found, so the work grows with
+    the subtrees, not with the forest; a circle ends where it began."""
+    from gleaner.operators.cuts import stored
+
+    kids = nodes.select(F.col(parent_col).alias("_up"), F.col(id_col))
+    found = last = stored(nodes.join(doomed.select(id_col).distinct(), id_col, "left_semi").select(id_col).distinct())
+    while last.head(1):
+        step = kids.join(last.withColumnRenamed(id_col, "_up"), "_up").select(id_col).distinct()
+        last = stored(step.join(found, id_col, "left_anti"))
+        found = found.unionByName(last)
+    return found
+
+
+def delete_below(nodes: DataFrame, doomed: DataFrame, owned: dict[str, tuple[DataFrame, str]], id_col: str = "id", parent_col: str = "parent_id") -> dict[str, DataFrame]:
+    """Tables after the deletion of nodes with all below them: ``nodes``
+    itself, and each of ``owned`` (name -> rows, the column that names a node)."""
+    gone = below(nodes, doomed, id_col, parent_col)
+    rows = {"nodes": delete_cascade(nodes, gone, id_col)}
+    return rows | {name: delete_cascade(df, gone.withColumnRenamed(id_col, col), col) for name, (df, col) in owned.items()}
+
+
 def delete_cascade(rows: DataFrame, doomed: DataFrame, key: str) -> DataFrame:
     """The rows whose key is not to go."""
     return rows.join(doomed.select(key).distinct(), key, "left_anti")

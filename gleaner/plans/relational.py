@@ -254,3 +254,19 @@ def tool_name(spark: SparkSession, d: str) -> DataFrame:
 def locator_extract(spark: SparkSession, d: str) -> DataFrame:
     reply = F.concat(F.lit("[1] title\nbody\nlocator: "), "url", F.lit("  \nlocator: second"))
     return table(spark, d, "pages").select("page_id", T.locator_in(reply).alias("locator"))
+
+
+@query(
+    """with recursive n as (select doc_id as id, case when doc_id > 0 then (doc_id - 1) // 3 end as parent_id, source from documents),
+gone(id) as (select id from n where id % 41 = 7 union select n.id from n join gone on n.parent_id = gone.id)
+select n.id, n.source, count(l.doc_id) as n_labels from n left join labels l on l.doc_id = n.id
+where n.id not in (select id from gone) group by 1, 2"""
+)
+def tree_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a tree; some nodes go with all below them and their labels."""
+    parent = F.when(F.col("doc_id") > 0, F.expr("(doc_id - 1) div 3"))
+    nodes = table(spark, d, "documents").select(F.col("doc_id").alias("id"), parent.alias("parent_id"), "source")
+    labels = table(spark, d, "labels").select("doc_id")
+    left = O.delete_below(nodes, nodes.where("id % 41 = 7"), {"labels": (labels, "doc_id")})
+    n = left["labels"].groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n_labels"))
+    return left["nodes"].join(n, "id", "left").select("id", "source", F.coalesce("n_labels", F.lit(0)).alias("n_labels"))

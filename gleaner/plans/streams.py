@@ -155,3 +155,35 @@ def stream_sse_merge(spark: SparkSession, d: str) -> DataFrame:
     )
     q.awaitTermination()
     return spark.read.parquet(f"{out}/replies")
+
+
+_SQL_TOOLS = "select conv_id as stream_id, (turn % 3)::int as tool, string_agg(case when turn < 3 then role else '' end, '' order by turn) as name, string_agg(text, '' order by turn) as arguments from conversations where text is not null group by 1, 2"
+
+
+def _tool_events(rows: DataFrame) -> DataFrame:
+    """Each turn as a piece of one of three tool calls."""
+    function = F.struct(F.when(F.col("turn") < 3, F.col("role")).alias("name"), F.col("text").alias("arguments"))
+    call = F.struct((F.col("turn") % 3).alias("index"), function.alias("function"))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(call).alias("tool_calls")).alias("delta"))).alias("choices")))
+    e = rows.where("text is not null").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), sse.parse_event(F.concat(F.lit("data: "), body)).alias("e"))
+    return e.select("stream_id", "seq", "e.*")
+
+
+@query(_SQL_TOOLS)
+def tool_calls(spark: SparkSession, d: str) -> DataFrame:
+    return sse.merged_tools(_tool_events(table(spark, d, "conversations")))
+
+
+@query(_SQL_TOOLS)
+def stream_tool_calls(spark: SparkSession, d: str) -> DataFrame:
+    """The same with state, each reply ended by a done event."""
+    out = shared_folder(spark)
+    rows = _tool_events(table(spark, d, "conversations")).select("stream_id", "seq", "kind", F.col("tool").cast("int").alias("tool"), "name", "text")
+    ends = rows.groupBy("stream_id").agg(F.count(F.lit(1)).alias("seq"))
+    none = F.lit("")
+    ends = ends.select("stream_id", "seq", F.lit("done").alias("kind"), F.lit(None).cast("int").alias("tool"), none.alias("name"), none.alias("text"))
+    rows.unionByName(ends).write.parquet(f"{out}/events")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{out}/events")
+    writer = sse.merge_tool_stream(stream).writeStream.format("parquet").option("path", f"{out}/calls")
+    writer.option("checkpointLocation", f"{out}/progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/calls")

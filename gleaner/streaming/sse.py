@@ -118,3 +118,58 @@ def merge_stream(events: DataFrame, idle: str | None = None) -> DataFrame:
         "append",
         GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout,
     )
+
+
+def merge_tool_stream(events: DataFrame, idle: str | None = None) -> DataFrame:
+    """Streaming ``merged_tools``: the tool calls of a reply, a row for each
+    index, once its ``done`` event and all events before it have come, or with
+    ``idle`` after so long a silence.
+
+    ``events``: stream_id, seq, kind, tool, name, text.  The state of a reply
+    is the pieces of its calls, by sequence number, and the numbers of its other
+    events; names and arguments are put together in order at the end, so late
+    and repeated pieces do no harm.
+    """
+
+    def calls(key: tuple, pieces: dict[int, tuple]) -> pd.DataFrame:
+        out: dict[int, list[str]] = {}
+        for s in sorted(pieces):
+            tool, name, text = pieces[s]
+            if tool is not None and tool >= 0:
+                slot = out.setdefault(tool, ["", ""])
+                slot[0] += name
+                slot[1] += text
+        rows = [(key[0], i, n, a) for i, (n, a) in sorted(out.items())]
+        return pd.DataFrame(rows, columns=["stream_id", "tool", "name", "arguments"])
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seqs, tools, names, texts, last = state.get if state.exists else ([], [], [], [], None)
+        pieces = dict(zip(seqs, zip(tools, names, texts, strict=True), strict=True))
+        if state.hasTimedOut:
+            state.remove()
+            yield calls(key, pieces)
+            return
+        for b in batches:
+            for s, k, i, n, t in zip(b["seq"], b["kind"], b["tool"], b["name"], b["text"], strict=True):
+                if k == "done":
+                    last = int(s)
+                elif k == "tool" and not pd.isna(i):
+                    pieces.setdefault(int(s), (int(i), n or "", t or ""))
+                else:
+                    pieces.setdefault(int(s), (-1, "", ""))
+        if last is not None and len(pieces) >= last:
+            state.remove()
+            yield calls(key, pieces)
+        else:
+            state.update((list(pieces), *map(list, zip(*pieces.values(), strict=True)), last) if pieces else ([], [], [], [], last))
+            if wait:
+                state.setTimeoutDuration(wait)
+
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
+    return events.groupBy("stream_id").applyInPandasWithState(
+        step,
+        "stream_id long, tool int, name string, arguments string",
+        "seqs array<long>, tools array<int>, names array<string>, texts array<string>, last long",
+        "append",
+        GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout,
+    )
