@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,6 +139,37 @@ def sanitised(body: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+#: How long the texts of a log row may be.
+LONGEST = {"query": 2000, "error": 2000, "summary": 255, "client_ip": 64, "client_region": 120}
+
+
+def safe_request(message: Column) -> Column:
+    """What is kept of a request of the tool protocol: its method, and its
+    parameters if they are an object."""
+    params = F.get_json_object(message, "$.params")
+    kept = F.when(params.rlike(r"^\s*\{"), params).otherwise("{}")
+    method = F.coalesce(F.to_json(F.array(F.get_json_object(message, "$.method"))), F.lit("[null]"))
+    return F.concat(F.lit('{"method":'), F.substring(method, F.lit(2), F.length(method) - 2), F.lit(',"params":'), kept, F.lit("}"))
+
+
+def log_row(calls: DataFrame) -> DataFrame:
+    """Calls as they are appended to the log: bodies sanitised and capped,
+    texts cut to their length, no negative latency, no blank error; without a
+    summary the error, else the query, else the method."""
+    cut = {c: F.substring(F.coalesce(c, F.lit("")), 1, n) for c, n in LONGEST.items() if c in calls.columns}
+    blank = F.lit("")
+    first = [F.nullif(F.coalesce(c, blank), blank) for c in ("summary", "error", "query", "method") if c in calls.columns]
+    cut["summary"] = F.substring(F.coalesce(*first, blank), 1, LONGEST["summary"])
+    if "error" in cut:
+        cut["error"] = F.nullif(cut["error"], blank)
+    if "latency_ms" in calls.columns:
+        cut["latency_ms"] = F.greatest(F.coalesce("latency_ms", F.lit(0)), F.lit(0))
+    for c in ("request_body", "response_body"):
+        if c in calls.columns:
+            cut[c] = capped(sanitised(F.col(c)))
+    return calls.withColumns(cut)
+
+
 def address_label(ip: Column) -> Column:
     """本机 for loopback, 内网 for private ranges, else null."""
     t = F.regexp_replace(F.trim(F.coalesce(ip, F.lit(""))), "(?i)^::ffff:", "")

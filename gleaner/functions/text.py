@@ -132,6 +132,18 @@ def tool_name(name: Column) -> Column:
     return F.substring(F.regexp_replace(t, r"^_+|_+$", ""), 1, 64)
 
 
+#: What a hit of each kind of index entry is called.
+HIT_LABELS = {"child": "子块", "auto": "补充索引", "image": "图片", "title": "标题"}
+
+
+def hit_label(kind: Column) -> Column:
+    """The label of a hit by its kind of entry; a passage itself has none."""
+    label = F.lit("")
+    for name, said in HIT_LABELS.items():
+        label = F.when(kind == name, said).otherwise(label)
+    return label
+
+
 def locator_in(response: Column) -> Column:
     """The first ``locator:`` line of a tool's reply."""
     return F.trim(F.regexp_extract(F.coalesce(response, F.lit("")), r"(?m)^(?:定位：|locator:)[ \t]*(.+?)[ \t]*$", 1))

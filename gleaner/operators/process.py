@@ -83,6 +83,24 @@ def preview(rows: DataFrame, size: int) -> DataFrame:
     )
 
 
+#: Passages and characters that a preview shows.
+SHOWN, SHOWN_CHARS = 50, 24_000
+
+
+def shown(rows: DataFrame, title: str = "", most: int = SHOWN) -> DataFrame:
+    """source_id, position, title, text, chars, indexes of the first passages of
+    each source; one without a title is named by its number."""
+    named = F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit(f"{title} · "), F.col("position").cast("string")))
+    rows = rows.where(F.col("position") <= most)
+    return rows.select("source_id", "position", named.alias("title"), "text", F.length("text").alias("chars"), "indexes")
+
+
+def shown_text(text: Column, most: int = SHOWN_CHARS) -> Column:
+    """(text, truncated, chars) of a parsed text."""
+    t = F.coalesce(text, F.lit(""))
+    return F.struct(F.substring(t, 1, most).alias("text"), (F.length(t) > most).alias("truncated"), F.length(t).alias("chars"))
+
+
 def items(rows: DataFrame) -> DataFrame:
     """source_id, position, item, kind, text: what is embedded, in order."""
     kids = F.transform(F.filter("indexes", lambda x: x["type"] == "child"), lambda x: x["text"])

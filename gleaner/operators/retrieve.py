@@ -254,15 +254,44 @@ def search_state(query: str, sources: DataFrame, passages: DataFrame, wanted: Se
 
 def degraded(mode: str, lex: DataFrame, semantic: Callable[[], DataFrame]) -> tuple[DataFrame, str | None]:
     """(semantic leg, error): where ``semantic`` fails, ``mix`` goes on with an
-    empty leg and the error's text; ``embedding`` fails."""
+    empty leg and the error's text; ``embedding`` fails.  The leg, a pool, is
+    computed here, so a model that fails in a task is noticed."""
     try:
-        return semantic(), None
+        found = semantic().cache()
+        found.count()
+        return found, None
     except Exception as e:  # whatever the model raises
         if mode != "mix":
             raise
         return lex.select("chunk_id", "score").limit(0), str(e) or type(e).__name__
 
 
+def searched(mode: str, lexical: Callable[[], DataFrame], semantic: Callable[[], DataFrame], similarity: float = 0.2, limit: int = 20) -> tuple[DataFrame | None, str | None]:
+    """(results, state): without results the state says why: ``lexical search
+    failed``, ``vector search failed``, ``no match``, ``below similarity``; with
+    some, ``vector search failed`` where ``mix`` went on without."""
+    lex = None
+    if mode != "embedding":
+        try:
+            lex = stored(lexical())
+        except Exception as e:  # a broken index is a state, not a crash
+            return None, f"lexical search failed: {e}"
+    error = None
+    try:
+        if mode == "fulltext":
+            sem = lex.select("chunk_id", "score").limit(0)
+        else:
+            sem, error = degraded(mode, lex, semantic)
+    except Exception as e:
+        return None, f"vector search failed: {e}"
+    lex = sem.limit(0) if lex is None else lex
+    out = stored(search(lex, sem, mode, similarity, limit))
+    failed = f"vector search failed: {error}" if error else None
+    if out.head(1):
+        return out, failed
+    return None, "no match" if mode == "fulltext" else failed or f"below similarity {similarity}"
+
+
 def search_many(
     docs: DataFrame,
     queries: DataFrame,

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import strip
+
 
 def first_by(rows: DataFrame, keys: Sequence[str], *order) -> DataFrame:
     """The first row of each key."""
@@ -99,6 +101,43 @@ def missing_ids(owners: DataFrame, items: DataFrame, owner: str, ids: str, item:
     return listed.groupBy(owner).agg(F.array_sort(F.collect_set(item)).alias("missing"))
 
 
+def unique_names(wanted: DataFrame, taken: DataFrame, most: int = 64, tries: int = 49) -> DataFrame:
+    """id, wanted, name: each its name or, where that is taken, with the first
+    free of _2, _3, ...; null beyond ``tries``.
+
+    ``wanted``: id, wanted; ``taken``: name.  Of several that want one name the
+    smallest id has it; names that are wanted as they are go before numbered
+    ones.
+    """
+    nth = F.row_number().over(Window.partitionBy("wanted").orderBy("id"))
+    held = taken.select(F.col("name").alias("wanted")).distinct().withColumn("_held", F.lit(True))
+    rows = wanted.select("id", "wanted", nth.alias("_n")).join(held, "wanted", "left")
+    plain = rows.where("_held is null and _n = 1").select("id", "wanted", F.col("wanted").alias("name"))
+    rest = rows.where("_held or _n > 1").withColumn("_k", F.col("_n") - F.when(F.col("_held").isNull(), 1).otherwise(0)).drop("_n", "_held")
+    names = rest.select("wanted").distinct().select("wanted", F.explode(F.sequence(F.lit(2), F.lit(tries))).alias("_i"))
+    end = F.concat(F.lit("_"), F.col("_i").cast("string"))
+    names = names.withColumn("name", F.concat(F.substring(F.col("wanted"), F.lit(1), most - F.length(end)), end))
+    used = taken.select("name").unionByName(wanted.select(F.col("wanted").alias("name"))).distinct()
+    names = names.join(used, "name", "left_anti")
+    # one name may be made for two that are wanted: the lesser of them has it
+    names = first_by(names, ["name"], F.col("wanted"), F.col("_i"))
+    free = names.withColumn("_k", F.row_number().over(Window.partitionBy("wanted").orderBy("_i"))).select("wanted", "_k", "name")
+    return plain.unionByName(rest.join(free, ["wanted", "_k"], "left").select("id", "wanted", "name"))
+
+
+def put_cases(known: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Cases (case_id, tool_id, query, expect) after taking in others, by id:
+    texts are trimmed, and rows without a query or an expectation left out."""
+    said = {c: strip(F.coalesce(c, F.lit(""))) for c in ("query", "expect")}
+    fresh = incoming.withColumns(said).where("query <> '' and expect <> ''").select("case_id", "tool_id", "query", "expect")
+    return known.join(fresh.select("case_id"), "case_id", "left_anti").select(*fresh.columns).unionByName(fresh)
+
+
+def cleared(log: DataFrame) -> tuple[DataFrame, int]:
+    """An empty log, and how many rows went."""
+    return log.limit(0), log.count()
+
+
 def page_changes(known: DataFrame, fetched: DataFrame) -> DataFrame:
     """locator, action of a sync, a full outer join on the stored locator.
 

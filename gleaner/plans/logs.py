@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import logs as L
+from gleaner.functions import text as T
 from gleaner.operators import tables as O
 from gleaner.plans.common import table
 
@@ -182,3 +183,23 @@ def call_summaries(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(kind == 4, 500).otherwise(200)
     line = L.call_summary(name, request, response, error, status, status < 400)
     return _events(spark, d).select("event_id", line.alias("summary"))
+
+
+@query(
+    """select event_id, '{"method":"' || event_type || '","params":' || case when event_id % 2 = 0 then replace(props, ': ', ':') else '{}' end || '}' as kept from events"""
+)
+def safe_request(spark: SparkSession, d: str) -> DataFrame:
+    """Events as requests; of every other one the parameters are no object."""
+    params = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.lit("["), "event_id", F.lit("]")))
+    message = F.concat(F.lit('{"id":1,"method":"'), "event_type", F.lit('","params":'), params, F.lit("}"))
+    kept = L.safe_request(message)
+    return table(spark, d, "events").select("event_id", kept.alias("kept"))
+
+
+@query(
+    """select vec_id, case label % 5 when 0 then '子块' when 1 then '补充索引' when 2 then '图片' when 3 then '标题' else '' end as label from embeddings"""
+)
+def hit_label(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.array(*[F.lit(k) for k in ("child", "auto", "image", "title", "row")])
+    kind = F.get(kinds, (F.col("label") % 5).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", T.hit_label(kind).alias("label"))

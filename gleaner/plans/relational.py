@@ -270,3 +270,33 @@ def tree_delete(spark: SparkSession, d: str) -> DataFrame:
     left = O.delete_below(nodes, nodes.where("id % 41 = 7"), {"labels": (labels, "doc_id")})
     n = left["labels"].groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n_labels"))
     return left["nodes"].join(n, "id", "left").select("id", "source", F.coalesce("n_labels", F.lit(0)).alias("n_labels"))
+
+
+@query(
+    """with w as (select page_id as id, 'search_' || (page_id % 9) as wanted from pages),
+t as (select 'search_' || k as name from (select unnest(range(0, 9, 2)) as k) union all select 'search_1_' || k from (select unnest(range(2, 50, 3)) as k)),
+n as (select *, row_number() over (partition by wanted order by id) as n, wanted in (select name from t) as held from w),
+k as (select id, wanted, held, n, case when held then n else n - 1 end as k from n),
+c as (select s.wanted, s.wanted || '_' || i as name, row_number() over (partition by s.wanted order by i) as k
+ from (select distinct wanted from w) s, (select unnest(range(2, 50)) as i) where s.wanted || '_' || i not in (select name from t))
+select k.id, k.wanted, case when not held and n = 1 then k.wanted else c.name end as name from k left join c on c.wanted = k.wanted and c.k = k.k"""
+)
+def unique_tool_names(spark: SparkSession, d: str) -> DataFrame:
+    wanted = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("search_"), F.col("page_id") % 9).alias("wanted"))
+    held = table(spark, d, "pages").select(F.col("page_id").alias("k"))
+    taken = held.where("k < 9 and k % 2 = 0").select(F.concat(F.lit("search_"), "k").alias("name"))
+    taken = taken.unionByName(held.where("k between 2 and 49 and (k - 2) % 3 = 0").select(F.concat(F.lit("search_1_"), "k").alias("name")))
+    return O.unique_names(wanted, taken)
+
+
+@query(
+    """select item_id as case_id, item_id % 5 as tool_id, trim(text) as query, 'known' as expect from benchmark where item_id % 3 <> 0 or trim(text) = '' or item_id % 2 = 1
+union all select item_id, item_id % 5, trim(text), 'new ' || item_id from benchmark where item_id % 3 = 0 and item_id % 2 = 0 and trim(text) <> ''"""
+)
+def eval_case_put(spark: SparkSession, d: str) -> DataFrame:
+    """Cases after some were sent again, half of those without expectation."""
+    bench = table(spark, d, "benchmark")
+    known = bench.select(F.col("item_id").alias("case_id"), (F.col("item_id") % 5).alias("tool_id"), F.trim("text").alias("query"), F.lit("known").alias("expect"))
+    expect = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit(" new "), "item_id", F.lit(" "))).otherwise("  ")
+    sent = bench.where("item_id % 3 = 0").select(F.col("item_id").alias("case_id"), (F.col("item_id") % 5).alias("tool_id"), F.concat(F.lit(" "), "text").alias("query"), expect.alias("expect"))
+    return O.put_cases(known, sent)

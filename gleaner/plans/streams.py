@@ -187,3 +187,24 @@ def stream_tool_calls(spark: SparkSession, d: str) -> DataFrame:
     writer = sse.merge_tool_stream(stream).writeStream.format("parquet").option("path", f"{out}/calls")
     writer.option("checkpointLocation", f"{out}/progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/calls")
+
+
+@query(
+    """select doc_id as id, text[1:2000] as query, nullif(case when doc_id % 3 = 0 then text[1:2000] else '' end, '') as error,
+ (case when doc_id % 3 = 0 and text <> '' then text when text <> '' then text else 'tools/call' end)[1:255] as summary,
+ greatest(doc_id - 50, 0) as latency_ms from documents where text is not null and doc_id % 7 <> 0"""
+)
+def stream_call_log(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as calls, some of them pings, appended to a log by a stream."""
+    out = shared_folder(spark)
+    docs = table(spark, d, "documents").where("text is not null")
+    body = F.to_json(F.struct(F.col("text").alias("q")))
+    calls = docs.select(
+        F.col("doc_id").alias("id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("created_at"), F.when(F.col("doc_id") % 7 == 0, "ping").otherwise("tools/call").alias("method"),
+        F.col("text").alias("query"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("error"), F.lit(None).cast("string").alias("summary"), (F.col("doc_id") - 50).alias("latency_ms"), body.alias("request_body"),
+    )
+    calls.write.parquet(f"{out}/calls")
+    stream = spark.readStream.schema(calls.schema).parquet(f"{out}/calls")
+    jobs.ingest_calls(stream, f"{out}/log", f"{out}/progress").awaitTermination()
+    log = spark.read.parquet(f"{out}/log").where(F.length("request_body") <= 48_000)
+    return log.select("id", "query", "error", "summary", "latency_ms")

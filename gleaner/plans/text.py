@@ -366,3 +366,12 @@ def table_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = found.select("doc_id", lines[0].alias("head"), F.posexplode(F.slice(lines, 3, F.size(lines))).alias("p", "line"))
     said = T.row_sentence(T.table_cells(F.col("head")), T.table_cells(F.col("line")))
     return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("row"), said.alias("sentence"))
+
+
+@query("select doc_id, doc_id % 3 = 0 and length(trim(text)) > 0 as atomic from documents where not contains(text, '```')")
+def atomic_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as code under a heading, code with a line after it, prose."""
+    line = F.regexp_replace("text", r"\s+", " ")
+    code = F.concat(F.lit("# Head\n\n```\n"), line, F.lit("\n```"))
+    body = F.when(F.length(F.trim("text")) == 0, "").when(F.col("doc_id") % 3 == 0, code).when(F.col("doc_id") % 3 == 1, F.concat(code, F.lit("\n\nand more"))).otherwise(line)
+    return table(spark, d, "documents").where(~F.col("text").contains("```")).select("doc_id", C.is_atomic(body).alias("atomic"))

@@ -8,11 +8,13 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.web import html_text
+from gleaner.operators.cuts import stored
 
 TEXT, HTML, IMAGES = ("txt", "md", "markdown", "csv"), ("html", "htm"), ("png", "jpg", "jpeg", "webp", "gif")
 LEAST_IMAGE, MOST_BLOBS = 32, 24
@@ -115,7 +117,17 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-def write_passages(passages: DataFrame, path: str, key: str = "source_id") -> None:
-    """Replaces the passages of the sources at hand, and of no others."""
-    writer = passages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(key).parquet(path)
+def write_passages(passages: DataFrame, path: str, key: str = "source_id", buckets: int = 64) -> None:
+    """Replaces the passages of the sources at hand, and of no others.  Sources
+    lie in buckets by a hash; only theirs are read and written again."""
+    spark = passages.sparkSession
+    at = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    fresh = stored(passages.withColumn("bucket", at))
+    touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # buckets at most
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException:  # nothing was written yet
+        old = fresh.limit(0)
+    kept = old.where(F.col("bucket").isin(touched)).join(fresh.select(key).distinct(), key, "left_anti")
+    both = stored(kept.select(*fresh.columns).unionByName(fresh))  # before its place is overwritten
+    both.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

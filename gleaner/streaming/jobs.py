@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from gleaner.functions.logs import logged
+from gleaner.functions.logs import log_row, logged
 from gleaner.operators.store import Store, SyncFailed, sync_site
 
 
@@ -32,6 +32,14 @@ def ingest_log(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return writer.outputMode("append").trigger(availableNow=True).start()
 
 
+def ingest_calls(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Appends calls (id, created_at, method and what ``log_row`` knows) as log
+    rows, each once within a day; pings and notifications are left out."""
+    rows = stream.where(logged(F.col("method"))).withWatermark("created_at", "1 day").dropDuplicatesWithinWatermark(["id"])
+    writer = log_row(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return writer.outputMode("append").trigger(availableNow=True).start()
+
+
 def count_by_day(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Events by day and type, so far: each batch writes the groups that it
     changed, in a folder of its own, and a batch that is run again writes the
