@@ -137,9 +137,11 @@ class Model:
         return out.tolist(), np.clip(sure, 0, 1)
 
 
-def sample(docs: DataFrame, lang_col: str, text_col: str, order_col: str, most: int) -> DataFrame:
-    """At most ``most`` rows, about as many of each language, chosen by hash."""
-    sizes = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect()}
+def sample(docs: DataFrame, lang_col: str, order_col: str, most: int, most_langs: int) -> DataFrame:
+    """About ``most`` rows at most, about as many of each language, chosen by
+    hash, of the ``most_langs`` languages with most rows (ties by name)."""
+    counts = docs.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col)
+    sizes = {r[0]: r[1] for r in counts.limit(min(most_langs, most)).collect()}
     if not sizes:
         return docs.where(F.lit(False))
     each = max(1, most // len(sizes))
@@ -148,10 +150,11 @@ def sample(docs: DataFrame, lang_col: str, text_col: str, order_col: str, most:
     return docs.where(h < F.get(F.array(F.element_at(share, F.col(lang_col))), F.lit(0)))
 
 
-def train(docs: DataFrame, id_col: str, lang_col: str, text_col: str, most: int) -> Model | None:
-    """Model of the labelled rows ``docs``, learned from about ``most``."""
+def train(docs: DataFrame, id_col: str, lang_col: str, text_col: str, most: int, most_langs: int = 200) -> Model | None:
+    """Model of the labelled rows ``docs``, learned from about ``most``
+    in the ``most_langs`` commonest languages."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    few = sample(known.select(id_col, lang_col, text_col), lang_col, text_col, id_col, most)
+    few = sample(known.select(id_col, lang_col, text_col), lang_col, id_col, most, most_langs)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,14 +184,17 @@ def predict_language(
     text_col: str = "text",
     lang_col: str = "lang",
     sample_rows: int = 3000,
+    sample_langs: int = 200,
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, lang_pred, score (0 to 1).
 
-    ``learn``: labelled rows, of which about ``sample_rows`` are used.
+    ``learn``: labelled rows, of which about ``sample_rows`` are used,
+    of the ``sample_langs`` languages with most rows; a rarer value of the column
+    is not learned, so that a dirty one costs the driver no more.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(train(learn, id_col, lang_col, text_col, sample_rows))
+    shared = spark.sparkContext.broadcast(train(learn, id_col, lang_col, text_col, sample_rows, sample_langs))
     result = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
     @F.arrow_udf(result)

@@ -2,14 +2,18 @@
 
 Level by level, the segments below each node of a host's tree are counted.
 Branches of a node whose urls go on alike (by the commonest shape of what
-follows) and have like labels (by share of bad) are pooled.  Neighbouring pools
-are merged while a likelihood-ratio test over shapes and labels finds no
-difference between them.  A pool stays in the tree if it differs, by the same
-test, from all urls of the node taken together; all others are merged into one
-wildcard branch.  A pool of several branches is named by the first of them and
-the number of others, ``{first+others}``.  The share that a branch has of its
-node doesn't matter, only that it has ``least_urls``.  A node has some dozens of
-pools at most, however many branches it has.
+follows) fall into cells by their share of bad labels, in eighths of a right
+angle (arcsine of the root), and by their share of labelled urls, in quarters.
+The cells of a shape, in this order, are one pool at first.  A pool is split in
+two where a likelihood-ratio test over shapes and labels finds the greatest
+difference, while this test tells its two parts, or any cell and the rest of
+its pool, apart.  So every cell is like the whole of its pool, not only like
+its neighbour.  A pool stays in the tree if it differs, by the same test, from
+all urls of the node taken together; all others are merged into one wildcard
+branch.  A pool of several branches is named by the first of them and the
+number of others, ``{first+others}``.  The share that a branch has of its node
+doesn't matter, only that it has ``least_urls``.  A node has 276 cells at most,
+however many branches it has.
 
 This goes on while a node has ``least_urls`` urls with a further segment.
 Below any other node no branch can stay, so its urls are done at once.  The
@@ -29,9 +33,13 @@ empty table gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import string
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,37 +100,85 @@ def _critical(shapes: list[str], labels: list[str], normal: float) -> Column:
     return free * F.pow(1 - spread + normal * F.sqrt(spread), F.lit(3.0))
 
 
-def _pools(stats: DataFrame, node: DataFrame, parts: list[str], least_urls: int, critical: Column) -> tuple[DataFrame, DataFrame]:
-    """The branches that may stay, each with its cell (``follow``, ``rate``);
-    and the cells that do stay (host, template, follow, rate), with the name of
-    their pool and whether its urls go on.
+def _apart(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Likelihood-ratio statistic of each row of ``own`` against the row of
+    ``other``; both are counts of shapes and then of labels."""
+    both, size = own + other, len(SHAPES)
+    n, m = own[:, :size].sum(1, keepdims=True), other[:, :size].sum(1, keepdims=True)
+    out = np.zeros(len(own))
+    for part, share in ((own, n / (n + m)), (other, m / (n + m))):
+        ratio = np.divide(part, both * share, out=np.ones_like(part), where=part > 0)
+        out += 2 * (part * np.log(ratio)).sum(1)
+    return out.round(9)
+
+
+def _divided(counts: np.ndarray, normal: float) -> list[int]:
+    """Pool number of each cell (row), in order."""
+    out, todo, pool = [0] * len(counts), [(0, len(counts))], 0
+    while todo:
+        a, b = todo.pop()
+        part = counts[a:b]
+        if b - a > 1:
+            every, left = part.sum(0), part.cumsum(0)[:-1]
+            size = len(SHAPES)
+            free = max(1, int((every[:size] > 0).sum() + (every[size:] > 0).sum()) - 2)
+            bar = free * (1 - 2 / (9 * free) + normal * (2 / (9 * free)) ** 0.5) ** 3
+            between = _apart(left, every - left)
+            if max(between.max(), _apart(part, every - part).max()) >= bar:
+                middle = a + 1 + int(between.argmax())
+                todo += [(middle, b), (a, middle)]
+                continue
+        out[a:b] = [pool] * (b - a)
+        pool += 1
+    return out
+
+
+def _pool_numbers(normal: float) -> Callable[[Column], Column]:
+    @F.arrow_udf("array<int>")
+    def numbers(cells: pa.Array) -> pa.Array:
+        # one row a node and shape, an array of the counts of each of its cells
+        ends = np.diff(cells.offsets.to_numpy()).cumsum()
+        flat = cells.flatten().flatten().to_numpy(zero_copy_only=False).astype(float)
+        rows = np.split(flat.reshape(-1, len(SHAPES) + 3), ends[:-1]) if len(cells) else []
+        return pa.array([_divided(r, normal) for r in rows], pa.list_(pa.int32()))
+
+    return numbers
 
-    A node has some dozens of cells at most, so what is ordered and compared
-    here is small.
+
+def _pools(
+    stats: DataFrame, node: DataFrame, parts: list[str], least_urls: int, critical: Column, normal: float
+) -> tuple[DataFrame, DataFrame]:
+    """The branches that may stay, each with its cell (``follow``, ``rate``,
+    ``cover``); and the cells that do stay, with the name of their pool and
+    whether its urls go on.
+
+    A node has 46 cells a shape at most, so what is gathered here is small.
     """
-    keys = ["host", "template"]
+    keys, cell = ["host", "template"], ["follow", "rate", "cover"]
     most = F.greatest(*[F.col(f"k_{s}") for s in SHAPES])
     follow = F.coalesce(*[F.when(F.col(f"k_{s}") == most, F.lit(i)) for i, s in enumerate(SHAPES)])
     labelled = F.col("bad_n") + F.col("good_n")
-    rate = F.when(labelled == 0, 0).otherwise(1 + F.floor(4 * F.col("bad_n") / labelled)).cast("int")
+    angle = F.floor(F.asin(F.sqrt(F.col("bad_n") / labelled)) * (16 / math.pi) + 1e-9)
+    rate = F.when(labelled == 0, 0).otherwise(1 + angle).cast("int")
+    cover = F.floor(4 * labelled / F.col("n")).cast("int")
     fit = shape(F.col("seg")).isin("word", "file", "other") & (F.col("n") >= least_urls)
-    some = stats.where(fit).withColumns({"follow": follow, "rate": rate})
+    some = stats.where(fit).withColumns({"follow": follow, "rate": rate, "cover": cover})
     sums = [F.sum(p).alias(p) for p in ["n", *parts]]
-    cells = some.groupBy(*keys, "follow", "rate").agg(F.count(F.lit(1)).alias("members"), F.min("seg").alias("first"), *sums)
-    order = Window.partitionBy(*keys).orderBy("follow", "rate")
-    cells = cells.withColumns({f"was_{p}": F.lag(p).over(order) for p in ["n", "follow", *parts]})
-    cells = cells.withColumns({f"all_{p}": F.col(p) + F.coalesce(f"was_{p}", F.lit(0)) for p in ["n", *parts]})
-    two = _g_test([(p, f"all_{p}") for p in parts], "n", "all_n")
-    two = two + _g_test([(f"was_{p}", f"all_{p}") for p in parts], "was_n", "all_n")
-    apart = F.col("was_n").isNull() | (F.col("follow") != F.col("was_follow")) | (two >= critical)
-    cells = cells.withColumn("pool", F.sum(apart.cast("int")).over(order))
-    cells = cut(cells.select(*keys, "follow", "rate", "pool", "members", "first", "n", *parts))
-    pools = cells.groupBy(*keys, "pool").agg(F.sum("members").alias("members"), F.min("first").alias("first"), *sums)
+    cells = some.groupBy(*keys, *cell).agg(F.count(F.lit(1)).alias("members"), F.min("seg").alias("first"), *sums)
+    lists = cells.groupBy(*keys, "follow").agg(
+        F.sort_array(F.collect_list(F.struct("rate", "cover", "members", "first", "n", *parts))).alias("cells")
+    )
+    counts = F.transform("cells", lambda c: F.array(*[c[p] for p in parts]))
+    lists = lists.withColumn("pool", _pool_numbers(normal)(counts))
+    each = lists.select(*keys, "follow", F.explode(F.arrays_zip("cells", "pool")).alias("c"))
+    cells = cut(each.select(*keys, "follow", "c.cells.*", "c.pool"))
+    pools = cells.groupBy(*keys, "follow", "pool").agg(F.sum("members").alias("members"), F.min("first").alias("first"), *sums)
     unlike = _g_test([(p, f"all_{p}") for p in parts], "n", "all_n") >= critical
     name = F.when(F.col("members") == 1, F.col("first")).otherwise(F.format_string("{%s+%d}", "first", F.col("members") - 1))
     on = (F.col("n") - F.col("k_end")) >= least_urls
-    kept = pools.join(node, keys).where(unlike | (F.col("branches") == 1)).select(*keys, "pool", name.alias("_name"), on.alias("_on"))
-    return some, cells.select(*keys, "follow", "rate", "pool").join(kept, [*keys, "pool"]).drop("pool")
+    kept = pools.join(node, keys).where(unlike | (F.col("branches") == 1))
+    kept = kept.select(*keys, "follow", "pool", name.alias("_name"), on.alias("_on"))
+    return some, cells.select(*keys, *cell, "pool").join(kept, [*keys, "follow", "pool"]).drop("pool")
 
 
 def templates(paths: DataFrame, least_urls: int = 3, normal: float = 1.645, salts: int = 16) -> DataFrame:
@@ -154,10 +210,10 @@ def templates(paths: DataFrame, least_urls: int = 3, normal: float = 1.645, salt
         pool = stats.groupBy(*keys).agg(
             F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("branches"), *[F.sum(p).alias(f"all_{p}") for p in parts]
         )
-        some, kept = _pools(stats, pool.where(F.col("all_n") >= least_urls), parts, least_urls, critical)
+        some, kept = _pools(stats, pool.where(F.col("all_n") >= least_urls), parts, least_urls, critical, normal)
         # the branches and urls of one node are dealt out, with the few decisions on them
-        some = some.select(*keys, "seg", "follow", "rate", F.pmod(F.xxhash64("seg"), F.lit(salts)).cast("int").alias("salt"))
-        named = some.join(cut(kept.select("*", every_salt)), [*keys, "follow", "rate", "salt"])
+        some = some.select(*keys, "seg", "follow", "rate", "cover", F.pmod(F.xxhash64("seg"), F.lit(salts)).cast("int").alias("salt"))
+        named = some.join(cut(kept.select("*", every_salt)), [*keys, "follow", "rate", "cover", "salt"])
         named = cut(named.select(*keys, "seg", "_name", "_on").select("*", every_salt))
         rest = stats.join(named.where("salt = 0").select(*keys, "seg"), [*keys, "seg"], "left_anti")
         merged = rest.groupBy(*keys).agg((F.sum(F.col("n") - F.col("k_end")) >= least_urls).alias("_all_on"))

@@ -6,8 +6,11 @@ import re
 import string
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import compare
@@ -308,21 +311,27 @@ def _plain_templates(rows, least=3, normal=1.645):
             if shape(seg) in ("word", "file", "other") and len(rs) >= least:
                 top = max(t[s] for s in url_templates.SHAPES)
                 follow = next(i for i, s in enumerate(url_templates.SHAPES) if t[s] == top)
-                rate = 1 + 4 * t[1] // (t[1] + t[0]) if t[1] + t[0] else 0
-                cells.setdefault((follow, rate), []).append(seg)
-        pools, was = [], None
-        for (follow, _), segs in sorted(cells.items()):
-            rs = [r for s in segs for r in by[s]]
-            t = table(rs, d)
-            if was and was[0] == follow:
-                both = {k: t[k] + was[1][k] for k in names}
-                n, m = len(rs), was[2]
-                if g(t, both, n, n + m) + g(was[1], both, m, n + m) < bar(both):
-                    pools[-1] += segs
-                    was = (follow, t, len(rs))
-                    continue
-            pools.append(list(segs))
-            was = (follow, t, len(rs))
+                seen = t[1] + t[0]
+                rate = 1 + math.floor(math.asin(math.sqrt(t[1] / seen)) * 16 / math.pi + 1e-9) if seen else 0
+                cells.setdefault(follow, {}).setdefault((rate, 4 * seen // len(rs)), []).append(seg)
+
+        def apart(some, others):
+            """The statistic, and whether it tells two lists of cells apart."""
+            one, two = ([r for c in x for s in c for r in by[s]] for x in (some, others))
+            t, u = table(one, d), table(two, d)
+            both = {k: t[k] + u[k] for k in names}
+            value = round(g(t, both, len(one), len(one) + len(two)) + g(u, both, len(two), len(one) + len(two)), 9)
+            return value, value >= bar(both)
+
+        def divide(cells):
+            cuts = [apart(cells[:k], cells[k:]) for k in range(1, len(cells))]
+            alone = [apart([c], cells[:i] + cells[i + 1 :]) for i, c in enumerate(cells) if len(cells) > 1]
+            if not any(x[1] for x in cuts + alone):
+                return [[s for c in cells for s in c]]
+            k = 1 + max(range(len(cuts)), key=lambda i: (cuts[i][0], -i))
+            return divide(cells[:k]) + divide(cells[k:])
+
+        pools = [p for follow in sorted(cells) for p in divide([s for _, s in sorted(cells[follow].items())])]
         every, rest = table(group, d), set(by)
         for segs in pools:
             rs = [r for s in segs for r in by[s]]
@@ -378,6 +387,46 @@ def test_url_templates_keep_a_small_bad_branch(spark):
     assert all(r.verdict == ("block" if i >= 5000 else "allow") for i, r in got.items())
 
 
+@pytest.mark.parametrize("sections", [(2, 6, 12, 16), (2, 6, 16), (0, 2, 4, 7, 10, 13, 16, 18, 20)])
+def test_url_templates_do_not_chain_like_neighbours(spark, sections):
+    """Of 20 urls a section, the given numbers are bad: each section is like the
+    next one, but the first isn't like the last."""
+    rows = [
+        (100 * k + i, f"http://h.org/{chr(97 + k)}/{'mnop'[i % 4]}/{i}", int(i < bad)) for k, bad in enumerate(sections) for i in range(20)
+    ]
+    pages = docs(spark, rows, "page_id long, url string, bad int")
+    got = {r.page_id: r for r in url_templates.judge_urls(pages, [], bad_col="bad").collect()}
+    first, last = [got[i] for i in range(20)], [got[100 * (len(sections) - 1) + i] for i in range(20)]
+    assert {r.verdict for r in first} == {"allow"}
+    assert not {r.template.split("/")[1] for r in first} & {r.template.split("/")[1] for r in last}
+
+
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40), st.integers(0, 40)).filter(any), min_size=1, max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_url_pools_hold_no_unlike_cell(labels):
+    counts = np.array([[0, 0, 0, sum(x), 0, 0, *x] for x in sorted(labels)], dtype=float)
+    pools = np.array(url_templates._divided(counts, 1.645))
+    assert pools[0] == 0 and set(np.diff(pools)) <= {0, 1}
+    for p in set(pools):
+        part = counts[pools == p]
+        for i in range(len(part) if len(part) > 1 else 0):
+            rest = np.delete(part, i, 0).sum(0)
+            kinds = max(1, int((part.sum(0) > 0).sum()) - 2)
+            bar = kinds * (1 - 2 / (9 * kinds) + 1.645 * (2 / (9 * kinds)) ** 0.5) ** 3
+            both = np.array([part[i], rest])
+            want = both[:, 6:].sum(1, keepdims=True) * both.sum(0) / both[:, 6:].sum()
+            seen = both > 0
+            assert 2 * (both[seen] * np.log(both[seen] / want[seen])).sum() < bar + 1e-6
+
+
+def test_url_templates_tell_few_labels_from_many(spark):
+    """One bad label of 300 urls is no section that is bad throughout."""
+    rows = [(i, f"http://h.org/{s}/x/{i}", b) for i, (s, b) in enumerate([("a", 1)] + [("a", None)] * 299 + [("b", 1)] * 60 + [("c", 0)] * 300)]
+    pages = docs(spark, rows, "page_id long, url string, bad int")
+    got = {r.page_id: r for r in url_templates.judge_urls(pages, [], bad_col="bad").collect()}
+    assert {got[i].verdict for i in range(300)} == {"allow"} and {got[i].verdict for i in range(300, 360)} == {"block"}
+
+
 def test_url_templates_go_to_the_last_segment(spark):
     stem = "/".join("abcdefghi")
     rows = [(100 * k + i, f"http://h.org/{stem}/{s}/{i}", k) for k, s in enumerate(("good", "bad")) for i in range(40)]
@@ -569,6 +618,13 @@ def test_language_id_hard(spark):
     assert langid.predict_language(one, one).first().lang_pred == "de"
 
 
+def test_language_sample_of_a_dirty_column(spark):
+    rows = [(i, f"l{i}", f"text {i} words") for i in range(40)] + [(50 + i, "de", f"das ist ein Haus {i}") for i in range(3)]
+    rare = docs(spark, rows, "doc_id long, lang string, text string")
+    got = langid.predict_language(rare, rare, sample_langs=1).collect()
+    assert len(got) == 43 and {r.lang_pred for r in got} == {"de"}
+
+
 def test_language_families():
     assert langid.family("en") == langid.family("de-AT") == "germanic" and langid.family("xx") == "xx"
 
