@@ -288,7 +288,8 @@ def _confirm_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
 def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """id, set: the shingles of the texts whose id is in ``ids``, and of few
     others.  The other texts are neither hashed nor moved."""
-    known = Bloom(ids, "id")
+    # an id stands there once for each of its visits, of which a group has many
+    known = Bloom(cut(ids.distinct()), "id")
     test = known.tester()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # the filter and the sets in one worker

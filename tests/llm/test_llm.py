@@ -583,6 +583,28 @@ def test_near_duplicates_hard(spark):
     assert minhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_filter_ids_once(spark, monkeypatch):
+    """Texts that visit many components are keys of the filter once each."""
+    keys = []
+
+    class Counted(minhash.Bloom):
+        def __init__(self, ids, column):
+            keys.append((ids.count(), ids.distinct().count()))
+            super().__init__(ids, column)
+
+    monkeypatch.setattr(minhash, "Bloom", Counted)
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for j in rng.choice(60, 2, replace=False):
+            w[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(w)))
+    minhash.near_duplicates(docs(spark, rows), block=8).collect()
+    assert len(keys) > 1 and all(n == d for n, d in keys)
+
+
 def test_estimate_is_near(spark):
     a, b = " ".join(f"w{i}" for i in range(400)), " ".join(f"w{i}" for i in range(40, 440))
     s = minhash.signatures(docs(spark, [(1, a), (2, b)]))
