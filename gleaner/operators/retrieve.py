@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.numbers import rounded
 from gleaner.functions.text import index_text
 from gleaner.functions.tokens import latin_tokens, tokens
 from gleaner.operators.cuts import spread, stored
@@ -122,7 +123,8 @@ def vector(points: DataFrame, query: Sequence[float], id_col: str, vec_col: str,
     """chunk_id, score: cosine of every point with one query vector."""
     q = F.array(*[F.lit(float(x)) for x in query])
     rows = points if keep is None else points.where(keep)
-    return rows.select(F.col(id_col).alias("chunk_id"), F.round(cosine(F.col(vec_col), q), 6).alias("score"))
+    scored = rows.select(F.col(id_col).alias("chunk_id"), cosine(F.col(vec_col), q).alias("score"))
+    return scored.select("chunk_id", rounded(F.col("score"), 6).alias("score"))
 
 
 def best_point(points: DataFrame, chunk_col: str = "chunk", kind_col: str = "kind") -> DataFrame:

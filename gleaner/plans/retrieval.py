@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.numbers import rounded
 from gleaner.functions.text import index_text
 from gleaner.functions.tokens import tokens
 from gleaner.operators import retrieve as R
@@ -187,7 +188,7 @@ def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
 select vec_id, list_transform(embedding, lambda x: round(x::double / n, 6)) as unit from n"""
 )
 def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
-    unit = F.transform(R.l2_normalised(F.col("embedding")), lambda x: F.round(x, 6))
+    unit = F.transform(R.l2_normalised(F.col("embedding")), lambda x: rounded(x, 6))
     return table(spark, d, "embeddings").select("vec_id", unit.alias("unit"))
 
 

@@ -140,3 +140,23 @@ def test_four_fields_have_their_weights(spark):
     assert terms == ["知识"]
     got = {r.chunk_id: r.score for r in R.lexical(docs, terms, "doc_id", fields, tokenise=tokens).collect()}
     assert set(got) == {1, 2, 3, 4} and got[1] > got[3] > got[4] > got[2] * 0.9
+
+
+def test_rounded_as_in_sql(spark):
+    """Halves are those of the binary product, and zeros keep their sign."""
+    import duckdb
+
+    from gleaner.functions.numbers import rounded
+
+    values = [-1e-7, -0.0, 0.0, 1.0000005, -1.0000005, 2.675e-4, 0.4999995, 4.9999999999999994e-7, 1e300, -1e16, float("inf"), float("nan"), None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i")
+    got = [r[0] for r in rows.select(rounded(F.col("v"), 6)).collect()]
+    want = [duckdb.execute("select round(?::double, 6)", [v]).fetchall()[0][0] for v in values]
+    assert list(map(repr, got)) == list(map(repr, want))
+
+
+def test_l2_normalize_keeps_the_sign_of_zero(spark, tmp_path):
+    from gleaner.plans import retrieval
+
+    spark.createDataFrame([(1, [-1e-7, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert repr(retrieval.l2_normalize(spark, str(tmp_path)).first().unit) == "[-0.0, 1.0]"
