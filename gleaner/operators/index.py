@@ -51,6 +51,29 @@ def postings(passages: DataFrame, id_col: str, text: Column, tokenise=latin_toke
     return counted.select(bucket(F.col("term")).alias("bucket"), "term", "chunk_id", "tf", "dl")
 
 
+def _counted(tokens: Column) -> Column:
+    """term, tf of each distinct token, counted in place: a token's count is
+    the distance of the ends of its runs in the sorted list."""
+
+    def runs(sorted_: Column) -> Column:
+        n = F.size(sorted_)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(sorted_, i - 1) != F.get(sorted_, i)))
+        # the list and its ends as variables, so that each is made once
+        return F.flatten(
+            F.transform(
+                F.array(ends),
+                lambda e: F.transform(
+                    e,
+                    lambda end, k: F.struct(
+                        F.get(sorted_, end - 1).alias("term"), (end - F.when(k == 0, 0).otherwise(F.get(e, k - 1))).cast("long").alias("tf")
+                    ),
+                ),
+            )
+        )
+
+    return F.flatten(F.transform(F.array(F.array_sort(tokens)), runs))
+
+
 @dataclass(frozen=True)
 class Segments:
     """A lexical index of several weighted fields below ``path``.
@@ -100,8 +123,12 @@ class Segments:
         return out
 
     def _seen(self, rows: DataFrame, live: list[tuple[int, str]]) -> DataFrame:
-        """Rows that no tombstone of a later segment hides."""
-        gone = self._rows("gone", live)
+        """Rows that no tombstone of a later segment hides.  Those of the
+        oldest hide nothing; the others are stored, so that few of them are
+        broadcast and the rows not moved."""
+        if len(live) < 2:
+            return rows
+        gone = stored(self._rows("gone", live[1:]))
         sources = gone.where("source_id is not null and chunk_id is null").groupBy("kb_id", "source_id").agg(F.max("seq").alias("_source"))
         whole = gone.where("source_id is null").groupBy("kb_id").agg(F.max("seq").alias("_kb"))
         held = F.greatest(F.coalesce("_source", F.lit(-1)), F.coalesce("_kb", F.lit(-1)))
@@ -112,10 +139,17 @@ class Segments:
         single = gone.where("chunk_id is not null").groupBy("kb_id", "source_id", "chunk_id").agg(F.max("seq").alias("_chunk"))
         return kept.join(single, ["kb_id", "source_id", "chunk_id"], "left").where(F.col("seq") >= F.coalesce("_chunk", F.lit(-1))).drop("_chunk")
 
-    def _write(self, segment: str, rows: DataFrame, sums: DataFrame) -> None:
+    def _write(self, segment: str, rows: DataFrame, sums: DataFrame, add_up: bool = False) -> None:
         per_bucket = -(-(sums.agg(F.sum("total")).first()[0] or 0) // BUCKETS)
-        parts = F.pmod(F.xxhash64("chunk_id"), F.lit(-(-per_bucket // BUCKET_ROWS) or 1))
-        rows.repartition("bucket", parts).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/postings/{segment}")
+        part = F.pmod(F.xxhash64("chunk_id"), F.lit(-(-per_bucket // BUCKET_ROWS) or 1)).cast("int")
+        # dealt out once, for the files and to add up a passage given in several rows
+        dealt = rows.withColumns({"bucket": bucket(F.col("term")), "part": part}).repartition("bucket", "part")
+        if add_up:
+            dealt = dealt.groupBy("kb_id", "source_id", "field", "chunk_id", "dl", "term", "bucket", "part").agg(F.sum("tf").alias("tf"))
+        dealt = dealt.drop("part")
+        # ids are hashes, of which only an entropy coder saves anything; sorted, their beginnings too
+        files = dealt.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").option("compression", "zstd")
+        files.parquet(f"{self.path}/postings/{segment}")
         sums.coalesce(1).write.parquet(f"{self.path}/sums/{segment}")
 
     def _tokens(self, passages: DataFrame) -> DataFrame:
@@ -133,9 +167,8 @@ class Segments:
     def _add(self, rows: DataFrame, sums: DataFrame, gone: DataFrame | None) -> None:
         version, live = self.version()
         segment = f"segment-{uuid.uuid4().hex}"
-        terms = rows.select("kb_id", "source_id", "field", "chunk_id", "dl", F.explode("t").alias("term"))
-        terms = terms.groupBy("kb_id", "source_id", "field", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-        self._write(segment, terms.withColumn("bucket", bucket(F.col("term"))), stored(sums))
+        terms = rows.where("dl > 0").select("kb_id", "source_id", "field", "chunk_id", "dl", F.explode(_counted(F.col("t"))).alias("x"))
+        self._write(segment, terms.select("kb_id", "source_id", "field", "chunk_id", "dl", "x.term", "x.tf"), stored(sums), add_up=True)
         if gone is not None:
             gone.coalesce(1).write.parquet(f"{self.path}/gone/{segment}")
         self._publish(version, [*live, (live[-1][0] + 1 if live else 0, segment)])
@@ -174,7 +207,7 @@ class Segments:
             return
         segment = f"segment-{uuid.uuid4().hex}"
         sums = self._seen(self._rows("sums", old), old).groupBy("kb_id", "source_id", "field").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-        self._write(segment, self._seen(self._rows("postings", old), old).drop("seq"), stored(sums))
+        self._write(segment, self._seen(self._rows("postings", old), old).drop("seq", "bucket"), stored(sums))
         # tombstones of merged segments hide nothing that is left
         self._publish(version, [(old[-1][0], segment), *rest])
 
