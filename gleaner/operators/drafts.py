@@ -59,7 +59,9 @@ def commit_drafts(store: Store, drafts: DataFrame, now: str, embed: Callable[[li
     change = store.change()
     named = F.coalesce(F.nullif(F.trim("locator"), F.lit("")), F.col("title"))
     units = F.filter("units", lambda u: F.coalesce(u["text"], F.lit("")) != "")
-    rows = drafts.withColumns({"_locator": named, "_units": units})
+    page = (F.col("type") == "web") & (F.coalesce("raw_text", F.lit("")) != "")
+    # each text once from here: that of a draft as its hash, and the units that count
+    rows = drafts.withColumns({"_locator": named, "_units": units, "_hash": F.when(page, content_hash(F.col("raw_text")))}).drop("raw_text", "units")
     reason = (
         F.when((F.col("status") != "ready") | F.col("status").isNull(), "not ready")
         .when(~F.coalesce(F.col("expires_at") > now, F.lit(False)), "expired")
@@ -73,7 +75,6 @@ def commit_drafts(store: Store, drafts: DataFrame, now: str, embed: Callable[[li
     # a source keeps its id; a new one's comes from its key, so that a second try makes the same
     fresh = F.concat(F.lit("src_"), F.substring(F.sha2(F.to_json(F.array("kb_id", "type", "locator")).cast("binary"), 256), 1, 16))
     good = good.join(known, ["kb_id", "type", "locator"], "left").withColumn("source_id", F.coalesce("source_id", fresh))
-    good = stored(good)
     passages = good.select("kb_id", "source_id", "locator", F.posexplode("_units").alias("p", "u")).select(
         "kb_id", "source_id",
         F.concat("source_id", F.lit("-"), F.substring(F.sha2(F.concat_ws("|", "source_id", F.col("p") + 1, "u.text").cast("binary"), 256), 1, 16)).alias("chunk_id"),
@@ -88,11 +89,11 @@ def commit_drafts(store: Store, drafts: DataFrame, now: str, embed: Callable[[li
         raise ValueError(f"{empty} drafts have no text to embed")
     sources = good.select(
         "kb_id", "source_id", "type", "title", "locator", F.lit("synced").alias("status"),
-        F.when((F.col("type") == "web") & (F.coalesce("raw_text", F.lit("")) != ""), content_hash(F.col("raw_text"))).alias("hash"), F.size("_units").alias("n"),
+        F.col("_hash").alias("hash"), F.size("_units").alias("n"),
     )
     owners = good.select("source_id")
     for name, part in (("sources", sources), ("passages", passages), ("vectors", vectors)):
-        change.replace(name, part, owners)
+        change.replace(name, part, owners, settled=True)
     patched = change.current("patches").join(owners, "source_id", "left_semi").select("chunk_id")
     for name in ("patches", "patched_vectors"):
         change.replace(name, change.current(name).limit(0), patched)
@@ -141,7 +142,7 @@ def fold(store: Store) -> None:
     owners = stored(patches.select("source_id").distinct())
     passages, vectors = current_passages(store), current_vectors(store)
     for name, rows in (("passages", passages), ("vectors", vectors)):
-        change.replace(name, rows.join(owners, "source_id", "left_semi"))
+        change.replace(name, rows.join(owners, "source_id", "left_semi"), settled=True)
     for name in ("patches", "patched_vectors"):
         change.replace(name, change.current(name).limit(0), patches.select("chunk_id"))
     change.index().compact()

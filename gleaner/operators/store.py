@@ -87,12 +87,15 @@ class Change:
     def current(self, name: str, buckets: list[int] | None = None) -> DataFrame:
         return self.store.current(name, buckets, self.entries)
 
-    def replace(self, name: str, rows: DataFrame, gone: DataFrame | None = None) -> None:
+    def replace(self, name: str, rows: DataFrame, gone: DataFrame | None = None, settled: bool = False) -> None:
         """Puts ``rows`` in place of all rows of their owners and of the owners
-        in ``gone``; only those owners' buckets are read and written."""
+        in ``gone``; only those owners' buckets are read and written.  Rows are
+        stored first, unless they are ``settled``: read from tables that don't
+        change, and cheap to read again."""
         schema, owner = self.store.tables[name]
         columns = self.store.spark.createDataFrame([], schema)
-        rows = stored(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns.schema]))
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns.schema])
+        rows = rows if settled else stored(rows)
         owners = rows.select(F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"))
         if gone is not None:
             owners = owners.unionByName(gone.select(F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner")))

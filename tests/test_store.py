@@ -135,3 +135,19 @@ def test_one_passage_is_patched(spark, tmp_path):
     D.commit_drafts(store, spark.createDataFrame([_draft("d9", "u1", ["omega"])], DRAFT), "2025")
     assert {r.text for r in D.current_passages(store).collect()} == {"omega", "gamma three"}
     assert D.open_drafts(spark.createDataFrame([("a", "k", "f", "ready", "2026", "2024"), ("b", "k", "f", "ready", "2026", "2025"), ("c", "k", "f", "ready", "2020", "2026")], "draft_id string, kb_id string, fingerprint string, status string, expires_at string, created_at string"), "2025").select("draft_id").collect()[0][0] == "b"
+
+
+def test_drafts_store_each_text_once(spark, tmp_path, monkeypatch):
+    from gleaner.operators import drafts as D
+
+    stored, seen = D.stored, []
+    monkeypatch.setattr(D, "stored", lambda df: seen.append(set(df.columns)) or stored(df))
+    rows = spark.createDataFrame(
+        [("1", "kb", "web", "t", "l", "raw", "ready", "2030", [("h", "text", "", "")])],
+        "draft_id string, kb_id string, type string, title string, locator string, raw_text string, status string, expires_at string, "
+        "units array<struct<title: string, text: string, answer: string, indexes: string>>",
+    )
+    s = D.knowledge_store(spark, str(tmp_path))
+    assert D.commit_drafts(s, rows, "2025").first().status == "committed"
+    assert not any({"raw_text", "units"} & c for c in seen) and sum("_units" in c for c in seen) == 1
+    assert s.current("sources").first().hash and s.current("passages").first().text == "text"
