@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,8 +36,18 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many tasks as there are cores, if its files make fewer
-    splits than that and much is done with each row.  A table of many splits is
-    left as it is."""
+    """``df`` dealt to tasks of some 10,000 rows, if one task reads more than
+    twice its share of the rows and much is done with each row.  Rows are
+    counted, not splits: a row group is read by one task, however many splits
+    its file makes.  A table that is even is left as it is.
+
+    Rows are dealt by their number: without a key, Spark sorts all rows of a
+    task before it deals them.  Up to 200 tasks rows are written as they come;
+    beyond, they are held and sorted by task.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    each = df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    largest, rows = each.agg(F.max("n"), F.sum("n")).first()
+    if not rows or largest * cores <= 2 * rows:
+        return df
+    return df.repartition(max(cores, min(200, rows // 10_000)), F.monotonically_increasing_id())

@@ -325,3 +325,24 @@ def test_merge_stream_counts_events_of_any_kind(spark, tmp_path):
     q = sse.merge_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out")
     q.option("checkpointLocation", f"{tmp_path}/progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1, "ab", 4)]
+def test_rows_of_one_row_group_are_dealt_without_a_sort(spark, tmp_path):
+    # several splits, of which one has all rows
+    from gleaner.operators.cuts import spread
+
+    path = str(tmp_path / "t")
+    rows = spark.range(4000).select("id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 100).alias("t")).coalesce(1)
+    rows.write.option("parquet.block.size", 1 << 30).option("compression", "none").parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 21)
+    try:
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() > 4
+        dealt = spread(df)
+        counts = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(counts) == 4000 and len(counts) >= 4 and max(counts) < 1500
+        assert "Sort" not in dealt._jdf.queryExecution().executedPlan().toString()
+        assert "RoundRobin" not in dealt._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.id for r in dealt.select("id").collect()) == list(range(4000))
+        assert spread(dealt).rdd.getNumPartitions() == dealt.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
