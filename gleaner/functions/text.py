@@ -3,6 +3,10 @@ digit classes Unicode-aware."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,15 +16,30 @@ _ENDS = "。；;！？!?：:"
 ZERO_WIDTH = r"[​-‍⁠﻿]"
 
 
+#: Fixed value: what ``(?U)\\s`` matches.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for each row; inside a
+    lambda nothing else keeps a repeated expression from being repeated."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Removes all Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def index_text(text: Column) -> Column:
     """What is indexed of a text: links and images leave their visible label,
     bare addresses go; a label that is an address goes too."""
-    t = F.coalesce(text, F.lit(""))
+    # every pattern needs one of these, which most texts lack
+    marks = ("<", "[", "http", "www.")
+    return once(F.coalesce(text, F.lit("")), lambda t: F.when(reduce(or_, [t.contains(x) for x in marks]), _unlinked(t)).otherwise(t))
+
+
+def _unlinked(t: Column) -> Column:
     t = F.regexp_replace(t, r"(?is)<a\b[^>]*>\s*(?:https?://|www\.)[^<\s]*\s*</a>", "")
     t = F.regexp_replace(t, r"(?is)<a\b[^>]*>(.*?)</a>", "$1")
     t = F.regexp_replace(t, rf"!?\[\s*(?:{_BARE})?\s*\]\([^)\s]*(?:\s+\"[^\"]*\")?\)", "")
@@ -40,7 +59,12 @@ def heading_level(line: Column) -> Column:
     """1 to 6 for a heading line, else null.  Order of the rules: hash marks,
     chapter, section and article numbers, dotted numbers, list numbers.  A
     chapter's number stands by itself; a list number's line is short."""
-    t = strip(line)
+    # all rules ask for one of these at the start, which few lines have
+    maybe = line.rlike(r"^(?U)\s*[#第（(\d一二三四五六七八九十百千零〇两]")
+    return F.when(maybe, once(strip(line), _level))
+
+
+def _level(t: Column) -> Column:
     number, alone = "[一二三四五六七八九十百千零〇两0-9]+", r"(?![\p{L}\p{N}_])"
     dotted = F.regexp_extract(t, r"^((?U)\d+(?:\.\d+){1,5})\s+\S", 1)
     dots = F.length(dotted) - F.length(F.replace(dotted, F.lit("."), F.lit("")))
@@ -95,9 +119,12 @@ def chunk_title(text: Column, fallback: Column) -> Column:
             x.rlike(r"^\s*\|.*\|\s*$"), F.array_join(F.filter(table_cells(x), lambda c: c != ""), " / ")
         ).otherwise(index_label(x)),
     )
-    labels = F.filter(labels, lambda x: x != "")
-    article = F.filter(labels, lambda x: x.rlike("^第[一二三四五六七八九十百千零〇两0-9]+条"))
-    return F.substring(F.coalesce(F.get(article, F.lit(0)), F.get(labels, F.lit(0)), fallback), 1, 80)
+
+    def first(labels: Column) -> Column:
+        article = F.filter(labels, lambda x: x.rlike("^第[一二三四五六七八九十百千零〇两0-9]+条"))
+        return F.coalesce(F.get(article, F.lit(0)), F.get(labels, F.lit(0)), fallback)
+
+    return F.substring(once(F.filter(labels, lambda x: x != ""), first), 1, 80)
 
 
 def canonical_text(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,17 +107,23 @@ def items(rows: DataFrame) -> DataFrame:
     kids = F.transform(F.filter("indexes", lambda x: x["type"] == "child"), lambda x: x["text"])
     rest = F.filter("indexes", lambda x: x["type"] != "child")
     made = embed_items(F.col("title"), F.col("text"), F.lit(None).cast("string"), kids, rest)
-    return rows.select("source_id", "position", F.posexplode(made).alias("item", "i")).select(
-        "source_id", "position", "item", "i.kind", "i.text"
-    )
+    # not an inner posexplode: its filter on the array's size would make it again
+    rows = rows.select("source_id", "position", F.posexplode_outer(made).alias("item", "i")).where(F.col("i").isNotNull())
+    return rows.select("source_id", "position", "item", "i.kind", "i.text")
+
+
+@lru_cache(maxsize=1 << 16)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
 
 
 def hashed_vector(text: str, dim: int = 64) -> np.ndarray:
     """A stand-in for an embedding model: signed hashes of words, unit length."""
-    v = np.zeros(dim)
+    said = [0] * dim
     for w in text.lower().split():
-        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-        v[h % dim] += 1 if h >> 63 else -1
+        h = _word_hash(w)
+        said[h % dim] += 1 if h >> 63 else -1
+    v = np.array(said, dtype=float)
     n = np.linalg.norm(v)
     return v / n if n else v
 

@@ -305,7 +305,8 @@ _split("chunk_qa_window", C.Config(qa=True, size=2000))
 def child_indexes(spark: SparkSession, d: str) -> DataFrame:
     c = C.Config(mode="custom", split="size", size=2000, child=True, child_size=300, trigger="force")
     rows = C.split_documents(table(spark, d, "documents"), c)
-    return rows.select("doc_id", "position", F.posexplode(C.child_entries(F.col("text"), c)).alias("entry", "text"))
+    entries = rows.select("doc_id", "position", F.posexplode_outer(C.child_entries(F.col("text"), c)).alias("entry", "text"))
+    return entries.where(F.col("text").isNotNull())
 
 
 @query(

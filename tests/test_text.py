@@ -346,3 +346,8 @@ def test_rows_of_one_row_group_are_dealt_without_a_sort(spark, tmp_path):
         assert spread(dealt).rdd.getNumPartitions() == dealt.rdd.getNumPartitions()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("t", ["", " ", "　 a b \x85\n", "\x1ca\x1f", "​a ", None, "᠎a  ", "a\r\n"])
+def test_strip_is_unicode_white_space(spark, t):
+    assert one(spark, T.strip(F.col("t")), t=t) == one(spark, F.regexp_replace("t", r"(?U)^\s+|\s+$", ""), t=t)
