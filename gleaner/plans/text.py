@@ -9,6 +9,7 @@ from gleaner.functions import text as T
 from gleaner.functions import html as H
 from gleaner.functions import web as W
 from gleaner.operators import chunk as C
+from gleaner.operators.cuts import spread
 from gleaner.plans.common import table
 from gleaner.sources import crawl
 
@@ -342,7 +343,7 @@ def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def _markdown(spark: SparkSession, d: str) -> DataFrame:
     """Pages as Markdown: their text with headings, and a generated table."""
-    pages = table(spark, d, "pages")
+    pages = spread(table(spark, d, "pages"))
     rows = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.format_string("| r%d | %d |", i, i * i)), "\n")
     grid = F.concat(F.lit("\n\n| name | square |\n| --- | --- |\n"), rows, F.lit("\n\n```sql\nselect 1\n# no heading\n```\n"))
     return pages.select(F.col("page_id").alias("doc_id"), F.concat(W.html_text(F.col("html")), grid).alias("text"))

@@ -351,3 +351,13 @@ def test_rows_of_one_row_group_are_dealt_without_a_sort(spark, tmp_path):
 @pytest.mark.parametrize("t", ["", " ", "　 a b \x85\n", "\x1ca\x1f", "​a ", None, "᠎a  ", "a\r\n"])
 def test_strip_is_unicode_white_space(spark, t):
     assert one(spark, T.strip(F.col("t")), t=t) == one(spark, F.regexp_replace("t", r"(?U)^\s+|\s+$", ""), t=t)
+
+
+def test_blocks_are_given_on_by_size():
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(["# A\n\n" + "word " * 400, None] * 1000)], ["doc_id", "text"])
+    out = list(C._rows(iter([b]), C.blocks, ["doc_id", "position"]))
+    assert len(out) > 1 and max(sum(map(len, x.column("text").to_pylist())) for x in out) < 2 << 20
+    rows = [r for x in out for r in x.to_pylist()]
+    assert [(r["doc_id"], r["position"], r["kind"]) for r in rows] == [x for i in range(0, 2000, 2) for x in ((i, 1, "heading"), (i, 2, "paragraph"))]
