@@ -11,6 +11,7 @@ from gleaner.functions.numbers import rounded
 from gleaner.functions.text import index_text
 from gleaner.functions.tokens import tokens
 from gleaner.operators import retrieve as R
+from gleaner.operators.cuts import spread
 from gleaner.plans.common import SQL_COSINE, SQL_POOLS, SQL_RRF, TERMS, sql_bm25, table
 
 QUERIES, SQL = {}, {}
@@ -107,7 +108,7 @@ bm as (select doc_id as chunk_id, round({" + ".join(part)}, 6) as score from f,
 @query(f"with {_sql_han_bm25()} select chunk_id, score from bm where score > 0 order by 2 desc, 1 limit 50")
 def lexical_cjk(spark: SparkSession, d: str) -> DataFrame:
     """The corpus written in Han characters, searched by pairs of them."""
-    docs = table(spark, d, "documents").withColumn("text", F.translate(F.lower("text"), _ROMAN, _HAN))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("text", F.translate(F.lower("text"), _ROMAN, _HAN))
     terms = R.query_terms(spark, _HAN_QUERY)
     return R.top(R.lexical(docs, terms, "doc_id", {"text": (F.col("text"), 1.0)}, tokenise=tokens))
 

@@ -160,3 +160,10 @@ def test_l2_normalize_keeps_the_sign_of_zero(spark, tmp_path):
 
     spark.createDataFrame([(1, [-1e-7, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert repr(retrieval.l2_normalize(spark, str(tmp_path)).first().unit) == "[-0.0, 1.0]"
+
+
+def test_rows_of_a_search_in_pairs_are_dealt(spark):
+    from gleaner.plans import retrieval
+
+    plan = retrieval.lexical_cjk(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
