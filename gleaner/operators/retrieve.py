@@ -20,6 +20,7 @@ from gleaner.operators.cuts import spread, stored
 
 RRF_K = 60
 POOL = 50
+POSTINGS_A_TASK = 500_000
 K1, B = 1.2, 0.75
 
 
@@ -349,7 +350,9 @@ def search_many(
     plan = stored(plan.withColumn("weak", F.col("upto") < F.col("reached") - margin))
     rest = plan.where("weak").groupBy("query_id").agg(F.max("upto").alias("rest"))
     strong = plan.where(~F.col("weak")).select("query_id", "term", "reached")
-    met = parts.join(strong, "term")
+    # pairs are summed where a passage's postings meet, a bounded number to a task
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, postings.count() // POSTINGS_A_TASK)
+    met = parts.repartition(tasks, "chunk_id").join(strong, "term")
     met = met if allowed is None else met.join(allowed.select("query_id", F.col("owner").cast("string").alias("owner")).distinct(), ["query_id", "owner"], "left_semi")
     found = met.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s"), F.first("reached").alias("reached"))
     found = stored(found)

@@ -167,3 +167,21 @@ def test_rows_of_a_search_in_pairs_are_dealt(spark):
 
     plan = retrieval.lexical_cjk(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
+
+
+def test_postings_of_many_queries_are_met_in_bounded_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha w{i % 7} v{i % 3}") for i in range(120)], "id int, text string")
+    queries = spark.createDataFrame([(1, "w1 v2"), (2, "alpha w3")], "query_id int, query string")
+    rows, dealt = [], []
+    plain = type(docs).repartition
+
+    def seen(df, n, *cols):
+        dealt.append((n, cols))
+        return plain(df, n, *cols)
+
+    monkeypatch.setattr(type(docs), "repartition", seen)
+    for most in (R.POSTINGS_A_TASK, 10):
+        monkeypatch.setattr(R, "POSTINGS_A_TASK", most)
+        rows.append(sorted(map(tuple, R.search_many(docs, queries, "id", F.col("text"), 5).collect())))
+    assert rows[0] == rows[1] and len(rows[0]) == 10
+    assert [n for n, cols in dealt if cols == ("chunk_id",)] == [4, 19]
