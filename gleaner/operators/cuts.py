@@ -51,3 +51,12 @@ def spread(df: DataFrame) -> DataFrame:
     if not rows or largest * cores <= 2 * rows:
         return df
     return df.repartition(max(cores, min(200, rows // 10_000)), F.monotonically_increasing_id())
+
+
+def in_place(df: DataFrame, least: int = 500) -> bool:
+    """Whether each task may write what it makes of ``df`` to the folders of
+    all buckets: at most 200 tasks, with ``least`` rows each on the average.
+    Else the files would be many and small, and rows are dealt by bucket."""
+    each = df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    tasks, rows = each.agg(F.count(F.lit(1)), F.sum("n")).first()
+    return tasks <= 200 and (rows or 0) >= least * tasks

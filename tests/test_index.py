@@ -108,3 +108,38 @@ def test_one_segment_is_read_without_joins(spark, tmp_path):
     rows = s._seen(s._rows("postings", live), live)
     assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.term, r.tf, r.dl) for r in rows.collect()) == [("a", 1, 4), ("b", 3, 4)]
+
+
+def test_a_segment_is_written_where_it_is_made(spark, tmp_path):
+    """Postings are not shuffled, a term's postings in a block are one row, and
+    ids stand in the rows of lengths only."""
+    from gleaner.operators import index as I
+
+    rows = spark.range(4000).selectExpr("'kb' as kb_id", "'s' as source_id", "cast(id as string) as chunk_id", "concat('common common w', id % 7) as text")
+    s = I.Segments(spark, str(tmp_path), {"text": 1.0})
+    s.put(rows.coalesce(2))
+    blocks = s._blocks(s.version()[1][0][1])
+    terms = blocks.where("head is null")
+    assert terms.count() == 2 * 8 and terms.agg(F.sum(F.size("keys"))).first()[0] == 8000  # 2 tasks
+    assert blocks.where("head is not null").count() == 4000 == s.passages()
+    got = s._rows("postings", s.version()[1]).where("term = 'common'").agg(F.sum("tf"), F.min("dl"), F.count_distinct("key")).first()
+    assert tuple(got) == (8000, 3, 4000)
+
+
+def test_a_passage_in_several_rows_is_one(spark, tmp_path):
+    """Rows of one passage are added up where their lengths are equal."""
+    from gleaner.operators import index as I
+
+    cols = "kb_id string, source_id string, chunk_id string, text string"
+    s = I.Segments(spark, str(tmp_path), {"text": 1.0})
+    s.put(spark.createDataFrame([("kb", "s", "c", "a b"), ("kb", "s", "c", "a d"), ("kb", "s", "c", "a"), ("kb", "s", "e", "a a")], cols))
+    live = s.version()[1]
+    got = sorted((r.term, r.tf, r.dl) for r in s._rows("postings", live).collect())
+    assert got == [("a", 1, 1), ("a", 2, 2), ("a", 2, 2), ("b", 1, 2), ("d", 1, 2)]
+    assert s.passages() == 4  # sums count rows
+    # what is replaced is dropped in compaction, the rest stays
+    s.patch(spark.createDataFrame([("kb", "s", "e", "a a")], cols), spark.createDataFrame([("kb", "s", "e", "z")], cols))
+    s.compact()
+    got = sorted((r.term, r.tf, r.dl) for r in s._rows("postings", s.version()[1]).collect())
+    assert got == [("a", 1, 1), ("a", 2, 2), ("b", 1, 2), ("d", 1, 2), ("z", 1, 1)]
+    assert s.passages() == 4 and [r.chunk_id for r in s.search(["z"]).collect()] == ["e"]
