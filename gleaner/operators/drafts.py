@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import content_hash
+from gleaner.operators import cuts
 from gleaner.operators.chunk import embed_items
-from gleaner.operators.cuts import stored
+from gleaner.operators.cuts import spread
 from gleaner.operators.process import embedded
 from gleaner.operators.retrieve import BOOSTS
 from gleaner.operators.store import Store
@@ -27,6 +28,11 @@ TABLES = {
 }
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``cuts.stored``, packed closer: texts lie there as long as the change lasts."""
+    return cuts.stored(df, "zstd")
+
+
 def knowledge_store(spark, path: str) -> Store:
     return Store(spark, path, TABLES, BOOSTS)
 
@@ -61,20 +67,25 @@ def commit_drafts(store: Store, drafts: DataFrame, now: str, embed: Callable[[li
     units = F.filter("units", lambda u: F.coalesce(u["text"], F.lit("")) != "")
     page = (F.col("type") == "web") & (F.coalesce("raw_text", F.lit("")) != "")
     # each text once from here: that of a draft as its hash, and the units that count
-    rows = drafts.withColumns({"_locator": named, "_units": units, "_hash": F.when(page, content_hash(F.col("raw_text")))}).drop("raw_text", "units")
+    known = stored(change.current("sources").select("kb_id", "type", F.col("locator").alias("_locator"), "source_id"))
     reason = (
         F.when((F.col("status") != "ready") | F.col("status").isNull(), "not ready")
         .when(~F.coalesce(F.col("expires_at") > now, F.lit(False)), "expired")
         .when(F.size("_units") <= 0, "nothing to store")
     )
-    rows = rows.withColumn("_why", reason)
-    nth = F.row_number().over(Window.partitionBy("kb_id", "type", "_locator", F.col("_why").isNull()).orderBy(F.desc("draft_id")))
-    rows = stored(rows.withColumn("reason", F.coalesce("_why", F.when(nth > 1, "superseded"))))
-    good = rows.where("reason is null").withColumns({"locator": F.col("_locator"), "title": F.coalesce("title", F.lit(""))})
-    known = change.current("sources").select("kb_id", "type", "locator", "source_id")
+    # each text once from here: that of a draft as its hash, and the units that count
+    rows = drafts.withColumns({"_locator": named, "_units": units, "_hash": F.when(page, content_hash(F.col("raw_text")))}).drop("raw_text", "units")
+    rows = rows.withColumn("_why", reason).withColumn("_units", F.when(F.col("_why").isNull(), F.col("_units")))
     # a source keeps its id; a new one's comes from its key, so that a second try makes the same
-    fresh = F.concat(F.lit("src_"), F.substring(F.sha2(F.to_json(F.array("kb_id", "type", "locator")).cast("binary"), 256), 1, 16))
-    good = good.join(known, ["kb_id", "type", "locator"], "left").withColumn("source_id", F.coalesce("source_id", fresh))
+    fresh = F.concat(F.lit("src_"), F.substring(F.sha2(F.to_json(F.array("kb_id", "type", "_locator")).cast("binary"), 256), 1, 16))
+    rows = spread(rows).join(known, ["kb_id", "type", "_locator"], "left").withColumn("source_id", F.coalesce("source_id", fresh))
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()))
+    # of drafts for one source only the keys are moved
+    keys = rows.where("_why is null").select("kb_id", "type", "_locator", "draft_id", "_row")
+    nth = F.row_number().over(Window.partitionBy("kb_id", "type", "_locator").orderBy(F.desc("draft_id")))
+    older = stored(keys.withColumn("_n", nth).where("_n > 1").select("_row", F.lit("superseded").alias("_older")))
+    rows = rows.join(older, "_row", "left").withColumn("reason", F.coalesce("_why", "_older"))
+    good = rows.where("reason is null").withColumns({"locator": F.col("_locator"), "title": F.coalesce("title", F.lit(""))})
     passages = good.select("kb_id", "source_id", "locator", F.posexplode("_units").alias("p", "u")).select(
         "kb_id", "source_id",
         F.concat("source_id", F.lit("-"), F.substring(F.sha2(F.concat_ws("|", "source_id", F.col("p") + 1, "u.text").cast("binary"), 256), 1, 16)).alias("chunk_id"),
@@ -82,7 +93,7 @@ def commit_drafts(store: Store, drafts: DataFrame, now: str, embed: Callable[[li
         F.coalesce("u.answer", F.lit("")).alias("answer"), F.coalesce("u.indexes", F.lit("")).alias("indexes"),
         F.concat("locator", F.lit(" #"), F.col("p") + 1).alias("locator"),
     )
-    passages = stored(passages)
+    # passages are read from the stored rows each time, not stored a second time
     vectors = stored(_vectors(passages, F.col("title"), embed))
     empty = good.join(vectors.select("source_id").distinct(), "source_id", "left_anti").count()
     if empty:
@@ -93,11 +104,11 @@ def commit_drafts(store: Store, drafts: DataFrame, now: str, embed: Callable[[li
     )
     owners = good.select("source_id")
     for name, part in (("sources", sources), ("passages", passages), ("vectors", vectors)):
-        change.replace(name, part, owners, settled=True)
+        change.replace(name, part, owners, True)
     patched = change.current("patches").join(owners, "source_id", "left_semi").select("chunk_id")
     for name in ("patches", "patched_vectors"):
         change.replace(name, change.current(name).limit(0), patched)
-    change.index().replace(passages)
+    change.index().put(passages, good.select("kb_id", "source_id"))
     change.commit()
     return rows.select("draft_id", F.when(F.col("reason").isNull(), "committed").otherwise("refused").alias("status"), "reason")
 
@@ -120,7 +131,8 @@ def patch_passages(store: Store, patches: DataFrame, embed: Callable[[list[str]]
     those columns; null leaves a value, a blank title too); returns how many
     there were.  Only they are embedded and indexed again."""
     change = store.change()
-    asked = patches.select("chunk_id", *[F.col(c).alias(f"_{c}") for c in ("title", "text", "answer", "indexes")])
+    # of a size that is known, so that few of them are broadcast and the passages not moved
+    asked = stored(patches.select("chunk_id", *[F.col(c).alias(f"_{c}") for c in ("title", "text", "answer", "indexes")]))
     old = stored(current_passages(store, change).join(asked, "chunk_id"))
     kept = old.drop("_title", "_text", "_answer", "_indexes")
     title = F.coalesce(F.nullif(F.substring(F.trim("_title"), 1, 255), F.lit("")), F.col("title"))
@@ -142,7 +154,7 @@ def fold(store: Store) -> None:
     owners = stored(patches.select("source_id").distinct())
     passages, vectors = current_passages(store), current_vectors(store)
     for name, rows in (("passages", passages), ("vectors", vectors)):
-        change.replace(name, rows.join(owners, "source_id", "left_semi"), settled=True)
+        change.replace(name, rows.join(owners, "source_id", "left_semi"), None, True)
     for name in ("patches", "patched_vectors"):
         change.replace(name, change.current(name).limit(0), patches.select("chunk_id"))
     change.index().compact()

@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators.cuts import stored
+from gleaner.operators.cuts import in_place, stored
 from gleaner.operators.index import Segments
 
 BUCKETS = 64
@@ -56,9 +56,9 @@ class Store:
         """A table's rows, of some buckets only if given."""
         entries = self.manifest()[1] if of is None else of
         paths = sorted({f for n, b, f in entries if n == name and (buckets is None or b in buckets)})
-        rows = self.spark.createDataFrame([], self.tables[name][0])
-        # a bucket's folder is read by itself: its name says which bucket it is
-        return rows.unionByName(self.spark.read.schema(self.tables[name][0]).parquet(*paths)) if paths else rows
+        # a bucket's folder is read by itself: its name says which bucket it is; no union with rows of
+        # a size that the planner does not know, or small tables would not be broadcast
+        return self.spark.read.schema(self.tables[name][0]).parquet(*paths) if paths else self.spark.createDataFrame([], self.tables[name][0]).limit(0)
 
     def change(self) -> Change:
         return Change(self)
@@ -91,7 +91,8 @@ class Change:
         """Puts ``rows`` in place of all rows of their owners and of the owners
         in ``gone``; only those owners' buckets are read and written.  Rows are
         stored first, unless they are ``settled``: read from tables that don't
-        change, and cheap to read again."""
+        change, and cheap to read again.  Rows that stay are written where they
+        are read, a task a bucket; new ones too where ``in_place`` says so."""
         schema, owner = self.store.tables[name]
         columns = self.store.spark.createDataFrame([], schema)
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns.schema])
@@ -103,12 +104,21 @@ class Change:
         touched = sorted(r[0] for r in owners.select(bucket("_owner").alias("b")).distinct().collect())  # BUCKETS at most
         if not touched:
             return
-        old = self.current(name, touched).withColumn("_owner", F.coalesce(F.col(owner).cast("string"), F.lit("")))
-        left = old.join(owners, "_owner", "left_anti").drop("_owner")
         folder = f"{self.store.path}/{name}/{uuid.uuid4().hex}"
-        both = left.unionByName(rows).withColumn("_bucket", bucket(owner))
-        both.repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
-        held = {r[0] for r in self.store.spark.read.parquet(folder).select("_bucket").distinct().collect()} if both.head(1) else set()
+        both = rows.withColumn("_bucket", bucket(owner))
+        if not in_place(rows):
+            both = both.repartition("_bucket")
+        old = None
+        for b in sorted({b for n, b, _ in self.entries if n == name and b in touched}):
+            # two tasks, as tasks of one each would be united to one
+            part = self.current(name, [b]).coalesce(2).withColumn("_bucket", F.lit(b))
+            old = part if old is None else old.unionByName(part)
+        if old is not None:
+            left = old.withColumn("_owner", F.coalesce(F.col(owner).cast("string"), F.lit(""))).join(owners, "_owner", "left_anti").drop("_owner")
+            both = left.unionByName(both)
+        both.write.partitionBy("_bucket").option("compression", "zstd").parquet(folder)
+        read = self.store.spark.read.schema(f"{schema}, _bucket int").parquet(folder)
+        held = {r[0] for r in read.select("_bucket").distinct().collect()}
         self.entries = [e for e in self.entries if e[0] != name or e[1] not in touched]
         self.entries += [(name, b, f"{folder}/_bucket={b}") for b in touched if b in held]
 

@@ -151,3 +151,40 @@ def test_drafts_store_each_text_once(spark, tmp_path, monkeypatch):
     assert D.commit_drafts(s, rows, "2025").first().status == "committed"
     assert not any({"raw_text", "units"} & c for c in seen) and sum("_units" in c for c in seen) == 1
     assert s.current("sources").first().hash and s.current("passages").first().text == "text"
+
+
+def test_rows_that_stay_are_not_shuffled(spark, tmp_path):
+    """Of a bucket that a change touches, other owners' rows are written where
+    they are read; new rows are, where tasks have enough of them."""
+    from gleaner.operators.cuts import in_place
+
+    store = S.Store(spark, str(tmp_path), {"t": ("id string, text string", "id")})
+    rows = spark.range(4000).selectExpr("cast(id as string) as id", "concat('text ', id) as text").coalesce(2)
+    assert in_place(rows) and not in_place(rows.limit(500).repartition(4))
+    change = store.change()
+    change.replace("t", rows)
+    change.commit()
+    # the tasks' own files, in each bucket
+    assert len(store.current("t").inputFiles()) == 2 * S.BUCKETS
+    change = store.change()
+    change.replace("t", spark.createDataFrame([("7", "new"), ("x", "more")], "id string, text string"))
+    change.commit()
+    got = {r.id: r.text for r in store.current("t").collect()}
+    assert len(got) == 4001 and got["7"] == "new" and got["x"] == "more" and got["8"] == "text 8"
+
+
+def test_drafts_of_one_source_and_no_text_twice(spark, tmp_path, monkeypatch):
+    """Passages are not stored beside the drafts they come from; sources that
+    were known keep their ids; of drafts for one source the greatest id counts."""
+    from gleaner.operators import drafts as D
+
+    store, seen, kept = D.knowledge_store(spark, str(tmp_path)), [], D.stored
+    monkeypatch.setattr(D, "stored", lambda df: seen.append(set(df.columns)) or kept(df))
+    first = [_draft("a", "u1", ["one"]), _draft("b", "u1", ["two", "three"]), _draft("c", "u2", ["four"])]
+    got = _results(D.commit_drafts(store, spark.createDataFrame(first, DRAFT), "2025"))
+    assert got == {"a": ("refused", "superseded"), "b": ("committed", None), "c": ("committed", None)}
+    assert not any("text" in c for c in seen)
+    ids = {r.locator: r.source_id for r in store.current("sources").collect()}
+    assert _results(D.commit_drafts(store, spark.createDataFrame([_draft("d", "u1", ["five"])], DRAFT), "2025")) == {"d": ("committed", None)}
+    assert {r.locator: r.source_id for r in store.current("sources").collect()} == ids
+    assert {r.text for r in D.current_passages(store).collect()} == {"five", "four"}
